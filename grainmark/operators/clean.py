@@ -98,25 +98,31 @@ def handle_missing(df: DataFrame, strategy: str = "drop", fill_value: object = N
                 v = F.lit(fill_value).try_cast(f.dataType)
             out.append(F.coalesce(col(f.name), v).alias(f.name))
         return df.select(*out)
-    return fill(df, fill_values(df, strategy))
+    holes = columns_with_nulls(df)
+    return fill(df, fill_values(df, strategy, list(holes))) if holes else df
+
+
+def columns_with_nulls(df: DataFrame) -> dict[str, int]:
+    """Null counts of the columns that have any; only those need statistics."""
+    n = one_row(df, {c: count_if(col(c).isNull()) for c in df.columns})
+    return {c: int(n[c]) for c in df.columns if n[c]}
 
 
 def fill_log(df: DataFrame, strategy: str = "mean", fill_value: object = None) -> DataFrame:
     """(column, strategy, n_filled, replacement) for columns that had nulls."""
     df = nan_to_null(df)
     num = set(numeric_columns(df))
-    n = one_row(df, {c: count_if(col(c).isNull()) for c in df.columns})
-    holes = [c for c in df.columns if n[c]]
+    holes = columns_with_nulls(df)
     if strategy == "fill":
         repl: dict[str, object] = {c: fill_value for c in holes}
     elif strategy == "drop":
         repl = {c: None for c in holes}
     else:
-        repl = fill_values(df, strategy, holes) if holes else {}
+        repl = fill_values(df, strategy, list(holes)) if holes else {}
     rows = []
     for c in holes:
         used = strategy if c in num or strategy in ("fill", "drop", "mode") else "mode"
-        rows.append((c, used, int(n[c]), None if repl[c] is None else str(repl[c])))
+        rows.append((c, used, holes[c], None if repl[c] is None else str(repl[c])))
     return frame(df.sparkSession, rows, "column string, strategy string, n_filled long, replacement string")
 
 

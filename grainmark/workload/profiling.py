@@ -90,23 +90,17 @@ def _(spark, sf):
     return profile.basic_stats(df).withColumn("mean", F.round("mean", 5))
 
 
-IQR_SQL = (
-    "WITH q AS ("
-    + per(
-        LINE_NUM + ["l_orderkey"],
-        """SELECT '{c}' AS "column", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem""",
-    )
-    + """), v AS (""" + per(LINE_NUM + ["l_orderkey"], """SELECT '{c}' AS "column", CAST({c} AS DOUBLE) AS x FROM lineitem""")
-    + """) SELECT v."column", CAST(sum(CASE WHEN x < q1 - 1.5*(q3-q1) OR x > q3 + 1.5*(q3-q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
+IQR_SQL = per(
+    ["event_id", "user_id", "value"],
+    """SELECT '{c}' AS "column", CAST(sum(CASE WHEN {c} < q1 - 1.5*(q3-q1) OR {c} > q3 + 1.5*(q3-q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
     round(any_value(q1 - 1.5*(q3-q1)), 4) AS lower, round(any_value(q3 + 1.5*(q3-q1)), 4) AS upper
-    FROM v JOIN q ON v."column" = q."column" GROUP BY v."column" HAVING n_outliers > 0"""
-)
+    FROM events, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events) HAVING n_outliers > 0""",
+)
 
 
 @query("iqr_outlier_report", IQR_SQL)
 def _(spark, sf):
-    df = table(spark, sf, "lineitem").select(*LINE_NUM, "l_orderkey")
-    out = profile.iqr_outlier_report(df)
+    out = profile.iqr_outlier_report(table(spark, sf, "events"))
     return out.withColumn("lower", F.round("lower", 4)).withColumn("upper", F.round("upper", 4))
 
 
