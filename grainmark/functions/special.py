@@ -116,6 +116,11 @@ def t_ppf(p: float, df: float) -> float:
     return _bisect(lambda v: 1.0 - 0.5 * t_sf2(v, df), p, 0.0, 1e6)
 
 
+def t_isf(q: float, df: float) -> float:
+    """Upper-tail quantile; keeps its precision for very small ``q``."""
+    return _bisect(lambda v: -0.5 * t_sf2(v, df), -q, 0.0, 1e8)
+
+
 def f_sf(x: float, d1: float, d2: float) -> float:
     if x <= 0:
         return 1.0
