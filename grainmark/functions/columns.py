@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Expressions per aggregate; keeps generated code below the JVM method limit.
-CHUNK = 180
+# Expressions per aggregate; small enough for the generated code to be compiled.
+CHUNK = 45
 
 
 def col(name: str) -> Column:
@@ -120,6 +120,18 @@ def constant(df: DataFrame, name: str) -> Column:
     return (na == n) | ((na == 0) & F.min(c).eqNullSafe(F.max(c)))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null when b is zero (plain division would fail in ANSI mode)."""
+    return a / F.nullif(b, F.lit(0))
+
+
+def corr(a: Column, b: Column) -> Column:
+    """Pearson r over rows where both are present; null when either is constant."""
+    # ``corr`` itself divides by zero on constants; r² does not
+    cov, r2 = F.covar_pop(a, b), F.regr_r2(a, b)
+    return F.when((cov == 0) & (r2 == 1), F.lit(None).cast("double")).otherwise(F.signum(cov) * F.sqrt(r2))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, nan_to_null, number, numeric_columns
+from ..functions.columns import col, corr, nan_to_null, number, numeric_columns
 from . import profile
 
 AGGREGATES = {
@@ -90,7 +90,7 @@ def compare(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson r of two numeric columns with a strength word, sign and both means."""
     df = nan_to_null(df)
     out = df.agg(
-        F.corr(number(a), number(b)).alias("r"), F.avg(number(a)).alias("mean_a"), F.avg(number(b)).alias("mean_b")
+        corr(number(a), number(b)).alias("r"), F.avg(number(a)).alias("mean_a"), F.avg(number(b)).alias("mean_b")
     )
     r = F.col("r")
     return out.select(

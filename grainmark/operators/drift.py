@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.columns import col, count_if, frame, nan_to_null, number, numeric_columns, report, text_columns, union_all
+from ..functions.columns import col, count_if, frame, nan_to_null, number, numeric_columns, ratio, report, text_columns, union_all
 
 ISSUE = "column string, issue string, before string, after string"
 
@@ -17,7 +17,7 @@ def _side(df: DataFrame, names: list[str], nums: set[str]) -> DataFrame:
         df,
         {
             c: {
-                "null_rate": count_if(col(c).isNull()) / F.count(F.lit(1)),
+                "null_rate": ratio(count_if(col(c).isNull()), F.count(F.lit(1))),
                 **{
                     m: f(number(c)) if c in nums else f(none)
                     for m, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
@@ -57,8 +57,8 @@ def numeric_drift(
     issues = F.array_compact(
         F.array(
             _issue("missing_rate", b0, c0, F.abs(c0 - b0) >= missing_threshold),
-            _issue("mean_shift", bm, cm, (bm != 0) & (F.abs(cm - bm) / F.abs(bm) >= mean_threshold)),
-            _issue("std_shift", bs, cs, (bs != 0) & (F.abs(cs - bs) / F.abs(bs) >= 0.25)),
+            _issue("mean_shift", bm, cm, ratio(F.abs(cm - bm), F.abs(bm)) >= mean_threshold),
+            _issue("std_shift", bs, cs, ratio(F.abs(cs - bs), F.abs(bs)) >= 0.25),
             _issue("new_minimum", bl, cl, cl < bl),
             _issue("new_maximum", bh, ch, ch > bh),
         )

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import special, values
 from ..functions.columns import (
     col,
+    corr,
     count_if,
     frame,
     nan_to_null,
     number,
     numeric_columns,
     one_row,
+    ratio,
     report,
     union_all,
 )
@@ -41,7 +43,7 @@ def analyze_missing(df: DataFrame) -> DataFrame:
         count_if(F.col("g") > 0).alias("rows_with_missing"),
         F.max("g").cast("long").alias("max_missing_in_row"),
     )
-    return out.withColumn("missing_rate", F.col("n_missing") / (F.col("n_rows") * p))
+    return out.withColumn("missing_rate", ratio(F.col("n_missing"), F.col("n_rows") * p))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         {
             c: {
                 "n_missing": count_if(col(c).isNull()),
-                "pct_missing": count_if(col(c).isNull()) * 100.0 / F.count(F.lit(1)),
+                "pct_missing": ratio(count_if(col(c).isNull()) * 100.0, F.count(F.lit(1))),
                 "is_numeric": F.lit(c in num),
             }
             for c in df.columns
@@ -73,7 +75,7 @@ def mask_correlation(df: DataFrame) -> DataFrame:
     if len(holes) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     mask = missing_mask(df.select(*[col(c) for c in holes]))
-    metrics = {f"{i},{j}": {"r": F.corr(number(holes[i]), number(holes[j]))} for i, j in combinations(range(len(holes)), 2)}
+    metrics = {f"{i},{j}": {"r": corr(number(holes[i]), number(holes[j]))} for i, j in combinations(range(len(holes)), 2)}
     look, at = F.array(*[F.lit(h) for h in holes]), F.split("pair", ",")
     out = report(mask, metrics, label="pair")
     return out.select(look[at[0].cast("int")].alias("col_a"), look[at[1].cast("int")].alias("col_b"), "r")

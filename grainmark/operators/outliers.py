@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special, values
-from ..functions.columns import col, count_if, frame, nan_to_null, number, numeric_columns, one_row
+from ..functions.columns import col, count_if, frame, nan_to_null, number, numeric_columns, one_row, ratio
 from . import profile
 
 TINY = 1e-12
@@ -305,7 +305,7 @@ def agreement(df: DataFrame, flags: Sequence[str]) -> DataFrame:
         *[F.struct(F.lit(f).alias("method"), F.col(f"a{i}").alias("n_outliers")) for i, f in enumerate(cells)]
     )
     out = one.select("n_rows", F.inline(rows))
-    return out.select("method", "n_outliers", (F.col("n_outliers") / F.col("n_rows")).alias("rate"))
+    return out.select("method", "n_outliers", ratio(F.col("n_outliers"), F.col("n_rows")).alias("rate"))
 
 
 def outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -322,7 +322,7 @@ def outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         ]
     )
     out = one.select("n", F.inline(rows))
-    return out.select("method", "column", "n_outliers", (F.col("n_outliers") / F.col("n")).alias("rate"))
+    return out.select("method", "column", "n_outliers", ratio(F.col("n_outliers"), F.col("n")).alias("rate"))
 
 
 def choose_method(df: DataFrame, columns: Sequence[str] | None = None) -> str:

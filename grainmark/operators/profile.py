@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import values
 from ..functions.columns import (
     col,
+    corr,
     count_if,
     kinds,
     nan_to_null,
@@ -19,6 +20,7 @@ from ..functions.columns import (
     numeric_columns,
     of_kind,
     one_row,
+    ratio,
     report,
     union_all,
 )
@@ -47,7 +49,7 @@ def null_rates(df: DataFrame) -> DataFrame:
         df,
         {c: {"n_missing": count_if(col(c).isNull()), "n_rows": F.count(F.lit(1))} for c in df.columns},
     )
-    rate = F.col("n_missing") / F.col("n_rows")
+    rate = ratio(F.col("n_missing"), F.col("n_rows"))
     return out.select("column", rate.alias("null_rate")).orderBy(F.desc("null_rate"), "column")
 
 
@@ -212,7 +214,7 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         F.lit(len(of_kind(df, "datetime"))).cast("long").alias("datetime_columns"),
         (n * p).alias("total_cells"),
         nulls.alias("null_cells"),
-        (nulls / (n * p)).alias("null_rate"),
+        ratio(nulls, n * p).alias("null_rate"),
     )
     return one.crossJoin(F.broadcast(duplicate_rows(df)))  # two one-row results
 
@@ -223,7 +225,7 @@ def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None) ->
     names = list(columns or numeric_columns(df))
     half = report(
         df,
-        {f"{i},{j}": {"r": F.corr(number(names[i]), number(names[j]))} for i, j in combinations(range(len(names)), 2)},
+        {f"{i},{j}": {"r": corr(number(names[i]), number(names[j]))} for i, j in combinations(range(len(names)), 2)},
         label="pair",
     )
     look = F.array(*[F.lit(n) for n in names])

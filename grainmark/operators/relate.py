@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.columns import col, kinds, nan_to_null, number, numeric_columns, report, text_columns, union_all
+from ..functions.columns import col, corr, kinds, nan_to_null, number, numeric_columns, report, text_columns, union_all
 
 PAIR = "col_a string, col_b string, method string, strength double, direction string, n long"
 
@@ -27,7 +27,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     metrics = {}
     for i, j in combinations(range(len(names)), 2):
         a, b = number(names[i]), number(names[j])
-        metrics[f"{i},{j}"] = {"r": F.corr(a, b), "n": F.count(a + b)}
+        metrics[f"{i},{j}"] = {"r": corr(a, b), "n": F.count(a + b)}
     if not metrics:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double, n long")
     out = _named(report(df, metrics, label="pair"), names)
