@@ -26,6 +26,7 @@ from ..functions.columns import (
     union_all,
 )
 from ..functions.scratch import materialise
+from ..functions.ship import ship
 from . import clean
 
 # ---- looking at what is missing ----
@@ -392,6 +393,7 @@ def impute_spline(
     df = nan_to_null(df)
     out = values.with_position(df, [*group, *order], "__pos")
     names = [f"__g{i}" for i in range(len(group))]
+    ship(df.sparkSession)
     for c in columns:
         seen = out.filter(col(c).isNotNull()).select(
             *[col(g).alias(n) for g, n in zip(group, names)], F.col("__pos").alias("p"), number(c).alias("v")
