@@ -60,18 +60,31 @@ def autocorrelation(df: DataFrame, column: str, order: Sequence[str], max_lags:
     return frame(df.sparkSession, rows, "lag int, acf double, pacf double, significant boolean")
 
 
+def gram(rows: DataFrame, cols: Sequence[Column]) -> np.ndarray:
+    """Σ c_i c_j over complete rows: each task adds up its own small matrix,
+    and only k² partial sums per task are exchanged."""
+    k = len(cols)
+    ship(rows.sparkSession)
+
+    def add(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            total += x.T @ x
+        i, j = np.indices((k, k))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    narrow = rows.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).na.drop("any")
+    out = np.zeros((k, k))
+    for r in narrow.mapInPandas(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
 def _normal_equations(rows: DataFrame, y: Column, xs: Sequence[Column]) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """XᵀX, Xᵀy, yᵀy and n in one aggregate (an intercept comes first)."""
-    full = [F.lit(1.0), *xs]
-    aggs = {f"a{i}_{j}": F.sum(full[i] * full[j]) for i in range(len(full)) for j in range(i, len(full))}
-    aggs.update({f"b{i}": F.sum(x * y) for i, x in enumerate(full)})
-    aggs.update({"yy": F.sum(y * y), "n": F.count(y)})
-    got = one_row(rows, aggs)
-    a = np.zeros((len(full), len(full)))
-    for i in range(len(full)):
-        for j in range(i, len(full)):
-            a[i, j] = a[j, i] = got[f"a{i}_{j}"]
-    return a, np.array([got[f"b{i}"] for i in range(len(full))]), got["yy"], got["n"]
+    """XᵀX, Xᵀy, yᵀy and n (an intercept comes first)."""
+    g = gram(rows, [F.lit(1.0), *xs, y])
+    return g[:-1, :-1], g[:-1, -1], float(g[-1, -1]), int(round(g[0, 0]))
 
 
 def _ols(a: np.ndarray, b: np.ndarray, yy: float, n: int, keep: Sequence[int]) -> tuple[np.ndarray, float, np.ndarray]:
