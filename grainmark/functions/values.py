@@ -216,6 +216,8 @@ def _bracketed(df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float
                 lo = first[f"s{i}"][2 * j] if p - slack > 0 else first[f"lo{i}"]
                 hi = first[f"s{i}"][2 * j + 1] if p + slack < 1 else first[f"hi{i}"]
                 targets[i, j] = (lo, hi, math.floor(at), math.ceil(at))
+    if not targets:
+        return {k: [None] * len(probs) for k in labels}
     sides: dict[str, Column] = {}
     for (i, j), (lo, hi, _, _) in targets.items():
         x = F.col(f"x{i}")

@@ -406,22 +406,18 @@ def impute_spline(
         )
         cols = [*names, "p", "v", "m", "np_", "nv", "nm", "is_first", "is_last"]
         solved = halo.groupBy(*names, "block").applyInPandas(lambda pdf: _curvature(pdf)[cols], schema)
-        solved = materialise(solved)
-        near = _neighbours(out.drop("__blk"), ["__pos"] if not group else order, [c], group)
+        solved = materialise(solved).toDF(*[f"__s_{n}" for n in cols])
+        near = _neighbours(out, ["__pos"] if not group else order, [c], group)
         prev, nxt = F.col(f"__prev_{c}"), F.col(f"__next_{c}")
         near = near.withColumn("__at", F.coalesce(prev["p"], nxt["p"]))
-        j = near.join(solved, F.col("__at") == F.col("p"), "left")
+        j = near.join(solved, F.col("__at") == F.col("__s_p"), "left")
         x = F.col("__pos").cast("double")
-        h = F.col("np_") - F.col("p")
-        a, b = F.col("np_") - x, x - F.col("p")
-        cubic = (
-            (F.col("m") * a * a * a + F.col("nm") * b * b * b) / (6 * h)
-            + (F.col("v") / h - F.col("m") * h / 6) * a
-            + (F.col("nv") / h - F.col("nm") * h / 6) * b
-        )
+        p0, p1, v0, v1, m0, m1 = (F.col(f"__s_{n}") for n in ("p", "np_", "v", "nv", "m", "nm"))
+        h, a, b = p1 - p0, p1 - x, x - p0
+        cubic = (m0 * a * a * a + m1 * b * b * b) / (6 * h) + (v0 / h - m0 * h / 6) * a + (v1 / h - m1 * h / 6) * b
         inside = prev.isNotNull() & nxt.isNotNull()
-        line = F.col("v") + (F.col("nv") - F.col("v")) * b / h
-        curve = F.coalesce(F.when(~F.isnan("m"), cubic), F.when(inside, line))
+        line = v0 + (v1 - v0) * b / h
+        curve = F.coalesce(F.when(~F.isnan(m0), cubic), F.when(inside, line))
         fill = curve if extrapolate else F.when(inside, curve)
         out = j.withColumn(c, F.coalesce(number(c), fill)).select(*[col(n) for n in df.columns], "__pos")
     return out.drop("__pos")
@@ -484,14 +480,16 @@ def group_medians(df: DataFrame, group: str, columns: Sequence[str], small_rows:
     df = nan_to_null(df).filter(col(group).isNotNull())
     if df.count() <= small_rows:
         return df.groupBy(col(group)).agg(*[F.median(number(c)).alias(c) for c in columns])
-    pairs = values.long_values(df.select(col(group), *[col(c) for c in columns]), {c: number(c) for c in columns}, [group])
-    runs = values.value_runs(pairs, [group, "column"])
+    rows = df.select(col(group).alias("__g"), *[number(c).alias(c) for c in columns])
+    runs = values.value_runs(values.long_values(rows, {c: number(c) for c in columns}, ["__g"]), ["__g", "column"])
     lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     inside = lambda k: (F.col("below") <= k) & (F.col("below") + F.col("n") > k)
-    mids = runs.groupBy(col(group), "column").agg(
+    mids = runs.groupBy("__g", "column").agg(
         ((F.max(F.when(inside(lo), F.col("value"))) + F.max(F.when(inside(hi), F.col("value")))) / 2).alias("m")
     )
-    return mids.groupBy(col(group)).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in columns])
+    return mids.groupBy(F.col("__g").alias(group)).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in columns]
+    )
 
 
 # ---- by chance, from text, audit ----
