@@ -195,13 +195,15 @@ def _neighbours(df: DataFrame, order: Sequence[str], names: Sequence[str], group
         out = values.with_position(df, order, "__pos")
     out = out.withColumn("__blk", F.floor(F.col("__pos") / 500_000))
     cell = {c: F.when(col(c).isNotNull(), F.struct(F.col("__pos").alias("p"), col(c).alias("v"))) for c in names}
-    inside = Window.partitionBy(*keys, "__blk").orderBy("__pos")
-    back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    # both directions are running frames: looking ahead is looking back in
+    # reverse order, which costs one pass instead of one pass per row
+    running = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "__blk").orderBy("__pos").rowsBetween(*running)
+    ahead = Window.partitionBy(*keys, "__blk").orderBy(F.desc("__pos")).rowsBetween(*running)
     out = out.withColumns(
         {
             **{f"__p_{c}": F.last(e, ignorenulls=True).over(back) for c, e in cell.items()},
-            **{f"__n_{c}": F.first(e, ignorenulls=True).over(ahead) for c, e in cell.items()},
+            **{f"__n_{c}": F.last(e, ignorenulls=True).over(ahead) for c, e in cell.items()},
         }
     )
     out = materialise(out)
@@ -209,14 +211,14 @@ def _neighbours(df: DataFrame, order: Sequence[str], names: Sequence[str], group
         *[F.max_by(f"__p_{c}", "__pos").alias(f"__last_{c}") for c in names],
         *[F.min_by(f"__n_{c}", "__pos").alias(f"__first_{c}") for c in names],
     )
-    blocks = Window.partitionBy(*keys).orderBy("__blk")
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    after = blocks.rowsBetween(1, Window.unboundedFollowing)
+    blocks = Window.partitionBy(*keys)
+    before = blocks.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    after = blocks.orderBy(F.desc("__blk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *keys,
         "__blk",
         *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__cp_{c}") for c in names],
-        *[F.first(f"__first_{c}", ignorenulls=True).over(after).alias(f"__cn_{c}") for c in names],
+        *[F.last(f"__first_{c}", ignorenulls=True).over(after).alias(f"__cn_{c}") for c in names],
     )
     # null-safe on the group so that rows without a group keep their own series
     on = out["__blk"] == carried["__blk"]

@@ -21,9 +21,9 @@ def _ev(spark, sf):
 
 @query(
     "impute_knn",
-    """WITH e AS (SELECT event_id, epoch_us(ts) / 1e6 AS at, user_id::DOUBLE AS who, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events),
-    d AS (SELECT * FROM e WHERE value IS NOT NULL), s AS (SELECT avg(at) AS am, stddev_pop(at) AS asd, avg(who) AS wm, stddev_pop(who) AS wsd FROM d),
-    p AS (SELECT a.event_id, d.value, sqrt(pow((a.at - am) / asd - (d.at - am) / asd, 2) + pow((a.who - wm) / wsd - (d.who - wm) / wsd, 2)) AS dist FROM e a, d, s WHERE a.value IS NULL),
+    """WITH e AS (SELECT event_id, epoch_us(ts) / 1e6 AS tt, user_id::DOUBLE AS who, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events),
+    d AS (SELECT * FROM e WHERE value IS NOT NULL), s AS (SELECT avg(tt) AS am, stddev_pop(tt) AS asd, avg(who) AS wm, stddev_pop(who) AS wsd FROM d),
+    p AS (SELECT a.event_id, d.value, sqrt(pow((a.tt - am) / asd - (d.tt - am) / asd, 2) + pow((a.who - wm) / wsd - (d.who - wm) / wsd, 2)) AS dist FROM e a, d, s WHERE a.value IS NULL),
     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist) AS k FROM p) WHERE k <= 5),
     f AS (SELECT event_id, CASE WHEN min(dist) = 0 THEN avg(value) FILTER (dist = 0) ELSE sum(value / dist) / sum(1 / dist) END AS v FROM n GROUP BY 1)
     SELECT e.event_id, round(coalesce(e.value, f.v), 5) AS value FROM e LEFT JOIN f ON e.event_id = f.event_id""",
