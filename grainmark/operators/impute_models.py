@@ -176,7 +176,7 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
     "missforest": lambda df, **k: impute_missforest(df),
     "gbt": lambda df, **k: impute_gbt(df),
 }
-NOT_BUILT = {"autoencoder", "attention", "diffusion", "llm", "image", "multimodal"}
+NOT_BUILT = {"autoencoder", "attention", "diffusion", "language_model", "image", "multimodal"}
 
 
 def impute_by_name(df: DataFrame, strategy: str, **options) -> DataFrame:
