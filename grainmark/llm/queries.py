@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import decontaminate, packing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf, "benchmark"))
+    ids = F.array_sort(F.transform("_items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        F.col("_contaminated").alias("contaminated"),
+    )
+
+
 @query("op5_token_store")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
