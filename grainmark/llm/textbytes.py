@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+_BLOCK = 1 << 20
 SEED = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
@@ -112,12 +113,19 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    first = np.cumsum(size) - size
-    within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    at = np.repeat(starts, size) + within
-    terms = codes[buf[at]] * powers(int(size.max()))[within]
-    h = np.add.reduceat(terms, first)
-    return mix(h ^ (size.astype(np.uint64) * _U(SEED)))
+    stop = np.cumsum(size)
+    out = np.empty(len(starts), np.uint64)
+    power = powers(int(size.max()))
+    lo = 0
+    while lo < len(starts):  # about a megabyte at a time keeps the work in cache
+        hi = max(lo + 1, int(np.searchsorted(stop, stop[lo] - size[lo] + _BLOCK, "right")))
+        n = size[lo:hi]
+        first = np.cumsum(n) - n
+        within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        terms = codes[buf[np.repeat(starts[lo:hi], n) + within]] * power[within]
+        out[lo:hi] = np.add.reduceat(terms, first)
+        lo = hi
+    return mix(out ^ (size.astype(np.uint64) * _U(SEED)))
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
