@@ -53,8 +53,8 @@ SIGNALS = (
     Signal("symbol_share", "n_symbols / greatest(word_chars, 1)", 0.03),
     Signal("mark_share", "n_marks / greatest(n_words, 1)", 0.3),
     Signal("capital_share", "n_capitals / greatest(word_chars, 1)", 0.2),
-    Signal("repeat_share", "n_repeat_words / greatest(n_words, 1)", 0.15),
-    Signal("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.25),
+    Signal("repeat_share", "n_repeat_words / greatest(n_words, 1)", 0.3),
+    Signal("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.6),
     Signal("word_length", "word_chars / greatest(n_words, 1)", 1.5, low=True),
 )
 
