@@ -1,8 +1,8 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 ``write`` puts the ids of every document, in ascending key order, into shard files
-of raw little-endian unsigned 32-bit ids, followed by the record lengths and a
-trailer. The index maps a key to where its ids begin: keys are dealt to index
+of raw little-endian unsigned ids (16 bits each if the vocabulary has at most 65,536
+entries, else 32), followed by the record lengths and a trailer. The index maps a key to where its ids begin: keys are dealt to index
 files by hash, and inside a file a cascade of bit arrays places n keys on the
 numbers 0 … n-1 (a key settles at the first level where no other key claims its
 bit; its number is the count of settled bits before it). Each slot holds a
@@ -177,6 +177,8 @@ def write(
     spark = docs.sparkSession
     kind = key_type(docs, key)
     ship(spark)
+    wide = PartTokenizer(vocabulary).tok.get_vocab_size() > 65536 or end_id > 0xFFFF
+    width = "<u4" if wide else "<u2"
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
@@ -189,7 +191,7 @@ def write(
             before = 0
             for b in batches:
                 for lo, hi, ids, at in encode_column(tok, b.column(1), end_id):
-                    out.write(ids.astype("<u4").tobytes())
+                    out.write(ids.astype(width).tobytes())
                     lengths.append(np.diff(at))
                     done.append((b.column(0).slice(lo, hi - lo), before + at[:-1], np.diff(at)))
                     before += int(at[-1])
@@ -228,7 +230,7 @@ def write(
         records, ids = records + n, ids + m
     parts = max(1, -(-records // keys_per_index))
     bases = spark.sparkContext.broadcast(base)
-    store = {"folder": folder, "parts": parts, "shards": [(s, *base[s]) for s, _, _ in totals], "records": records, "ids": ids}
+    store = {"folder": folder, "width": width, "parts": parts, "shards": [(s, *base[s]) for s, _, _ in totals], "records": records, "ids": ids}
 
     def add_base(batches):
         for b in batches:
@@ -319,6 +321,7 @@ class _Shards:
         self.first_id = np.array([i for _, _, i in store["shards"]], np.int64)
         self.n_ids = np.diff(np.append(self.first_id, store["ids"]))
         self.n_records = np.diff(np.append(self.first_record, store["records"]))
+        self.kind = np.dtype(store["width"])
         self.at, self.file = -1, None
 
     def _shard(self, i: int):
@@ -340,16 +343,17 @@ class _Shards:
             i += 1
         return b"".join(out)
 
-    def ids(self, start: int, n: int) -> bytes:
-        return self._range(self.first_id, self.n_ids, start, n, 4, lambda i: 0)
+    def ids(self, start: int, n: int) -> np.ndarray:
+        raw = self._range(self.first_id, self.n_ids, start, n, self.kind.itemsize, lambda i: 0)
+        return np.frombuffer(raw, self.kind).astype("<u4")
 
     def lengths(self, record: int, n: int) -> np.ndarray:
-        raw = self._range(self.first_record, self.n_records, record, n, 8, lambda i: 4 * int(self.n_ids[i]))
+        raw = self._range(self.first_record, self.n_records, record, n, 8, lambda i: self.kind.itemsize * int(self.n_ids[i]))
         return np.frombuffer(raw, "<u8").astype(np.int64)
 
 
 def read(places: DataFrame, store: dict, *, key: str = "doc_id") -> DataFrame:
-    """The records at the found places, from the files: key, start, n_tokens, ids binary.
+    """The records at the found places, from the files: key, start, n_tokens, ids binary (32-bit).
 
     One row per record, so a key with several gives several. Places are dealt by
     where they begin, hence each task reads forward through few files.
@@ -374,7 +378,7 @@ def read(places: DataFrame, store: dict, *, key: str = "doc_id") -> DataFrame:
                     sizes.append(size)
                     data.append(shards.ids(int(start[i]), int(n_ids[i])))
                 size = np.concatenate(sizes)
-                ids = np.frombuffer(b"".join(data), "<u4")
+                ids = np.concatenate(data)
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(row)), pa.array(np.concatenate(starts)), pa.array(size), binary_array(ids, np.concatenate(([0], np.cumsum(size))))],
                     names=["key", "start", "n_tokens", "ids"],
