@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, sharding, token_store
+from . import decontaminate, language, minhash, packing, quality_rules, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op3_prob_minhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.classes(table(spark, sf, "documents"))
+
+
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -67,6 +72,19 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.where(language.fold("doc_id") != 0))
+    found = language.identify(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select(
+        "doc_id",
+        (F.coalesce(language.fold("doc_id"), F.lit(-1)) == 0).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_lang_score").alias("score"),
+    )
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.quality(table(spark, sf, "documents"))
