@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, quality_rules, sharding, token_store
+from . import decontaminate, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,18 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
