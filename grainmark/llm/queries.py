@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store
+from . import decontaminate, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,20 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels")
+    model = toxicity.train(docs, labels.where(language.fold("doc_id") != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (F.coalesce(language.fold("doc_id"), F.lit(-1)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
