@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
+from . import decontaminate, html_text, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op2_html_text")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 @query("op3_prob_minhash")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.classes(table(spark, sf, "documents"))
