@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from .names import free
 from .textbytes import ALNUM, CODES_LOWER, ranges, span_hashes, spans, text_slices
 
 #: Bytes of benchmark text in one broadcast block.
@@ -176,15 +177,13 @@ def find_matches(
     n_words, all counted in words from 0. Words are runs of letters and digits, A-Z
     lowered. An item of fewer words than the window matches as a whole. Null texts
     and null items have no words; repeated items match each for itself; an empty
-    benchmark or table gives empty matches. All columns of ``docs`` stay; two whose
-    names begin like the added ones are refused.
+    benchmark or table gives empty matches. All columns of ``docs`` stay; where one has
+    the name of an added one, the added one, always last, gets one more underscore.
     """
-    for c in ("_n_words", "_matches"):
-        if c in docs.columns:
-            raise ValueError(f"the table already has a column {c}")
+    n_words, matches = free("_n_words", docs.columns), free("_matches", docs.columns)
     spark = docs.sparkSession
     ship(spark)
-    out = docs.withColumns({"_n_words": F.lit(None).cast("long"), "_matches": F.array().cast(MATCH_SQL)})
+    out = docs.withColumns({n_words: F.lit(None).cast("long"), matches: F.array().cast(MATCH_SQL)})
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
     rows = next(blocks, [])
     while True:
@@ -199,7 +198,7 @@ def find_matches(
 
 def _pass(docs: DataFrame, text: str, ids, tests) -> DataFrame:
     names = docs.columns
-    t, w, m = names.index(text), names.index("_n_words"), names.index("_matches")
+    t, w, m = names.index(text), len(names) - 2, len(names) - 1
 
     def run(batches):
         known = np.array(ids.value, dtype=object)
@@ -228,7 +227,7 @@ def _pass(docs: DataFrame, text: str, ids, tests) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def hit_words(matches: str = "_matches"):
+def hit_words(matches: str):
     """Words inside any match: the length of the union of the matches' word ranges."""
     # Matches ascend by doc_word within a block; sorted again in case there were several.
     spans_ = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
@@ -245,13 +244,15 @@ def hit_words(matches: str = "_matches"):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``find_matches`` with _n_hit long, _items (distinct item ids) and _contaminated boolean."""
+    """``find_matches`` with _n_hit long, _items (distinct item ids) and _contaminated boolean, named and placed alike."""
     found = find_matches(docs, benchmark, **options)
-    return found.withColumns(
-        {"_n_hit": hit_words(), "_items": F.array_distinct(F.transform("_matches", lambda m: m["item"]))}
-    ).withColumn("_contaminated", F.col("_n_hit") > 0)
+    matches = found.columns[-1]
+    n_hit, items, hit = (free(c, found.columns) for c in ("_n_hit", "_items", "_contaminated"))
+    found = found.withColumns({n_hit: hit_words(matches), items: F.array_distinct(F.transform(matches, lambda m: m["item"]))})
+    return found.withColumn(hit, F.col(n_hit) > 0)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark window, with the columns they had."""
-    return contamination(docs, benchmark, **options).where(~F.col("_contaminated")).select(*docs.columns)
+    found = find_matches(docs, benchmark, **options)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ship import ship
+from .names import free
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "heading"]
 
@@ -242,7 +243,8 @@ BLOCK_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *(
 
 
 def cut_pages(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and _blocks, the blocks of each page with their features."""
+    """The columns ``keep`` and, last, _blocks: the blocks of each page with their features."""
+    last = free("_blocks", keep)
     ship(pages.sparkSession)
     kind = pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in FEATURES)]))
     names = ["text", *FEATURES]
@@ -252,10 +254,10 @@ def cut_pages(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 got = [[dict(zip(names, r)) for r in with_neighbours(blocks(h))] for h in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(got, kind)], names=[*keep, "_blocks"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(got, kind)], names=[*keep, last])
 
-    rows = pages.select(*keep, F.col(html).cast("string").alias("_html"))
-    return rows.mapInArrow(run, T.StructType([*(pages.schema[c] for c in keep), T.StructField("_blocks", BLOCK_TYPE)]))
+    rows = pages.select(*keep, F.col(html).cast("string").alias(free("_html", keep)))
+    return rows.mapInArrow(run, T.StructType([*(pages.schema[c] for c in keep), T.StructField(last, BLOCK_TYPE)]))
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: list[str] | None = None, rule=None) -> DataFrame:
@@ -263,14 +265,11 @@ def extract(pages: DataFrame, *, html: str = "html", keep: list[str] | None = No
 
     Character references are decoded, white space inside a block is one blank, blocks
     are joined by a line feed. A null or empty page, or one without an article, has
-    the empty text. Repeated rows are extracted each; a table that has the added
-    columns is refused.
+    the empty text. Repeated rows are extracted each. Where ``keep`` has a column
+    _text, the added one, always last, gets one more leading underscore.
     """
     keep = [c for c in pages.columns if c != html] if keep is None else keep
-    for c in ("_text", "_blocks", "_html"):
-        if c in keep:
-            raise ValueError(f"the table already has a column {c}")
     rule = tree_rule(train_tree(pages.sparkSession)) if rule is None else rule
     cut = cut_pages(pages, html, keep)
-    kept = F.filter("_blocks", lambda b: tree_column(rule, b))
-    return cut.select(*keep, F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("_text"))
+    kept = F.filter(cut.columns[-1], lambda b: tree_column(rule, b))
+    return cut.select(*keep, F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias(free("_text", keep)))

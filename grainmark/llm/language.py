@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ship import ship
+from .names import free
 from .textbytes import text_slices
 
 BINS = 4096
@@ -232,17 +233,16 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bo
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every
     text when nothing was learned. All columns stay (``keep_text`` false drops the
-    text); a table that already has the added ones is refused.
+    text); where a table has a column of an added name, the added one gets one more
+    leading underscore.
     """
-    for c in ("_lang", "_lang_score", "_letters"):
-        if c in docs.columns:
-            raise ValueError(f"the table already has a column {c}")
+    lang, sure, lettered = (free(c, docs.columns) for c in ("_lang", "_lang_score", "_letters"))
     spark = docs.sparkSession
     ship(spark)
     known = spark.sparkContext.broadcast(model)
-    rows = docs.withColumn("_letters", _letters(text))
+    rows = docs.withColumn(lettered, _letters(text))
     names = rows.columns
-    t, letters = names.index(text), names.index("_letters")
+    t, letters = names.index(text), names.index(lettered)
     kept = [i for i, c in enumerate(names) if i != letters and (keep_text or i != t)]
 
     def run(batches):
@@ -253,16 +253,18 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bo
                 language[silent], score[silent] = UND, 0.0
                 cols = [b.column(i).slice(lo, hi - lo) for i in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(language.tolist(), pa.string()), pa.array(score)], names=[*(names[i] for i in kept), "_lang", "_lang_score"]
+                    [*cols, pa.array(language.tolist(), pa.string()), pa.array(score)], names=[*(names[i] for i in kept), lang, sure]
                 )
 
-    schema = T.StructType([rows.schema[i] for i in kept] + [T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([rows.schema[i] for i in kept] + [T.StructField(lang, T.StringType()), T.StructField(sure, T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
-def accepted(identified: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The documents with a language: not ``und``, and a score of ``min_score`` or more."""
-    return identified.where((F.col("_lang") != UND) & (F.col("_lang_score") >= min_score)).drop("_lang", "_lang_score")
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The documents with a language, as they are: not ``und``, and a score of ``min_score`` or more."""
+    found = identify(docs, model, text=text)
+    lang, sure = found.columns[-2:]
+    return found.where((F.col(lang) != UND) & (F.col(sure) >= min_score)).select(*docs.columns)
 
 
 def fold(key: str, folds: int = 5):

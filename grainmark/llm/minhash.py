@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..functions.scratch import materialise
 from ..functions.ship import ship
 from .components import components
+from .names import free
 from .packing import key_type
 from .textbytes import ALNUM, CODES_LOWER, mix, powers, span_hashes, spans, text_slices, window_hashes
 
@@ -349,10 +350,12 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     m = near_duplicates(docs, key=key, text=text, **options)["members"]
     lone = m.where("class is not null").groupBy("class").agg(F.min(F.struct("key", "u")).alias("k"), F.count("*").alias("n"))
     stay = materialise(lone.select("k.key", "k.u"))
-    rows = with_words_id(docs, text, "_u")
-    kept = rows.join(stay.select(F.col("key").alias("_sk"), F.col("u").alias("_su")), F.col("_u").eqNullSafe(F.col("_su")) & F.col(key).eqNullSafe(F.col("_sk")), "left")
-    kept = kept.where(F.col("_u").isNull() | F.col("_su").isNotNull())
+    u, su, sk = (free(c, docs.columns) for c in ("_u", "_su", "_sk"))
+    rows = with_words_id(docs, text, u)
+    right = stay.select(F.col("key").alias(sk), F.col("u").alias(su))
+    kept = rows.join(right, F.col(u).eqNullSafe(F.col(su)) & F.col(key).eqNullSafe(F.col(sk)), "left")
+    kept = kept.where(F.col(u).isNull() | F.col(su).isNotNull())
     again = m.where("u is not null").groupBy("key", "u").count().where("count > 1").limit(1).count()
     if again:  # repeated rows: of equal key and words, one stays
-        kept = kept.where("_u is null").unionByName(kept.where("_u is not null").dropDuplicates(["_u"]))
+        kept = kept.where(F.col(u).isNull()).unionByName(kept.where(F.col(u).isNotNull()).dropDuplicates([u]))
     return kept.select(*docs.columns)

@@ -123,7 +123,27 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The digest of ``packing.pack``: pieces with a checksum in place of their ids."""
+    pieces = packing.pack(docs, vocabulary(BYTE_VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf, "documents"), vocabulary(BYTE_VOCABULARY))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed(table(spark, sf, "documents"))
+
+
+def with_counted_characters(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, if it has one, counted anew where the text's length has changed."""
+    if "n_chars" not in docs.columns:
+        return docs
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

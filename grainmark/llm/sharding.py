@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialise
+from .names import free
 
 #: Blocks of hash values in which slots are numbered; a shard's documents spread evenly over them.
 BLOCKS = 4096
@@ -86,10 +87,11 @@ def descend(key: Column, tree: list[Leaf]) -> Column:
 
 
 def assign(docs: DataFrame, tree: list[Leaf], *, key: str = "doc_id", shard: str = "shard") -> DataFrame:
-    """``docs`` with the shard of each row. Equal keys share a shard; so do all null keys."""
-    if shard in docs.columns:
-        raise ValueError(f"the table already has a column {shard}")
-    return docs.withColumn(shard, descend(key_text(key), tree))
+    """``docs`` with the shard of each row in a last column (with a leading underscore if the name is taken).
+
+    Equal keys share a shard; so do all null keys.
+    """
+    return docs.withColumn(free(shard, docs.columns), descend(key_text(key), tree))
 
 
 def place(docs: DataFrame, tree: list[Leaf], larger: list[Leaf], *, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:

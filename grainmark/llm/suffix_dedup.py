@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions.scratch import materialise
 from ..functions.ship import ship
+from .names import free
 from .textbytes import CODES, mix, ranges, text_slices
 
 LENGTH = 400
@@ -296,37 +297,35 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Every byte covered by a ``length``-byte string that also starts anywhere else, in
     the same text or another, is left out of _kept; strings are judged on the input.
     Repeated rows and equal texts are copies of each other. Null texts are empty. An
-    empty table stays empty; a table that has the added columns is refused.
+    empty table stays empty. Where a table has a column of an added name, the added
+    ones, always last, get one more leading underscore.
     """
-    added = ["_n_bytes", "_n_removed", "_n_spans", "_kept"]
-    for c in (*added, "_ru", "_keep", "_bytes"):
-        if c in docs.columns:
-            raise ValueError(f"the table already has a column {c}")
-    found = repeats(docs, key=key, text=text, length=length, most=most).select(F.col("u").alias("_ru"), "n_removed", "n_spans", F.col("keep").alias("_keep"))
-    found = found.withColumnsRenamed({"n_removed": "_n_removed", "n_spans": "_n_spans"})
-    small = found.agg(F.coalesce(F.sum(F.size("_keep") + 4), F.lit(0))).first()[0] <= most
-    out = docs.join(F.broadcast(found) if small else found, _text_id(text) == F.col("_ru"), "left")
+    n_bytes, n_removed, n_spans, kept, u, keep = (free(c, docs.columns) for c in ("_n_bytes", "_n_removed", "_n_spans", "_kept", "_u", "_keep"))
+    found = repeats(docs, key=key, text=text, length=length, most=most)
+    small = found.agg(F.coalesce(F.sum(F.size("keep") + 4), F.lit(0))).first()[0] <= most
+    found = found.withColumnsRenamed({"u": u, "n_removed": n_removed, "n_spans": n_spans, "keep": keep})
+    out = docs.join(F.broadcast(found) if small else found, _text_id(text) == F.col(u), "left")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    cut = F.aggregate("_keep", F.lit(b""), lambda acc, r: F.concat(acc, F.substring(raw, r["lo"] + 1, r["n"])))
+    cut = F.aggregate(keep, F.lit(b""), lambda acc, r: F.concat(acc, F.substring(raw, r["lo"] + 1, r["n"])))
     zero = F.lit(0).cast("long")
     return out.select(
         *docs.columns,
-        F.octet_length(raw).cast("long").alias("_n_bytes"),
-        F.coalesce("_n_removed", zero).alias("_n_removed"),
-        F.coalesce("_n_spans", zero).alias("_n_spans"),
-        F.when(F.col("_ru").isNull(), raw).otherwise(cut).alias("_kept"),
+        F.octet_length(raw).cast("long").alias(n_bytes),
+        F.coalesce(n_removed, zero).alias(n_removed),
+        F.coalesce(n_spans, zero).alias(n_spans),
+        F.when(F.col(u).isNull(), raw).otherwise(cut).alias(kept),
     )
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the kept text in place of the text (a character cut in two is left out); null texts stay null.
+    """``docs`` with the kept text in place of the text (a character cut in two is left out).
 
-    Documents of which nothing but white space is left go, if something was removed.
+    Null texts stay null, and a document stays when all of its text goes.
     """
     done = remove_repeats(docs, key=key, text=text, **options)
-    kept = F.when(F.col("_n_removed") == 0, F.col(text)).otherwise(whole_characters("_kept"))
-    done = done.withColumn("_kept", kept).where((F.col("_n_removed") == 0) | F.col("_kept").rlike(r"\S"))
-    return done.select(*(F.col("_kept").alias(c) if c == text else c for c in docs.columns))
+    _, n_removed, _, kept = done.columns[-4:]
+    new = F.when(F.col(n_removed) == 0, F.col(text)).otherwise(whole_characters(kept))
+    return done.select(*(new.alias(c) if c == text else c for c in docs.columns))
 
 
 def whole_characters(column: str):
