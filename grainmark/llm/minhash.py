@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.scratch import materialise
 from ..functions.ship import ship
-from .components import components
+from .components import joined
 from .names import free
 from .packing import key_type
 from .textbytes import ALNUM, CODES_LOWER, mix, powers, span_hashes, spans, text_slices, window_hashes
@@ -243,7 +243,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, _LINK)
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 8) -> dict[str, DataFrame]:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 4) -> dict[str, DataFrame]:
     """``members`` (key, u, class) and ``links`` (a, b, jaccard, similarity; ends are texts' u).
 
     A link needs ``threshold`` or more of plain Jaccard similarity of the shingle sets;
@@ -272,53 +272,52 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = materialise(texts)
 
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
-    none = spark.createDataFrame([], _LINK)
-    links, tested, labels = none, None, None
-    for sweep in range(max_sweeps):
-        now = members
+    links, labels, tested = spark.createDataFrame([], _LINK), None, None
+
+    def met(now: DataFrame, sweep: int) -> DataFrame:
+        """Pairs a, b of each member with its bucket's leader of this sweep, if their components differ; u is the member."""
+        order = F.xxhash64("bucket", "u", F.lit(sweep))
+        lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("u").alias("u"), F.col("l").alias("l"))).alias("lead"))
+        pairs = now.join(lead, "bucket").where(F.col("l") != F.col("lead.l"))
+        return pairs.groupBy(F.least("u", "lead.u").alias("a"), F.greatest("u", "lead.u").alias("b")).agg(F.min("u").alias("u"))
+
+    def apart(pool: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components, with these as la and lb."""
         if labels is None:
-            now = members.withColumn("l", F.col("u"))
-        else:
+            return pool.withColumns({"la": F.col("a"), "lb": F.col("b")})
+        a, b = (labels.select(F.col("v").alias(c), F.col("l").alias(f"l{c}")) for c in ("a", "b"))
+        pool = pool.drop("la", "lb").join(a, "a", "left").join(b, "b", "left")
+        return pool.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb")
+
+    best = F.max(F.struct("share", "a", "b")).alias("best")
+    few = [F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(16))]
+    for sweep in range(max_sweeps):
+        now = members.withColumn("l", F.col("u"))
+        if labels is not None:
             now = members.join(labels.withColumnRenamed("v", "u"), "u", "left").withColumn("l", F.coalesce("l", "u"))
             mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo != hi").select("bucket")
-            now = materialise(now.join(mixed, "bucket"))
-        order = F.xxhash64("bucket", "u", F.lit(sweep))
-        lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("u").alias("u"), F.col("l").alias("l"))).alias("lead"))
-        met = now.join(lead, "bucket").where(F.col("l") != F.col("lead.l"))
-        pairs = met.select(F.least("u", F.col("lead.u")).alias("a"), F.greatest("u", F.col("lead.u")).alias("b"), F.col("u")).groupBy("a", "b").agg(F.min("u").alias("u"))
+            now = now.join(mixed, "bucket")
+        pairs = met(now, sweep)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        if not pairs.limit(1).count():
-            break
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         pool = materialise(_estimate(pairs.select("a", "b"), signed, least).join(pairs, ["a", "b"]))
         found = False
-        # The likeliest pair of every text first; then those between components, a few of each two; then the rest.
+        # First every text's likeliest pair, then the likeliest between two components, then all that is left.
         for turn in range(3):
-            if labels is not None:
-                side = lambda c, n: labels.select(F.col("v").alias(c), F.col("l").alias(n))
-                pool = pool.drop("la", "lb").join(side("a", "la"), "a", "left").join(side("b", "lb"), "b", "left")
-                pool = pool.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb")
-                pool = materialise(pool)
-            best = F.max(F.struct("share", "a", "b")).alias("best")
-            if turn == 0:
-                chosen = pool.groupBy("u").agg(best)
-            elif turn == 1:
-                chosen = pool.groupBy(F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(16))).agg(best)
+            pool = pool if turn == 0 and sweep == 0 else materialise(apart(pool))
+            if turn == 2:
+                chosen = pool.select("a", "b")
             else:
-                chosen = pool.select(F.struct("share", "a", "b").alias("best"))
-            chosen = materialise(chosen.select("best.a", "best.b").distinct())
-            if not chosen.limit(1).count():
-                break
+                chosen = pool.groupBy(*(["u"] if turn == 0 else few)).agg(best).select("best.a", "best.b").distinct()
             new = materialise(_verify(chosen, texts, threshold))
-            pool = pool.join(chosen, ["a", "b"], "left_anti")
+            if turn < 2:
+                pool = pool.join(chosen, ["a", "b"], "left_anti")
             if new.limit(1).count():
                 found = True
                 links = links.unionByName(new)
-                labels = components(new.select("a", "b"), labels)
-            elif labels is None:
-                labels = spark.createDataFrame([], "v binary, l binary")
+                labels = joined(labels, new.select("a", "b"))
         if not found:
             break
     out = signed_rows.select("key", "u")
