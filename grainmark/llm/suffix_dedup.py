@@ -38,6 +38,7 @@ from .textbytes import CODES, mix, ranges, text_slices
 LENGTH = 400
 SPREAD = 256
 STEP = 16
+SLICE = 1 << 20
 _U = np.uint64
 _BASE = 0x5851F42D4C957F2D
 _BACK = pow(_BASE, -1, 2**64)
@@ -114,7 +115,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
             if len(first) < b.num_rows:  # copies inside a batch say nothing new
                 b = b.take(pa.array(np.sort(first)))
                 ids = b.column(0)
-            for lo, hi, buf, off in text_slices(b.column(1)):
+            for lo, hi, buf, off in text_slices(b.column(1), SLICE):
                 row, a, s, e = anchors(buf, off, length)
                 if not len(row):
                     continue
@@ -151,7 +152,7 @@ def _border_text(texts: DataFrame, open_: DataFrame, owner: DataFrame, length: i
 
     def run(batches):
         for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(1)):
+            for lo, hi, buf, off in text_slices(b.column(1), SLICE):
                 lists = b.column(2).slice(lo, hi - lo)
                 sizes = np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(hi - lo), sizes)
@@ -174,7 +175,7 @@ def _groups(borders: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for p, q, buf, off in text_slices(b.column(4)):
+            for p, q, buf, off in text_slices(b.column(4), SLICE):
                 r, a, lo, hi = (b.column(i).slice(p, q - p).to_numpy() for i in range(4))
                 first, last = (a - hi) // STEP, (a - lo) // STEP
                 n = last - first + 1
@@ -200,7 +201,7 @@ def _windows(borders: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for p, q, buf, off in text_slices(b.column(5)):
+            for p, q, buf, off in text_slices(b.column(5), SLICE):
                 u, (r, a, lo, hi) = b.column(0).slice(p, q - p), (b.column(i).slice(p, q - p).to_numpy() for i in range(1, 5))
                 lists = b.column(6).slice(p, q - p)
                 row = np.repeat(np.arange(q - p), np.diff(lists.offsets.to_numpy()))
