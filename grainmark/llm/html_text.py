@@ -180,20 +180,22 @@ def labelled_pages() -> list[str]:
         menu = "<ul>" + "".join(f"<li>{link('drop', 1 + (k + case) % 3)}</li>" for k in range(4 + case % 5)) + "</ul>"
         extra = f"<p>{_say('drop', 2 + case % 7 + 9 * (case // 6 % 11))}</p>"
         tail = f"<p>{_say('drop', 2 + case % 5 + 7 * (case // 6 % 9))}</p>"
+        side = f"<h3>{_say('drop', 1 + case % 5)}</h3>{extra}"
         kind = case % 6
         if kind == 0:
-            body = f"<nav>{menu}</nav><div class='ad'>{extra}</div><article>{head}{''.join(prose)}</article><footer>{tail}</footer>"
+            body = f"<nav>{menu}</nav><div class='ad'>{side}</div><article>{head}{''.join(prose)}</article><footer>{tail}</footer>"
         elif kind == 1:
-            body = f"<header>{menu}<div>{_say('drop', 4)}</div></header><main>{head}{''.join(prose)}<aside>{extra}</aside></main><div id='comments'>{extra}{extra}</div>"
+            body = f"<header>{menu}<div>{_say('drop', 4)}</div></header><main>{head}{''.join(prose)}<aside>{side}</aside></main><div id='comments'>{side}{extra}</div>"
         elif kind == 2:
-            body = f"<div class='menu'>{menu}</div><div class='post-content'>{head}{''.join(prose)}<p>{link('keep', 2 + case % 7)}</p></div><div class='sidebar'>{extra}{menu}</div>"
+            body = f"<div class='menu'>{menu}</div><div class='post-content'>{head}{''.join(prose)}<p>{link('keep', 2 + case % 7)}</p></div><div class='sidebar'>{side}{menu}</div>"
         elif kind == 3:  # nothing says what is what but words and links
             plain = [f"<p>{_say('keep', long_ + 9 * k)}</p>" for k in range(4)]
-            body = f"<div>{menu}</div><div>{_say('drop', 1 + case % 4)}</div><div>{head}{''.join(plain)}</div><div>{menu}</div><div>{_say('drop', 2 + case % 5)}</div>"
+            top = f"<div>{_say('drop', 1 + case % 4)}</div>{head}" if case % 12 == 3 else ""  # else the menu meets the prose
+            body = f"<div>{menu}</div>{top}<div>{''.join(plain)}</div><div>{menu}</div><div>{_say('drop', 2 + case % 5)}</div>"
         elif kind == 4:
             body = f"<article><header>{head}</header>{''.join(prose)}<form><p>{_say('drop', 9)}</p></form><p>{_say('keep', short)}</p></article><form>{extra}</form>"
         else:
-            body = f"<div>{menu}</div><article>{head}{''.join(prose[: 1 + case % 4])}</article><section class='comments'><article>{extra}</article></section><footer>{menu}{tail}</footer>"
+            body = f"<div>{menu}</div><article>{head}{''.join(prose[: 1 + case % 4])}</article><section class='comments'><article>{side}</article></section><footer>{menu}{tail}</footer>"
         pages.append(f"<html><head><title>drop</title></head><body>{body}</body></html>")
     return pages
 
