@@ -33,3 +33,39 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{root(spark)}/grainmark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path; a failure to look is an error, not a no."""
+    files, there = _files(spark, path)
+    return files.exists(there)
+
+
+def swap_in(df: DataFrame, path: str) -> None:
+    """Make ``path`` hold exactly ``df``; the old table stays whole until the new one is written.
+
+    The rows go to a folder beside the table first, so they may depend on the old
+    files. If the last rename fails, the old folder is put back.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    clean = path.rstrip("/")
+    df.write.parquet(f"{clean}__new_{mark}")
+    files, here = _files(spark, clean)
+    _, new = _files(spark, f"{clean}__new_{mark}")
+    _, old = _files(spark, f"{clean}__old_{mark}")
+    had = files.exists(here)
+    if had and not files.rename(here, old):
+        raise OSError(f"could not move {clean} aside")
+    if not files.rename(new, here):
+        if had:
+            files.rename(old, here)
+        raise OSError(f"could not move the new table to {clean}")
+    if had:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(clean)

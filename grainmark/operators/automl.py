@@ -377,15 +377,30 @@ def warm_start(df: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
+def value_frequency(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a text column replaced by how many rows hold its value; null stays null."""
+    per = df.filter(col(column).isNotNull()).groupBy(col(column).alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    return df.join(per, col(column) == F.col("__v"), "left").withColumn(column, F.col("__n")).drop("__v", "__n")
+
+
 def feature_importance(df: DataFrame, target: str, columns: Sequence[str] | None = None, trees: int = 50) -> DataFrame:
-    """(feature, importance, share, rank) from a forest over the whole table; text is indexed."""
+    """(feature, importance, share, rank) from a forest over the whole table.
+
+    Text with up to 100 values is indexed; text with more stands as the count of its
+    value, so no column is left out.
+    """
     df = nan_to_null(df).filter(col(target).isNotNull())
     task = advise.detect_task(df, target)
     texts = [c for c in text_columns(df) if c != target and (columns is None or c in columns)]
     nums = [c for c in numeric_columns(df) if c != target and (columns is None or c in columns)]
-    if texts:  # a forest splits on categories, so only columns with few of them
-        row = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in texts]).first()
+    many: list[str] = []
+    if texts:  # a forest splits on categories, of which it takes a limited number
+        row = df.agg(*[F.countDistinct(col(c)).alias(c) for c in texts]).first()
+        many = [c for c in texts if row[c] > 100]
         texts = [c for c in texts if row[c] <= 100]
+    for c in many:
+        df = value_frequency(df, c)
+    nums += many
     rows = df.select(*[number(c).alias(c) for c in nums], *[F.coalesce(col(c), F.lit("")).alias(c) for c in texts], col(target).cast("string").alias("__t") if task != "regression" else number(target).alias(Y))
     stages: list = []
     if nums:

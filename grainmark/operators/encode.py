@@ -45,26 +45,33 @@ def _bins(c: Column) -> Column:
     return F.when(c <= LOW, "low").when(c <= MEDIUM, "medium").when(c <= HIGH, "high").otherwise("very_high")
 
 
+def _few_values(df: DataFrame, names: Sequence[str], form) -> dict[str, set[str]]:
+    """The distinct values of each column in a given form; none for columns with over MOST_LEVELS."""
+    out: dict[str, set[str]] = {c: set() for c in names}
+    if not names:
+        return out
+    shaped = df.select(*[form(col(c).cast("string")).alias(c) for c in names])
+    few = [r["column"] for r in values.value_summary(shaped, names).filter(F.col("n_distinct") <= MOST_LEVELS).select("column").collect()]
+    if few:
+        seen = values.value_counts(shaped, few).filter(values.has_value()).select("column", values.value_text(shaped, few).alias("v"))
+        for r in seen.collect():  # at most MOST_LEVELS per column
+            out[r["column"]].add(r["v"])
+    return out
+
+
 def encoding_profile(df: DataFrame, target: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: distinct, cardinality class, entropy, count ratio,
     boolean-like and ordinal flags, and η² against a numeric target."""
     df = nan_to_null(df)
     names = [c for c in (columns or text_columns(df)) if c != target]
     s = values.value_summary(df, names)
-    # levels of columns with few distinct values; others cannot fit a scale
-    few = [r["column"] for r in s.filter(F.col("n_distinct") <= 4 * MOST_LEVELS).select("column").collect()]
-    levels: dict[str, set[str]] = {c: set() for c in names}
-    raw: dict[str, set[str]] = {c: set() for c in names}
-    if few:
-        seen = values.value_counts(df, few).filter(values.has_value()).select("column", values.value_text(df, few).alias("v"))
-        for r in seen.collect():  # at most 4 × MOST_LEVELS per column
-            levels[r["column"]].add(r["v"].strip().lower())
-            raw[r["column"]].add(r["v"].lower())
+    # Levels are told apart trimmed and lower-cased; a column with more of them than any scale fits none.
+    levels, raw = _few_values(df, names, lambda c: F.lower(F.trim(c))), _few_values(df, names, F.lower)
     rows = []
     for c in names:
         fit = next((o for o in ORDINAL_SCALES if len(levels[c]) >= 2 and levels[c] <= set(o)), None)
         scale = " < ".join(x for x in fit if x in levels[c]) if fit else None
-        is_bool = c in few and any(raw[c] <= set(p) for p in BOOLEAN_PAIRS)
+        is_bool = bool(raw[c]) and any(raw[c] <= set(p) for p in BOOLEAN_PAIRS)
         rows.append((c, is_bool, fit is not None, scale))
     marks = frame(df.sparkSession, rows, "column string, is_boolean boolean, is_ordinal boolean, ordinal_scale string")
     eta = eta_squared(df, names, target) if target and target in numeric_columns(df) else None
@@ -141,11 +148,22 @@ def encoding_summary(advice: DataFrame) -> DataFrame:
 
 
 def one_hot(df: DataFrame, column: str, drop_first: bool = False, limit: int = HIGH) -> DataFrame:
-    """One 0/1 column per value of a low-cardinality column."""
+    """One 0/1 column per value; beyond ``limit`` values one sparse vector column ``<column>_vector`` instead.
+
+    The vector has a place per value in alphabetical order; a null is all zeros.
+    """
     seen = df.filter(col(column).isNotNull()).select(col(column).cast("string").alias("v")).distinct()
     levels = sorted(r["v"] for r in seen.limit(limit + 1).collect())  # bounded by limit + 1
     if len(levels) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use hash or frequency encoding")
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+        index, vector, text = f"__i_{column}", f"{column}_vector", f"__s_{column}"
+        codes = StringIndexer(inputCol=text, outputCol=index, handleInvalid="keep", stringOrderType="alphabetAsc")
+        hot = OneHotEncoder(inputCols=[index], outputCols=[vector], dropLast=True)  # the last place is the null's
+        work = df.withColumn(text, col(column).cast("string"))
+        out = Pipeline(stages=[codes, hot]).fit(work).transform(work)
+        return out.drop(column, text, index)
     keep = levels[1:] if drop_first else levels
     out = df.withColumns({f"{column}_{v}": F.coalesce((col(column).cast("string") == v).cast("int"), F.lit(0)) for v in keep})
     return out.drop(column)

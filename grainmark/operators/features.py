@@ -65,8 +65,8 @@ def numeric_features(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return df.withColumns(out)
 
 
-def interactions(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 5) -> DataFrame:
-    """Products of the first ``limit`` pairs of numeric columns."""
+def interactions(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Products of all pairs of numeric columns (of the first ``limit``)."""
     names = list(columns or numeric_columns(df))
     pairs = list(combinations(names, 2))[:limit]
     return df.withColumns({f"{a}_x_{b}": number(a) * number(b) for a, b in pairs}) if pairs else df

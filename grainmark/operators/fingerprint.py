@@ -157,13 +157,14 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def find_similar(store: DataFrame, probe: DataFrame, k: int = 5, min_similarity: float = 0.5, task: str | None = None) -> DataFrame:
-    """The stored fingerprints most like a probe, the probe itself left out."""
+def find_similar(store: DataFrame, probe: DataFrame, k: int | None = 5, min_similarity: float = 0.5, task: str | None = None) -> DataFrame:
+    """The ``k`` stored fingerprints most like a probe (None: all that are alike enough), the probe itself left out."""
     one = probe.limit(1)
     pool = store if task is None else store.filter(F.col("task") == task)
     both = pool.alias("s").join(F.broadcast(one).alias("p"), F.col("s.fingerprint") != F.col("p.fingerprint"))
     out = both.select(F.col("s.fingerprint"), F.col("s.source"), F.col("s.task"), _similar("s", "p").alias("similarity"))
-    return out.filter(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), "fingerprint").limit(k)
+    out = out.filter(F.col("similarity") >= min_similarity)
+    return out if k is None else out.orderBy(F.desc("similarity"), "fingerprint").limit(k)
 
 
 def collapse(store: DataFrame) -> DataFrame:

@@ -87,8 +87,7 @@ def clear_history(spark: SparkSession, store: str, path: str | None = None) -> i
     before = snaps.count()
     kept = scratch.materialise(keep)
     left = kept.count()
-    kept.write.mode("overwrite").parquet(store)
-    spark.catalog.refreshByPath(store)
+    scratch.swap_in(kept, store)
     return before - left
 
 

@@ -538,21 +538,20 @@ def imputation_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.select("column", "n_before", "n_after", filled.alias("n_filled"), (filled * 100.0 / F.col("n")).alias("pct_filled"))
 
 
-def choose_imputer(df: DataFrame, max_rows_mice: int = 10_000, prefer_speed: bool = False) -> str:
-    """Method name by time column, mechanism, rate and size."""
+def choose_imputer(df: DataFrame, prefer_speed: bool = False) -> str:
+    """Method name by time column, mechanism and rate, whatever the size."""
     df = nan_to_null(df)
     if any("date" in c.lower() or "time" in c.lower() or c.lower() == "ts" for c in df.columns):
         return "timeseries"
     mech = missing_mechanism(df).first()["mechanism"]
     if mech == "NONE":
         return "mean"
-    facts = analyze_missing(df).first()
-    n, rate = facts["n_rows"], facts["missing_rate"]
-    if prefer_speed or n > 100_000:
+    rate = analyze_missing(df).first()["missing_rate"]
+    if prefer_speed:
         return "median" if rate < 0.05 else "knn"
     if mech == "MCAR":
         return "median" if rate < 0.05 else "knn" if rate < 0.20 else "missforest"
-    return "mice" if n <= max_rows_mice else "missforest"
+    return "mice"
 
 
 def long_missing(df: DataFrame) -> DataFrame:

@@ -72,6 +72,29 @@ def impute_knn(df: DataFrame, key: str, columns: Sequence[str] | None = None, k:
     return impute.impute_simple(rest.select(*[col(c) for c in df.columns]), "mean")
 
 
+def _with_count(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with __n_<column>: how many rows hold the column's value (0 for null)."""
+    name = f"__n_{column}"
+    if name in df.columns:
+        return df
+    per = df.groupBy(col(column).alias("__v")).agg(F.count(F.lit(1)).cast("double").alias(name))
+    return df.join(per, col(column) == F.col("__v"), "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop("__v")
+
+
+def _conditional_mode(df: DataFrame, column: str, given: Sequence[str]) -> DataFrame:
+    """Missing cells of a text column take the commonest value among rows that agree in ``given`` (the first column of it).
+
+    Ties go to the smallest value; where no row agrees, the earlier fill stays.
+    """
+    if not given:
+        return df
+    known = df.filter(~F.col(f"__m_{column}"))
+    counts = known.groupBy(col(given[0]).alias("__g"), col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    best = counts.groupBy("__g").agg(F.min(F.struct(-F.col("__n"), "__v"))["__v"].alias("__b"))  # one row per class, at most MAX_CLASSES
+    out = df.join(F.broadcast(best), col(given[0]) == F.col("__g"), "left")
+    return out.withColumn(column, F.when(F.col(f"__m_{column}"), F.coalesce("__b", col(column))).otherwise(col(column))).drop("__g", "__b")
+
+
 Learner = Callable[[str, str], object]
 
 
@@ -92,20 +115,27 @@ def _iterate(df: DataFrame, columns: Sequence[str] | None, regress: Learner, cla
         aggs = {c: F.approx_count_distinct(col(c)) for c in usable if c not in num}
         row = df.agg(*[a.alias(c) for c, a in aggs.items()]).first()
         classes = {c: row[c] for c in aggs}
-    features = [c for c in usable if c in num or classes[c] <= MAX_CLASSES]
+    # Text with more classes than a tree takes is a feature by how often its value occurs.
+    wide = [c for c in usable if c not in num and classes[c] > MAX_CLASSES]
     work = df.withColumns({f"__m_{c}": col(c).isNull() for c in holes})
     start = clean.fill(work, {**clean.fill_values(df, initial, [c for c in holes])})
     work = scratch.materialise(start)
     for _ in range(rounds):
         for c in holes:
-            inputs = [f for f in features if f != c]
-            if not inputs or (c not in num and classes[c] > MAX_CLASSES):
+            inputs = [f for f in usable if f != c]
+            if not inputs:
+                continue
+            if c in wide:
+                work = _conditional_mode(work, c, [f for f in inputs if f not in num and f not in wide])
                 continue
             stages: list = []
             cols = []
             for f in inputs:
                 if f in num:
                     cols.append(f)
+                elif f in wide:
+                    work = _with_count(work, f)
+                    cols.append(f"__n_{f}")
                 else:
                     stages.append(StringIndexer(inputCol=f, outputCol=f"__i_{f}", handleInvalid="keep", stringOrderType="alphabetAsc"))
                     cols.append(f"__i_{f}")

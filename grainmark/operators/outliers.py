@@ -326,28 +326,19 @@ def outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def choose_method(df: DataFrame, columns: Sequence[str] | None = None) -> str:
-    """Pick a detector from size, width, normality and skew."""
+    """Pick a detector from width, normality and skew, whatever the size."""
     df = nan_to_null(df)
     names = list(columns or numeric_columns(df))
-    n = df.count()
-    if n < 3:
-        return "iqr"
-    if n < 30:
-        return "grubbs" if len(names) == 1 else "iqr"
     if len(names) == 1:
         x = number(names[0])
         got = one_row(df, {"n": F.count(x), "g1": F.skewness(x), "g2": F.kurtosis(x)})
         m, g1, g2 = got["n"], got["g1"] or 0.0, got["g2"] or 0.0
         normal = math.exp(-m / 6 * (g1 * g1 + g2 * g2 / 4) / 2) > 0.05 if m >= 8 else False
         skew = abs(g1) * math.sqrt(m * (m - 1)) / (m - 2) if m > 2 else 0.0
-        if normal and n < 100:
+        if normal:
             return "zscore"
         return "modified_zscore" if skew > 1.0 else "iqr"
-    if n < 100:
-        return "mcd"
-    if len(names) > 10:
-        return "isolation_forest"
-    return "lof" if n < 1000 else "isolation_forest"
+    return "isolation_forest"
 
 
 def recommendations(df: DataFrame, flags: Sequence[str]) -> DataFrame:

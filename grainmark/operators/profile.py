@@ -138,8 +138,8 @@ def example_outliers(df: DataFrame, order: Sequence[str], limit: int = 100, k: f
     )
 
 
-def column_summary(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Type, null percentage, distinct count and commonest value of the first columns."""
+def column_summary(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Type, null percentage, distinct count and commonest value of every column (of the first ``limit``)."""
     df = nan_to_null(df)
     names = df.columns[:limit]
     dtype = F.create_map(*[F.lit(x) for c in names for x in (c, df.schema[c].dataType.simpleString())])

@@ -434,8 +434,8 @@ class Quality:
         rows = [(float(self.overall), grade(self.overall), n)]
         return frame(self.spark, rows, "overall double, grade string, n_issues int")
 
-    def recommendations(self, limit: int = 12) -> DataFrame:
-        """Advice for dimensions below 85, worst first."""
+    def recommendations(self, limit: int | None = None) -> DataFrame:
+        """Advice for every issue of dimensions below 85, worst first (the first ``limit`` lines)."""
         advice = {
             "mostly_missing": "drop or impute",
             "missing": "impute",
@@ -456,11 +456,7 @@ class Quality:
             score, _, found = self.parts[k]
             if score >= 85:
                 continue
-            per: dict[str, int] = {}
             for issue, c, _v in found:
-                per[issue] = per.get(issue, 0) + 1
-                if per[issue] > (2 if k != "completeness" else 3):
-                    continue
                 if issue in advice:
                     rows.append((k, c, advice[issue]))
                 elif issue.startswith("personal_data"):

@@ -525,7 +525,7 @@ def full_stats_report(df: DataFrame, columns: Sequence[str] | None = None, group
         long(outliers.grubbs_test(df, names), "grubbs", c, ["statistic", "critical"]),
     ]
     for g in groups:
-        for x in names[:5]:
+        for x in names:
             part = stats.compare_groups(df, x, g).withColumn("column", F.lit(f"{x} by {g}"))
             parts.append(long(part, "groups", c, ["statistic", "p_value"]))
     return reduce(lambda a, b: union_all([a, b]), parts)

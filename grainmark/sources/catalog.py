@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, count_if, frame, kinds, nan_to_null, number, numeric_columns, report, union_all
 
-# Statements that may never be sent.
-FORBIDDEN = [
-    "DROP", "DELETE", "TRUNCATE", "ALTER", "INSERT", "UPDATE", "CREATE", "GRANT",
-    "REVOKE", "EXEC", "EXECUTE", "LOAD_FILE",
-]
+# Fixed value: the statements that may never be sent, as one pattern.
+FORBIDDEN = re.compile(
+    r"--|;|\bDROP\b|\bDELETE\b|\bTRUNCATE\b|\bALTER\b|\bINSERT\b|\bUPDATE\b|\bCREATE\b|\bGRANT\b|"
+    r"\bREVOKE\b|\bEXEC\b|\bEXECUTE\b|\bXP_\w+|\bINTO\s+OUTFILE\b|\bLOAD_FILE\b",
+    re.IGNORECASE,
+)
+#: A LIMIT of the outermost SELECT: the end of the text, hence outside brackets and strings.
+OWN_LIMIT = re.compile(r"\bLIMIT\s+\w+(\s+OFFSET\s+\w+)?\s*$", re.IGNORECASE)
 MAX_SQL = 10_000
 
 
@@ -24,18 +27,17 @@ def check_sql(sql: str) -> str:
     text = sql.strip()
     if not text.upper().startswith("SELECT"):
         raise ValueError("only SELECT is allowed")
-    words = "|".join(FORBIDDEN)
-    if re.search(rf"--|;|\b({words})\b|\bXP_\w+|\bINTO\s+OUTFILE\b", text, re.IGNORECASE):
+    if FORBIDDEN.search(text):
         raise ValueError("forbidden statement")
     if len(text) > MAX_SQL:
         raise ValueError("query too long")
     return text
 
 
-def guarded_sql(spark: SparkSession, sql: str, limit: int | None = 10_000) -> DataFrame:
-    """Run a checked SELECT; a limit is added when the text has none."""
+def guarded_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Run a checked SELECT, whole unless a ``limit`` is given; a LIMIT of its own goes first."""
     out = spark.sql(check_sql(sql))
-    return out if limit is None or re.search(r"\bLIMIT\b", sql, re.IGNORECASE) else out.limit(limit)
+    return out if limit is None or OWN_LIMIT.search(sql) else out.limit(limit)
 
 
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -100,21 +102,30 @@ def quick_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def template_query(df: DataFrame, name: str, order: Sequence[str] = ()) -> DataFrame:
-    """preview, count, columns, nulls, distinct or numeric over one table."""
+def template_query(df: DataFrame, name: str, order: Sequence[str] = (), columns: int | None = None, limit: int | None = None) -> DataFrame:
+    """preview, count, columns, nulls, distinct or numeric over one table.
+
+    ``columns`` looks at the first so many only, ``limit`` keeps so many rows; both
+    are whole by default (a preview is ten rows).
+    """
+
+    def cut(out: DataFrame) -> DataFrame:
+        out = out.orderBy(*[col(o) for o in order]) if order and name != "distinct" else out
+        return out if limit is None else out.limit(limit)
+
     if name == "preview":
-        return preview(df, 10, order)
+        return preview(df, limit or 10, order)
     if name == "count":
         return df.agg(F.count(F.lit(1)).alias("total"))
     if name == "columns":
-        return preview(df.select(*[col(c) for c in df.columns[:6]]), 1000, order)
+        return cut(df.select(*[col(c) for c in df.columns[:columns]]))
     if name == "nulls":
         any_null = F.lit(False)
-        for c in df.columns[:4]:
+        for c in df.columns[:columns]:
             any_null = any_null | col(c).isNull()
-        return preview(df.filter(any_null), 100, order)
+        return cut(df.filter(any_null))
     if name == "distinct":
-        return df.select(col(df.columns[0])).distinct().orderBy(col(df.columns[0])).limit(100)
+        return df.select(col(df.columns[0])).distinct().orderBy(col(df.columns[0])).transform(cut)
     if name == "numeric":
         x = number(numeric_columns(df)[0])
         return df.agg(

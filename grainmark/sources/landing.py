@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,45 +177,54 @@ def keep_last(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     return best.select(*[col(k) for k in key], *[F.col("__r")[c].alias(c) for c in rest]).select(*[col(c) for c in df.columns])
 
 
+def one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key, nulls alike; of several the smallest by the other columns, in their order."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*[col(k) for k in key]).agg(F.min(F.struct(*[col(c) for c in rest])).alias("__r"))
+    return best.select(*[col(k) if k in key else F.col("__r")[k].alias(k) for k in df.columns])
+
+
+def _unseen(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key ``other`` doesn't hold; a null equals a null."""
+    right = other.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)])
+    return df.join(right, same, "left_anti")
+
+
 def upsert(existing: DataFrame, fresh: DataFrame, key: Sequence[str]) -> DataFrame:
-    """New rows win over old rows with the same key."""
-    new = fresh.dropDuplicates(list(key))
-    return existing.join(new.select(*[col(k) for k in key]), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+    """New rows win over old rows with the same key; of equal new keys ``one_per_key`` says which."""
+    new = one_per_key(fresh, key)
+    return _unseen(existing, new, key).unionByName(new, allowMissingColumns=True)
 
 
 def insert_ignore(existing: DataFrame, fresh: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Old rows win; only unseen keys are added."""
-    new = fresh.dropDuplicates(list(key)).join(existing.select(*[col(k) for k in key]), list(key), "left_anti")
-    return existing.unionByName(new, allowMissingColumns=True)
+    """Old rows win; only unseen keys are added, one row each as in ``one_per_key``."""
+    return existing.unionByName(_unseen(one_per_key(fresh, key), existing, key), allowMissingColumns=True)
 
 
-def land_table(
-    df: DataFrame, path: str, mode: str = "replace", key: Sequence[str] = ()
-) -> DataFrame:
+def land_table(df: DataFrame, path: str, mode: str = "replace", key: Sequence[str] = ()) -> DataFrame:
     """replace, append, skip, upsert or ignore into a Parquet table; returns the table.
 
-    Merging modes write the merged rows to the shared scratch folder first, so
-    the old files are only replaced by data that no longer depends on them.
+    Only a missing path counts as "no table yet": a table that can't be read is an
+    error in every mode and stays as it is. Replacing and merging write a new folder
+    and rename it into place.
     """
     spark = df.sparkSession
-    old = None
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no table yet
-        old = None
+    if mode not in ("replace", "append", "skip", "upsert", "ignore"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode in ("upsert", "ignore") and not key:
+        raise ValueError(f"{mode} needs a key")
+    old = spark.read.parquet(path) if scratch.exists(spark, path) else None
     if old is None or mode == "replace":
-        df.write.mode("overwrite").parquet(path)
+        scratch.swap_in(df, path)
     elif mode == "append":
         df.write.mode("append").parquet(path)
-    elif mode == "skip":
-        pass
-    elif mode in ("upsert", "ignore"):
-        if not key:
-            raise ValueError(f"{mode} needs a key")
-        merged = upsert(old, df, key) if mode == "upsert" else insert_ignore(old, df, key)
-        scratch.materialise(merged).write.mode("overwrite").parquet(path)
-    else:
-        raise ValueError(f"unknown mode: {mode}")
+    elif mode == "upsert":
+        scratch.swap_in(upsert(old, df, key), path)
+    elif mode == "ignore":
+        scratch.swap_in(insert_ignore(old, df, key), path)
     spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 

@@ -15,7 +15,6 @@ from ..functions.columns import col
 from .names import dedupe_columns
 
 SEPARATORS = [",", ";", "\t", "|"]
-SNIFF_LINES = 200
 
 
 @dataclass
@@ -68,15 +67,18 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
 
 
 def sniff_separator(spark: SparkSession, path: str, encoding: str) -> str:
-    """The separator that cuts the first lines into the most equal-width rows."""
-    rows = [r["line"] or "" for r in _lines(spark, path, encoding).limit(SNIFF_LINES).collect()]
+    """The separator that cuts the lines, all of them, into the most rows as wide as the first."""
+    lines = _lines(spark, path, encoding).select(F.coalesce("line", F.lit("")).alias("line"))
+    first = lines.first()
+    if first is None:
+        return ","
+    heads = [first["line"].count(s) for s in SEPARATORS]
+    width = [F.length("line") - F.length(F.replace(F.col("line"), F.lit(s), F.lit(""))) for s in SEPARATORS]
+    same = lines.agg(*[F.avg((w == h).cast("int")).alias(f"s{i}") for i, (w, h) in enumerate(zip(width, heads))]).first()
     best, score = ",", 0.0
-    for sep in SEPARATORS:
-        widths = [line.count(sep) for line in rows]
-        head = widths[0] if widths else 0
-        same = sum(w == head for w in widths) / max(len(widths), 1)
-        if head and same * head > score:
-            best, score = sep, same * head
+    for i, sep in enumerate(SEPARATORS):
+        if heads[i] and same[i] * heads[i] > score:
+            best, score = sep, same[i] * heads[i]
     return best
 
 

@@ -48,11 +48,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    out = J.interactions(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    out = J.interactions(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], limit=5)
     made = [c for c in out.columns if "_x_" in c]
     return out.select("l_orderkey", *[F.round(c, 4).alias(c) for c in made])
 
 
+@query(
+    "interactions_all",
+    "SELECT p_partkey, round(p_partkey::DOUBLE * p_size, 4) AS p_partkey_x_p_size, round(p_partkey * p_retailprice, 4) AS p_partkey_x_p_retailprice, round(p_size * p_retailprice, 4) AS p_size_x_p_retailprice FROM part",
+)
+def _(spark, sf):
+    out = J.interactions(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"))
+    return out.select("p_partkey", *[F.round(c, 4).alias(c) for c in out.columns if "_x_" in c])
+
+
 @query(
     "text_features",
     """SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length,

@@ -175,14 +175,14 @@ REC = "SELECT fingerprint, task || '_' || source AS strategy, CAST(o_orderkey AS
 @query(
     "recommend_strategy",
     PROBE
-    + f""", r AS ({REC}), m AS (SELECT s.fingerprint, ({SIM})::DOUBLE AS similarity FROM s, p WHERE s.fingerprint <> p.fingerprint AND {SIM} >= 0.5 ORDER BY similarity DESC, s.fingerprint LIMIT 2000),
+    + f""", r AS ({REC}), m AS (SELECT s.fingerprint, ({SIM})::DOUBLE AS similarity FROM s, p WHERE s.fingerprint <> p.fingerprint AND {SIM} >= 0.5),
     w AS (SELECT strategy, sum(ml_score / 100.0 * similarity) AS weight, count(*) AS n_used FROM r JOIN m USING (fingerprint) WHERE ml_score >= 65 GROUP BY 1)
     SELECT strategy, round(weight, 4) AS weight, n_used, round(weight / (SELECT sum(weight) FROM w), 3) AS confidence FROM w ORDER BY weight DESC, strategy LIMIT 1""",
 )
 def _(spark, sf):
     s = _store(spark, sf)
     rec = s.selectExpr("fingerprint", "concat(task, '_', source) AS strategy", "CAST(o_orderkey AS STRING) AS parameters", "ml_score")
-    sim = P.find_similar(s, _probe(spark, sf), 2000)
+    sim = P.find_similar(s, _probe(spark, sf), None)
     return P.recommend(sim, rec).select("strategy", F.round("weight", 4).alias("weight"), "n_used", "confidence")
 
 
@@ -199,7 +199,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = _store(spark, sf)
     rec = s.selectExpr("fingerprint", "concat(task, '_', source) AS strategy", "CAST(o_orderkey AS STRING) AS parameters", "ml_score")
-    return P.select_strategy(_probe(spark, sf), P.recommend(P.find_similar(s, _probe(spark, sf), 100), rec))
+    return P.select_strategy(_probe(spark, sf), P.recommend(P.find_similar(s, _probe(spark, sf), None), rec))
 
 
 @query(

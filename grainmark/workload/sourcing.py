@@ -171,6 +171,11 @@ def _(spark, sf):
     "template_columns",
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 1000",
 )
+def _(spark, sf):
+    return C.template_query(table(spark, sf, "orders"), "columns", ["o_orderkey"], columns=6, limit=1000)
+
+
+@query("template_columns_all", "SELECT * FROM orders")
 def _(spark, sf):
     return C.template_query(table(spark, sf, "orders"), "columns", ["o_orderkey"])
 
@@ -181,12 +186,25 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = gappy(spark, sf).select("quantity", "price", "l_orderkey", "l_partkey")
-    return C.template_query(df, "nulls", ["l_orderkey", "l_partkey", "quantity", "price"])
+    return C.template_query(df, "nulls", ["l_orderkey", "l_partkey", "quantity", "price"], limit=100)
+
+
+@query(
+    "template_nulls_all",
+    G + "SELECT * FROM g WHERE l_orderkey IS NULL OR l_partkey IS NULL OR l_suppkey IS NULL OR quantity IS NULL OR discount IS NULL OR price IS NULL OR flag IS NULL OR status IS NULL OR shipped IS NULL",
+)
+def _(spark, sf):
+    return C.template_query(gappy(spark, sf), "nulls")
 
 
 @query("template_distinct", "SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 100")
 def _(spark, sf):
-    return C.template_query(table(spark, sf, "part").select("p_brand", "p_size"), "distinct")
+    return C.template_query(table(spark, sf, "part").select("p_brand", "p_size"), "distinct", limit=100)
+
+
+@query("template_distinct_all", "SELECT DISTINCT p_partkey FROM part ORDER BY 1")
+def _(spark, sf):
+    return C.template_query(table(spark, sf, "part").select("p_partkey", "p_size"), "distinct")
 
 
 @query(
