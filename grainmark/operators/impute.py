@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -337,11 +338,12 @@ HALO = 60  # a knot's influence fades by about 0.27 per knot: 60 knots are far b
 def _curvature(pdf: pd.DataFrame) -> pd.DataFrame:
     """Second derivatives of the interpolating cubic at a block's own knots.
 
-    True series ends get the not-a-knot condition; ends that are only block
-    borders lie ``HALO`` knots away from every own knot.
+    True series ends, own or in the halo, get the not-a-knot condition; ends that are
+    only block borders lie ``HALO`` knots away from every own knot.
     """
     pdf = pdf.sort_values("p")
     x, y, own = pdf["p"].to_numpy(float), pdf["v"].to_numpy(float), pdf["own"].to_numpy(bool)
+    head, tail = bool(pdf["head"].iloc[0]), bool(pdf["tail"].iloc[-1])
     n = len(x)
     m = np.full(n, np.nan)
     if n >= 4:
@@ -349,10 +351,10 @@ def _curvature(pdf: pd.DataFrame) -> pd.DataFrame:
         slope = np.diff(y) / h
         low, diag, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
         rhs = 6 * np.diff(slope)
-        if own[0]:
+        if head:
             diag[0] += low[0] * (h[0] + h[1]) / h[1]
             up[0] -= low[0] * h[0] / h[1]
-        if own[-1]:
+        if tail:
             diag[-1] += up[-1] * (h[-1] + h[-2]) / h[-2]
             low[-1] -= up[-1] * h[-1] / h[-2]
         for i in range(1, n - 2):
@@ -364,13 +366,13 @@ def _curvature(pdf: pd.DataFrame) -> pd.DataFrame:
         for i in range(n - 4, -1, -1):
             inner[i] = (rhs[i] - up[i] * inner[i + 1]) / diag[i]
         m[1:-1] = inner
-        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1] if own[0] else 0.0
-        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2] if own[-1] else 0.0
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1] if head else 0.0
+        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2] if tail else 0.0
     pdf = pdf.assign(m=m, np_=pdf["p"].shift(-1), nv=pdf["v"].shift(-1), nm=pd.Series(m, index=pdf.index).shift(-1))
     first, last = np.zeros(n, bool), np.zeros(n, bool)
-    if own[0]:
+    if own[0] and head:
         first[0] = True
-    if own[-1]:
+    if own[-1] and tail:
         last[-1] = True
         if n > 1:  # the last knot continues the last interval
             for name, source in (("np_", "p"), ("nv", "v"), ("nm", "m")):
@@ -384,6 +386,7 @@ def impute_spline(
     columns: Sequence[str],
     group: Sequence[str] = (),
     extrapolate: bool = False,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """Interpolating cubic spline by row position (not-a-knot ends).
 
@@ -401,7 +404,11 @@ def impute_spline(
             *[col(g).alias(n) for g, n in zip(group, names)], F.col("__pos").alias("p"), number(c).alias("v")
         )
         knots = values.with_position(seen, ["p"], "__k")
-        halo = values.blocks_with_halo(knots, "__k", HALO, HALO, rows=20_000)
+        ends = seen.groupBy(*names).agg(F.min("p").alias("__lo"), F.max("p").alias("__hi")).withColumnsRenamed({n: f"{n}e" for n in names})
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}e")) for n in names], F.lit(True))
+        knots = knots.join(ends, same) if names else knots.crossJoin(F.broadcast(ends))  # one row without groups
+        knots = knots.select(*[F.col(n) for n in seen.columns], "__k", (F.col("p") == F.col("__lo")).alias("head"), (F.col("p") == F.col("__hi")).alias("tail"))
+        halo = values.blocks_with_halo(knots, "__k", HALO, HALO, rows=block_rows)
         schema = ", ".join(
             [f"{n} {seen.schema[n].dataType.simpleString()}" for n in names]
             + ["p long", "v double", "m double", "np_ double", "nv double", "nm double", "is_first boolean", "is_last boolean"]

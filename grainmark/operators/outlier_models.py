@@ -143,12 +143,17 @@ def isolation_forest(
     df, names, ok = _complete(df, columns)
     spark = df.sparkSession
     ship(spark)
-    order = F.xxhash64(F.lit(seed), *[col(c) for c in names])
-    rows = df.filter(ok).select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)], order.alias("h"))
-    picked = rows.orderBy("h", *[f"x{i}" for i in range(len(names))]).limit(trees * sample)
+    rows = df.filter(ok).select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)])
+    # A hash of the row's place draws rows, so equal rows are drawn each for itself.
+    rows = values.with_position(rows, [f"x{i}" for i in range(len(names))], "p")
+    rows = scratch.materialise(rows.withColumn("h", F.xxhash64(F.lit(seed), "p")).drop("p"))
+    want = trees * sample
+    share = min(1.0, 1.2 * want / max(1, rows.count()) + 1e-4)  # a little more than wanted goes to the sort
+    near = rows.where(F.col("h") / F.lit(float(2**64)) + 0.5 < F.lit(share)) if share < 1 else rows
+    picked = near.orderBy("h").limit(want)
     # the same rows serve every tree when the table is small: a tree draws its own share
     bag = scratch.materialise(picked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "u", F.xxhash64(F.lit(seed), "tree", "h", *[f"x{i}" for i in range(len(names))])
+        "u", F.xxhash64(F.lit(seed), "tree", "h")
     ))
     xs = [f"x{i}" for i in range(len(names))]
 

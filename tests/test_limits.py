@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from grainmark.operators import automl, encode, impute, impute_models, outliers, profile, stats
+from grainmark.operators import automl, encode, impute, impute_models, outlier_models, outliers, profile, stats
 from grainmark.sources import catalog, landing, names, readers
 
 
@@ -102,3 +102,26 @@ def test_whole_by_default(spark):
 
 def test_reserved_words():
     assert names.clean_name("exclusive") == "exclusive" and names.clean_name("select") == "select_col" and len(names.RESERVED) == len(set(names.RESERVED))
+
+
+def test_spline_blocks_meet(spark):
+    df = spark.range(700).select(
+        "id",
+        (F.col("id") / 230).cast("int").alias("g"),
+        F.when(F.col("id") % 3 != 1, F.sin(F.col("id") * 0.3) * 5 + F.pmod(F.col("id") * 7919, F.lit(13))).alias("v"),
+    )
+    for group in ([], ["g"]):
+        whole, cut = (
+            {r["id"]: r["v"] for r in impute.impute_spline(df, ["id"], ["v"], group, True, block_rows=n).collect()} for n in (10_000, 103)
+        )
+        assert set(whole) == set(range(700))
+        assert all(abs(whole[i] - cut[i]) < 1e-9 for i in whole)
+
+
+def test_forest_with_one_value_in_most_rows(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 10 != 0, 5.0).otherwise(F.pmod(F.col("id") * 31, F.lit(101)) / 10.0).alias("x"), F.when(F.col("id") % 10 != 0, 1.0).otherwise(F.pmod(F.col("id") * 17, F.lit(97)) / 50.0).alias("y"))
+    got = outlier_models.isolation_forest(df, ["x", "y"], trees=20, contamination=0.05)
+    scores = got.groupBy(F.col("id") % 10 != 0).agg(F.avg("score").alias("s"), F.max("is_outlier").alias("o")).collect()
+    common = next(r for r in scores if r[0])
+    rare = next(r for r in scores if not r[0])
+    assert common["s"] < 0.5 < rare["s"] and not common["o"]
