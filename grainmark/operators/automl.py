@@ -12,7 +12,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,14 +169,44 @@ def log_loss(pred: DataFrame, label: str = Y, probability: str = "probability")
 
 
 def auc(pred: DataFrame, label: str = Y, score: str = "rawPrediction") -> float:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score).evaluate(pred)
+    """Area under the ROC curve over all distinct scores."""
+    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score, numBins=0).evaluate(pred)
+
+
+def with_score(pred: DataFrame) -> DataFrame:
+    """``pred`` with __score, how strongly each row is called class 1: probability, margin, or the class itself."""
+    if "probability" in pred.columns:
+        s = F.get(vector_to_array(F.col("probability")), 1)
+    elif "rawPrediction" in pred.columns:
+        s = F.get(vector_to_array(F.col("rawPrediction")), 1)
+    else:
+        s = number("prediction")
+    return pred.withColumn("__score", F.coalesce(s.cast("double"), F.lit(0.0)))
+
+
+def classification_report(pred: DataFrame, label: str = Y) -> DataFrame:
+    """``classification_metrics``, for two classes also f1, precision, recall of class 1 and roc_auc, and log_loss from probabilities."""
+    m = classification_metrics(pred, label)
+    rows: list[tuple[str, float]] = []
+    two = pred.filter(~col(label).isin(0.0, 1.0)).isEmpty() and pred.select(label).distinct().limit(3).count() == 2
+    if two:
+        at = {(r["truth"], r["guess"]): r["n"] for r in confusion(pred, label).collect()}  # four cells
+        tp, fp, fn = at.get((1.0, 1.0), 0), at.get((0.0, 1.0), 0), at.get((1.0, 0.0), 0)
+        rows += [("f1", 2 * tp / max(1, 2 * tp + fp + fn)), ("precision", tp / max(1, tp + fp)), ("recall", tp / max(1, tp + fn))]
+        rows.append(("roc_auc", auc(with_score(pred), label, "__score")))
+    if "probability" in pred.columns:
+        rows.append(("log_loss", float(log_loss(pred, label) or 0.0)))
+    return m.unionByName(frame(pred.sparkSession, [(k, float(v)) for k, v in rows], "metric string, value double"))
 
 
 def score_of(pred: DataFrame, task: str) -> float:
-    """The figure models are ranked by: accuracy, or R²."""
-    m = regression_metrics(pred) if task == "regression" else classification_metrics(pred)
-    name = "r2" if task == "regression" else "accuracy"
-    return float(m.filter(F.col("metric") == name).first()["value"] or 0.0)
+    """The figure models are ranked by: R², for two classes the ROC area, for more the macro F1."""
+    if task == "regression":
+        return float(regression_metrics(pred).filter("metric = 'r2'").first()["value"] or 0.0)
+    k = pred.select(Y).distinct().limit(3).count()
+    if k == 2 and pred.filter(~col(Y).isin(0.0, 1.0)).isEmpty():
+        return float(auc(with_score(pred), Y, "__score"))
+    return float(classification_metrics(pred).filter("metric = 'f1_macro'").first()["value"] or 0.0)
 
 
 # ---- linear and quadratic discriminants from class moments ----
@@ -191,7 +221,11 @@ class Discriminant:
 
     def transform(self, df: DataFrame) -> DataFrame:
         best = F.array_max(F.array(*[F.struct(e.alias("s"), F.lit(c).alias("c")) for c, e in self.terms.items()]))
-        return df.withColumn("prediction", best["c"])
+        logs = F.array(*[self.terms[c] for c in sorted(self.terms)])
+        out = df.withColumns({"prediction": best["c"], "__t": logs})
+        parts = F.transform("__t", lambda t: F.exp(t - F.array_max("__t")))
+        total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return out.withColumn("probability", array_to_vector(F.transform(parts, lambda x: x / total))).drop("__t")
 
 
 def fit_discriminant(df: DataFrame, kind: str = "lda", features: str = X, label: str = Y, width: int | None = None) -> Discriminant:
@@ -323,37 +357,66 @@ def leaderboard(cv: DataFrame, seconds: Mapping[str, float] | None = None) -> Da
 # ---- ensembles ----
 
 
+def _model_output(pred: DataFrame, name: str, classes: int) -> DataFrame:
+    """A model's answer in one column p_<name>: the number, or the probability of every class (a sure 1 where it has none)."""
+    if not classes:
+        return pred.withColumnRenamed("prediction", f"p_{name}")
+    if "probability" in pred.columns:
+        p = vector_to_array(F.col("probability"))
+    else:
+        p = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (k == F.col("prediction")).cast("double"))
+    return pred.withColumn(f"p_{name}", p).drop("prediction", "rawPrediction", "probability")
+
+
+def soft_vote(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the mean of the models' class probabilities and the likeliest class (ties: the smallest)."""
+    k = len(columns)
+    mean = F.col(columns[0])
+    for c in columns[1:]:
+        mean = F.zip_with(mean, F.col(c), lambda a, b: a + b)
+    out = df.withColumn("__p", F.transform(mean, lambda x: x / k))
+    first = F.array_position("__p", F.array_max("__p")) - 1
+    return out.withColumns({"prediction": first.cast("double"), "probability": array_to_vector(F.col("__p"))}).drop("__p")
+
+
 def voting(prep: Prepared, names: Sequence[str], train: DataFrame, test: DataFrame) -> DataFrame:
-    """Mean prediction for numbers, majority of the models for classes."""
+    """Mean prediction for numbers, likeliest class by mean probability for classes."""
+    classes = 0 if prep.task == "regression" else max(len(prep.labels), 2)
     out = test
     for n in names:
         model = make(n, prep.task, len(prep.names), max(len(prep.labels), 2)).fit(train)
-        out = model.transform(out).withColumnRenamed("prediction", f"p_{n}")
-        out = out.drop("rawPrediction", "probability")
-    cols = [F.col(f"p_{n}") for n in names]
+        out = _model_output(model.transform(out), n, classes)
     if prep.task == "regression":
+        cols = [F.col(f"p_{n}") for n in names]
         return out.withColumn("prediction", sum(cols[1:], cols[0]) / len(cols))
-    votes = F.array(*cols)
-    scored = F.transform(votes, lambda v: F.struct((-F.size(F.filter(votes, lambda u: u == v))).alias("s"), v.alias("v")))
-    return out.withColumn("prediction", F.array_min(scored)["v"])
+    return soft_vote(out, [f"p_{n}" for n in names])
 
 
 def stacking(prep: Prepared, names: Sequence[str], key: Sequence[str], train: DataFrame, test: DataFrame, folds: int = 3) -> DataFrame:
-    """Out-of-fold predictions of the base models feed a ridge or logistic model."""
+    """Out-of-fold answers of the base models (numbers, or class probabilities) feed a ridge or logistic model."""
+    classes = 0 if prep.task == "regression" else max(len(prep.labels), 2)
     data = scratch.materialise(advise.k_folds(train, key, folds, seed=11))
     parts = []
     for f in range(folds):
         part = data.filter(F.col("fold") == f)
         for n in names:
             m = make(n, prep.task, len(prep.names), max(len(prep.labels), 2)).fit(data.filter(F.col("fold") != f))
-            part = m.transform(part).withColumnRenamed("prediction", f"p_{n}").drop("rawPrediction", "probability")
+            part = _model_output(m.transform(part), n, classes)
         parts.append(part)
     meta = scratch.materialise(union_all(parts))
     out = test
     for n in names:
         m = make(n, prep.task, len(prep.names), max(len(prep.labels), 2)).fit(train)
-        out = m.transform(out).withColumnRenamed("prediction", f"p_{n}").drop("rawPrediction", "probability")
-    va = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta")
+        out = _model_output(m.transform(out), n, classes)
+
+    def flat(df: DataFrame) -> DataFrame:  # the last class's probability says nothing new
+        if not classes:
+            return df
+        return df.withColumns({f"p_{n}_{k}": F.get(f"p_{n}", k) for n in names for k in range(classes - 1)})
+
+    inputs = [f"p_{n}_{k}" for n in names for k in range(classes - 1)] if classes else [f"p_{n}" for n in names]
+    meta, out = flat(meta), flat(out)
+    va = VectorAssembler(inputCols=inputs, outputCol="meta")
     top = R.LinearRegression(featuresCol="meta", labelCol=Y, regParam=0.01) if prep.task == "regression" else C.LogisticRegression(featuresCol="meta", labelCol=Y)
     return top.fit(va.transform(meta)).transform(va.transform(out))
 
@@ -514,5 +577,5 @@ def run_automl(df: DataFrame, target: str, key: Sequence[str], models: Sequence[
     width = len(prep.names)
     model = fit_discriminant(train, best, width=width) if best in ("lda", "qda") else make(best, prep.task, width, max(len(prep.labels), 2)).fit(train)
     pred = model.transform(test)
-    metrics = regression_metrics(pred) if prep.task == "regression" else classification_metrics(pred)
+    metrics = regression_metrics(pred) if prep.task == "regression" else classification_report(pred)
     return AutoML(prep.task, board, best, model, prep, metrics, seconds)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import automl as A
@@ -125,6 +126,36 @@ def _(spark, sf):
     return A.regression_metrics(p).withColumn("value", F.round("value", 4))
 
 
+LIKELY = "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS label, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS prediction, (l_quantity + 100 * l_discount) / 100 AS p"
+
+
+@query(
+    "binary_report",
+    f"""WITH p AS (SELECT label AS y, prediction AS g, round(p, 4)::DOUBLE AS p FROM (SELECT {LIKELY} FROM lineitem)), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM p),
+    c AS (SELECT count(*) FILTER (y = 1 AND g = 1)::DOUBLE AS tp, count(*) FILTER (y = 0 AND g = 1)::DOUBLE AS fp, count(*) FILTER (y = 1 AND g = 0)::DOUBLE AS fn FROM p)
+    SELECT 'f1' AS metric, round(2 * tp / (2 * tp + fp + fn), 6) AS value FROM c UNION ALL SELECT 'precision', round(tp / (tp + fp), 6) FROM c UNION ALL SELECT 'recall', round(tp / (tp + fn), 6) FROM c
+    UNION ALL SELECT 'roc_auc', round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)::DOUBLE / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE, 6) FROM r
+    UNION ALL SELECT 'log_loss', round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) FROM p""",
+)
+def _(spark, sf):
+    p = table(spark, sf, "lineitem").selectExpr(*[e.strip() for e in LIKELY.replace(" AS label, ", " AS label; ").replace(" AS prediction, ", " AS prediction; ").split(";")])
+    p = p.withColumn("p", F.round("p", 4).cast("double")).withColumn("probability", array_to_vector(F.array(1 - F.col("p"), F.col("p"))))
+    out = A.classification_report(p.withColumns({c: F.col(c).cast("double") for c in ("label", "prediction")}))
+    return out.filter("metric in ('f1', 'precision', 'recall', 'roc_auc', 'log_loss')").withColumn("value", F.round("value", 6))
+
+
+@query(
+    "soft_vote",
+    """WITH p AS (SELECT c_custkey, (c_custkey % 7) / 8.0 AS a, (c_custkey % 5) / 8.0 AS b, (c_custkey % 11) / 16.0 AS c FROM customer)
+    SELECT c_custkey, CASE WHEN a + b + c > 3 - (a + b + c) THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM p""",
+)
+def _(spark, sf):
+    p = table(spark, sf, "customer").selectExpr(
+        "c_custkey", *[f"array(1 - (c_custkey % {m}) / {d}D, (c_custkey % {m}) / {d}D) AS p{m}" for m, d in ((7, 8), (5, 8), (11, 16))]
+    )
+    return A.soft_vote(p, ["p7", "p5", "p11"]).select("c_custkey", "prediction")
+
+
 @query("model_catalog")
 def _(spark, sf):
     n = table(spark, sf, "lineitem").count()
