@@ -154,7 +154,11 @@ _check(
 )
 
 
-@query("rule_custom")
+@query(
+    "rule_custom",
+    """SELECT 'l_extendedprice' AS "column", 'custom' AS "check", CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS outcome, n AS n_bad
+    FROM (SELECT count(*) FILTER (NOT (l_extendedprice > l_quantity)) AS n FROM lineitem)""",
+)
 def _(spark, sf):
     rule = C.Rule(custom=F.col("l_extendedprice") > F.col("l_quantity"))
     return C.validate_schema(table(spark, sf, "lineitem"), {"l_extendedprice": rule})
@@ -255,7 +259,13 @@ def _(spark, sf):
     return C.schema_table(df, C.infer_schema(df))
 
 
-@query("schema_round_trip")
+@query(
+    "schema_round_trip",
+    """WITH f AS (SELECT count(*) - count(n_nationkey) AS a, count(*) - count(DISTINCT n_nationkey) AS b, count(*) - count(n_name) AS c, count(*) - count(DISTINCT n_name) AS d, count(*) - count(n_regionkey) AS e FROM nation),
+    r AS (SELECT unnest([('n_nationkey', 'required', a), ('n_nationkey', 'unique', b), ('n_nationkey', 'type', 0), ('n_nationkey', 'min', 0), ('n_nationkey', 'max', 0), ('n_name', 'required', c), ('n_name', 'unique', d),
+      ('n_regionkey', 'required', e), ('n_regionkey', 'type', 0), ('n_regionkey', 'min', 0), ('n_regionkey', 'max', 0)]) AS t FROM f)
+    SELECT t[1] AS "column", t[2] AS "check", CASE WHEN t[3] = 0 THEN 'passed' ELSE 'failed' END AS outcome, t[3] AS n_bad FROM r""",
+)
 def _(spark, sf):
     df = table(spark, sf, "nation")
     schema = C.schema_from_dict(C.schema_to_dict(C.infer_schema(df)))

@@ -172,7 +172,11 @@ def _(spark, sf):
     return out.filter("`column` = 'text'").select("column", "issue")
 
 
-@query("quality_column_names")
+@query(
+    "quality_column_names",
+    """WITH n AS (SELECT unnest(['nation key', 'name!', 'n_regionkey']) AS c) SELECT c AS "column", 'name_has_spaces' AS issue FROM n WHERE c LIKE '% %'
+    UNION ALL SELECT c, 'name_has_specials' FROM n WHERE regexp_matches(c, '[^A-Za-z0-9_]')""",
+)
 def _(spark, sf):
     df = table(spark, sf, "nation").toDF("nation key", "name!", "n_regionkey")
     return Q.score_quality(df).issues().filter("issue like 'name%'").select("column", "issue")

@@ -136,7 +136,11 @@ KEYS = [
 ]
 
 
-@query("table_summary")
+@query(
+    "table_summary",
+    """SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS dtype,
+    true AS nullable, column_name = 'c_custkey' AS primary_key, CASE WHEN column_name = 'c_nationkey' THEN 'nation.n_nationkey' ELSE '' END AS foreign_key FROM (DESCRIBE customer)""",
+)
 def _(spark, sf):
     return C.table_summary(table(spark, sf, "customer"), ["c_custkey"], KEYS)
 
@@ -215,7 +219,11 @@ def _(spark, sf):
     return C.template_query(table(spark, sf, "events").select("value", "event_type"), "numeric").withColumn("avg_val", F.round("avg_val", 6))
 
 
-@query("foreign_keys")
+@query(
+    "foreign_keys",
+    """SELECT 'orders' AS "table", 'o_custkey' AS "column", 'customer' AS other, 'c_custkey' AS other_column, count(*) AS n_orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'customer', 'c_nationkey', 'nation', 'n_nationkey', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)""",
+)
 def _(spark, sf):
     tables = {t: table(spark, sf, t) for t in ("customer", "nation", "orders")}
     return C.foreign_keys(spark, KEYS).join(C.fk_violations(tables, KEYS), ["table", "column"])
@@ -277,7 +285,7 @@ def _(spark, sf):
     return L.cast_to_detected(df, L.type_map(L.detect_column_types(df)))
 
 
-@query("add_audit_columns")
+@query("add_audit_columns", "SELECT *, 'region.parquet' AS __source_file FROM region")
 def _(spark, sf):
     return L.add_audit_columns(table(spark, sf, "region"), "region.parquet").drop("__loaded_at")
 
@@ -349,7 +357,13 @@ def _(spark, sf):
     return types.select("column", "type").withColumn("ddl", F.lit(ddl))
 
 
-@query("land_many")
+@query(
+    "land_many",
+    " UNION ALL ".join(
+        f"SELECT (SELECT count(*) FROM {t}) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) + 2 AS INTEGER) AS n_columns, 'ok' AS status" for t in ("nation", "region", "supplier")
+    )
+    + " UNION ALL SELECT 0, 0, 'failed'",
+)
 def _(spark, sf):
     paths = []
     for t in ("nation", "region", "supplier"):
