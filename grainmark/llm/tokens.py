@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from .textbytes import CODES, CODES_LOWER, SOLID, ranges, span_hashes, text_slices
 
-TOKEN_SLICE = 8 << 20
+TOKEN_SLICE = 5 << 20
 _MARK = b" \x01 "
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
