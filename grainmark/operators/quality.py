@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -157,45 +157,62 @@ def pair_expressions(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def measure(df: DataFrame) -> dict:
-    """Every number the dimensions need."""
+#: What each dimension looks at, besides the row count.
+NEEDS = {
+    "completeness": {"nulls"},
+    "uniqueness": {"values", "duplicates"},
+    "validity": {"ranges", "case", "values"},
+    "consistency": {"rules", "numeric"},
+    "integrity": {"pii"},
+    "distribution": {"moments", "outliers", "values"},
+    "ml_readiness": {"nulls", "values", "pairs"},
+}
+
+
+def measure(df: DataFrame, dimensions: Sequence[str] | None = None) -> dict:
+    """Every number the dimensions (all by default) need, and none that they don't."""
     df = nan_to_null(df)
+    want = set().union(*(NEEDS[d] for d in dimensions or NEEDS))
     num, text = numeric_columns(df), text_columns(df)
-    gaps = sum((col(c).isNull().cast("int") for c in df.columns[1:]), col(df.columns[0]).isNull().cast("int"))
-    aggs: dict[str, Column] = {"n": F.count(F.lit(1)), "full": count_if(gaps == 0)}
-    for c in df.columns:
-        aggs[f"null|{c}"] = count_if(col(c).isNull())
-        for k, e in pii_cells(df, c).items():
-            aggs[f"pii|{c}|{k}"] = F.coalesce(F.max(e), F.lit(False))
+    aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
+    if "nulls" in want:
+        gaps = sum((col(c).isNull().cast("int") for c in df.columns[1:]), col(df.columns[0]).isNull().cast("int"))
+        aggs["full"] = count_if(gaps == 0)
+        aggs.update({f"null|{c}": count_if(col(c).isNull()) for c in df.columns})
+    if "pii" in want:
+        for c in df.columns:
+            aggs.update({f"pii|{c}|{k}": F.coalesce(F.max(e), F.lit(False)) for k, e in pii_cells(df, c).items()})
     for c in num:
         x = number(c)
-        aggs[f"cnt|{c}"], aggs[f"g1|{c}"], aggs[f"g2|{c}"] = F.count(x), F.skewness(x), F.kurtosis(x)
-        hint = hinted(c, RANGES)
+        if "moments" in want:
+            aggs[f"cnt|{c}"], aggs[f"g1|{c}"], aggs[f"g2|{c}"] = F.count(x), F.skewness(x), F.kurtosis(x)
+        hint = hinted(c, RANGES) if "ranges" in want else None
         if hint:
             lo, hi = RANGES[hint]
             aggs[f"range|{c}"] = count_if((x < lo) | (x > hi))
-        if hinted(c, NEVER_NEGATIVE):
+        if "ranges" in want and hinted(c, NEVER_NEGATIVE):
             aggs[f"neg|{c}"] = count_if(x < 0)
     for c in text:
-        for k, e in case_flags(col(c)).items():
-            aggs[f"case|{c}|{k}"] = F.coalesce(F.max(e), F.lit(False))
-        aggs[f"numeric|{c}"] = F.avg(looks_numeric(col(c)).cast("double"))
-    for k, e in pair_expressions(df).items():
-        aggs[f"rule|{k}"] = count_if(e)
+        if "case" in want:
+            aggs.update({f"case|{c}|{k}": F.coalesce(F.max(e), F.lit(False)) for k, e in case_flags(col(c)).items()})
+        if "numeric" in want:
+            aggs[f"numeric|{c}"] = F.avg(looks_numeric(col(c)).cast("double"))
+    if "rules" in want:
+        aggs.update({f"rule|{k}": count_if(e) for k, e in pair_expressions(df).items()})
     got = one_row(df, aggs)
-    if len(num) > 1:
+    if "pairs" in want and len(num) > 1:
         pairs = {f"r|{a}|{b}": corr(number(a), number(b)) for a, b in combinations(num, 2)}
         got.update(one_row(df.select(*[col(c) for c in num]).na.drop("any"), pairs))
-    cols = {r["column"]: r.asDict() for r in values.value_summary(df).collect()}  # one row per column
-    lim = profile.fences(df) if num else {}
+    cols = {r["column"]: r.asDict() for r in values.value_summary(df).collect()} if "values" in want else {}  # one row per column
     if not cols:
         cols = {c: {"n_distinct": 0, "n_missing": 0, "top_n_any": 0} for c in df.columns}
+    lim = profile.fences(df) if num and "outliers" in want else {}
     out_n = one_row(df, {c: count_if((number(c) < lo) | (number(c) > hi)) for c, (lo, hi, _) in lim.items()}) if lim else {}
     return {
         "agg": got,
         "columns": cols,
         "outliers": out_n,
-        "duplicates": profile.duplicate_rows(df).first()[0],
+        "duplicates": profile.duplicate_rows(df).first()[0] if "duplicates" in want else 0,
         "num": num,
         "text": text,
         "names": df.columns,
@@ -403,15 +420,21 @@ def grade(score: float) -> str:
 
 
 class Quality:
-    """The measured quality of one table; every view is a small DataFrame."""
+    """The measured quality of one table; every view is a small DataFrame.
+
+    With ``dimensions``, only these are measured and only they count.
+    """
 
-    def __init__(self, df: DataFrame, weights: Mapping[str, float] | None = None, measured: Mapping | None = None):
+    def __init__(
+        self, df: DataFrame, weights: Mapping[str, float] | None = None, measured: Mapping | None = None, dimensions: Sequence[str] | None = None
+    ):
         self.spark = df.sparkSession
-        self.weights = dict(weights or WEIGHTS)
-        self.facts = measured or measure(df)
+        asked = list(dimensions or DIMENSIONS)
+        self.weights = {k: w for k, w in (weights or WEIGHTS).items() if k in asked}
+        self.facts = measured or measure(df, asked)
         if not self.facts["agg"]["n"]:
             raise ValueError("the table has no rows")
-        self.parts = {k: f(self.facts) for k, f in DIMENSIONS.items()}
+        self.parts = {k: f(self.facts) for k, f in DIMENSIONS.items() if k in asked}
 
     @property
     def overall(self) -> float:
@@ -466,8 +489,8 @@ class Quality:
         return frame(self.spark, rows[:limit], "dimension string, column string, advice string")
 
 
-def score_quality(df: DataFrame, weights: Mapping[str, float] | None = None) -> Quality:
-    return Quality(df, weights)
+def score_quality(df: DataFrame, weights: Mapping[str, float] | None = None, dimensions: Sequence[str] | None = None) -> Quality:
+    return Quality(df, weights, dimensions=dimensions)
 
 
 def mixed_types(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ COMPLETE = (
 
 @query("quality_completeness", COMPLETE)
 def _(spark, sf):
-    return _part("completeness", Q.score_quality(gappy(spark, sf)))
+    return _part("completeness", Q.score_quality(gappy(spark, sf), dimensions=["completeness"]))
 
 
 # A small table derived from parts: copies, a constant and a near-constant column.
@@ -49,7 +49,7 @@ def _odd(spark, sf):
     UNION ALL SELECT 'id_penalty', 20.0""",
 )
 def _(spark, sf):
-    return _part("uniqueness", Q.score_quality(_odd(spark, sf)))
+    return _part("uniqueness", Q.score_quality(_odd(spark, sf), dimensions=["uniqueness"]))
 
 
 # Names that carry hints, with values that break them.
@@ -85,7 +85,7 @@ def _range(c, lo, hi):
       + 3 * (max(CASE WHEN padded <> trim(padded) THEN 1 ELSE 0 END))::INT AS DOUBLE) FROM h""",
 )
 def _(spark, sf):
-    return _part("validity", Q.score_quality(_hint(spark, sf)))
+    return _part("validity", Q.score_quality(_hint(spark, sf), dimensions=["validity"]))
 
 
 def _issue(check):
@@ -147,7 +147,7 @@ def _(spark, sf):
     df = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderdate").alias("start_date"), F.col("l_shipdate").alias("end_date"), "l_quantity"
     )
-    return Q.score_quality(df).issues().filter("issue = 'date'").select("column", "value")
+    return Q.score_quality(df, dimensions=["consistency"]).issues().filter("issue = 'date'").select("column", "value")
 
 
 @query(
@@ -156,7 +156,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "part").selectExpr("p_retailprice AS min_cost", "1000 + p_size * 10 AS max_cost", "p_brand")
-    return Q.score_quality(df).issues().filter("issue = 'minmax'").select("column", "value")
+    return Q.score_quality(df, dimensions=["consistency"]).issues().filter("issue = 'minmax'").select("column", "value")
 
 
 @query(
@@ -168,7 +168,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "documents").select("text", "lang")
-    out = Q.score_quality(df).issues().filter("issue like 'personal_data%'")
+    out = Q.score_quality(df, dimensions=["integrity"]).issues().filter("issue like 'personal_data%'")
     return out.filter("`column` = 'text'").select("column", "issue")
 
 
@@ -179,7 +179,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "nation").toDF("nation key", "name!", "n_regionkey")
-    return Q.score_quality(df).issues().filter("issue like 'name%'").select("column", "issue")
+    return Q.score_quality(df, dimensions=["integrity"]).issues().filter("issue like 'name%'").select("column", "issue")
 
 
 DNUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -203,7 +203,7 @@ DIST = (
 
 @query("quality_distribution", DIST)
 def _(spark, sf):
-    return _part("distribution", Q.score_quality(table(spark, sf, "lineitem").select(*DNUM, *DTXT)))
+    return _part("distribution", Q.score_quality(table(spark, sf, "lineitem").select(*DNUM, *DTXT), dimensions=["distribution"]))
 
 
 @query(
@@ -215,7 +215,7 @@ def _(spark, sf):
     UNION ALL SELECT 'collinearity', 100.0 - 10 * ((abs(corr(o_orderkey, o_custkey)) > 0.95)::INT + (abs(corr(o_orderkey, o_totalprice)) > 0.95)::INT + (abs(corr(o_custkey, o_totalprice)) > 0.95)::INT) FROM orders""",
 )
 def _(spark, sf):
-    return _part("ml_readiness", Q.score_quality(table(spark, sf, "orders")))
+    return _part("ml_readiness", Q.score_quality(table(spark, sf, "orders"), dimensions=["ml_readiness"]))
 
 
 LI_COLS = [*DNUM, *DTXT]
