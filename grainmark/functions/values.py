@@ -54,11 +54,11 @@ def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     """
     fields = [df.schema[n] for n in (names or df.columns)]
     structs = []
-    for f in fields:
+    for k, f in enumerate(fields):
         slot, value = _cell(f)
         structs.append(
             F.struct(
-                F.lit(f.name).alias("column"),
+                F.lit(k).alias("c"),  # a number goes through the exchange, not the name
                 (value if slot == "i" else F.lit(None).cast("long")).alias("i"),
                 (value if slot == "d" else F.lit(None).cast("double")).alias("d"),
                 (value if slot == "s" else F.lit(None).cast("string")).alias("s"),
@@ -66,8 +66,9 @@ def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
         )
     return (
         df.select(F.inline(F.array(*structs)))
-        .groupBy("column", "i", "d", "s")
+        .groupBy("c", "i", "d", "s")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("c")).alias("column"), "i", "d", "s", "n")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import values
+from ..functions import scratch, values
 from ..functions.columns import col, constant, count_if, frame, kinds, nan_to_null, number, numeric_columns, one_row
 from . import profile
 
@@ -138,7 +138,7 @@ def apply_safe_fixes(
         if violations is not None
         else []
     )
-    out = remove_duplicates(df)
+    out = scratch.materialise(remove_duplicates(df))  # every later step reads it again
     before, after = df.count(), out.count()
     if before != after:
         actions.append(("drop_duplicates", None, None, before - after))

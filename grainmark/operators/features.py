@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import scratch, values
 from ..functions.columns import (
     col,
     frame,
@@ -217,7 +217,7 @@ def prepare_for_ml(
     spark = df.sparkSession
     log: list[tuple] = []
     n0 = df.count()
-    out = clean.remove_duplicates(df)
+    out = scratch.materialise(clean.remove_duplicates(df))  # every later step reads it again
     n1 = out.count()
     log.append(("duplicates_removed", None, n0 - n1, None))
     if missing_strategy == "drop":
