@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 _TINY = 1e-300
 
 
@@ -19,6 +21,26 @@ def norm_sf(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2.0))
 
 
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of an array: a series near zero, a continued fraction beyond."""
+    x = np.asarray(x, float)
+    z = np.abs(x)
+    near = z < 2.0
+    small, large = np.where(near, z, 0.0), np.where(near, 2.0, z)
+    term = small.copy()
+    total = small.copy()
+    for k in range(1, 60):  # erf as sum of 2^k x^(2k+1) / (1·3·…·(2k+1)), all terms positive
+        term = term * 2 * small * small / (2 * k + 1)
+        total += term
+    series = 1 - 2 / math.sqrt(math.pi) * np.exp(-small * small) * total
+    tail = np.zeros_like(large)
+    for k in range(90, 0, -1):
+        tail = k / 2 / (large + tail)
+    fraction = np.exp(-large * large) / math.sqrt(math.pi) / (large + tail)
+    out = np.where(near, series, fraction)
+    return np.where(x < 0, 2 - out, out)
+
+
 def _bisect(f, target: float, lo: float, hi: float) -> float:
     """Solve f(x) = target for increasing f."""
     for _ in range(200):

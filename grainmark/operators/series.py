@@ -458,7 +458,8 @@ def fit_distributions(df: DataFrame, column: str, rounds: int = 12, min_n: int =
             (k, i, up): moved(k, i, up) for k, (p, free, _) in fits.items() for i in range(len(p)) if free[i] for up in (1, -1)
         }
         got = one_row(df, {f"{k}|{i}|{up}": F.sum(_log_density(k, x, p)) for (k, i, up), p in tries.items()})
-        for k, (p, free, kk) in list(fits.items()):
+        wanted: dict[str, list[float]] = {}
+        for k, (p, free, kk) in fits.items():
             here = score[k] if score[k] is not None else -math.inf
             new = list(p)
             for i in range(len(p)):
@@ -472,15 +473,22 @@ def fit_distributions(df: DataFrame, column: str, rounds: int = 12, min_n: int =
                 else:
                     steps[k][i] /= 2.5
             if new != p:
-                both = one_row(df, {"v": F.sum(_log_density(k, x, new))})["v"] if sum(a != b for a, b in zip(new, p)) > 1 else None
-                if both is not None and math.isfinite(both) and both > here:
-                    fits[k], score[k] = (new, free, kk), both
-                else:  # keep only the best single move
-                    cand = [(got[f"{k}|{i}|{up}"], tries[k, i, up]) for i in range(len(p)) if free[i] for up in (1, -1)]
-                    cand = [c for c in cand if c[0] is not None and math.isfinite(c[0])]
-                    v, pp = max(cand, key=lambda c: c[0])
-                    if v > here:
-                        fits[k], score[k] = (pp, free, kk), v
+                wanted[k] = new
+        # Moves of several parameters at once are tried together, in one more pass.
+        several = {k: new for k, new in wanted.items() if sum(a != b for a, b in zip(new, fits[k][0])) > 1}
+        joint = one_row(df, {k: F.sum(_log_density(k, x, new)) for k, new in several.items()}) if several else {}
+        for k, new in wanted.items():
+            p, free, kk = fits[k]
+            here = score[k] if score[k] is not None else -math.inf
+            both = joint.get(k)
+            if both is not None and math.isfinite(both) and both > here:
+                fits[k], score[k] = (new, free, kk), both
+            else:  # keep only the best single move
+                cand = [(got[f"{k}|{i}|{up}"], tries[k, i, up]) for i in range(len(p)) if free[i] for up in (1, -1)]
+                cand = [c for c in cand if c[0] is not None and math.isfinite(c[0])]
+                v, pp = max(cand, key=lambda c: c[0])
+                if v > here:
+                    fits[k], score[k] = (pp, free, kk), v
     good = {k: v for k, v in score.items() if v is not None and math.isfinite(v)}
     names = sorted(good, key=lambda k: 2 * fits[k][2] - 2 * good[k])
     params = {k: [float(v) for v in fits[k][0]] for k in names}

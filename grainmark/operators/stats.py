@@ -255,14 +255,12 @@ TAILS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("cdf", "log_cdf
 def normal_tails(z: pd.Series) -> pd.DataFrame:
     """Φ(z), ln Φ(z) and ln(1 − Φ(z)), stable far into both tails."""
     x = z.to_numpy(float)
-    erfc = np.frompyfunc(math.erfc, 1, 1)
-
     def log_tail(t):
-        p = 0.5 * erfc(np.minimum(t, 35.0) / math.sqrt(2)).astype(float)
+        p = 0.5 * special.erfc(np.minimum(t, 35.0) / math.sqrt(2))
         far = -0.5 * t * t - np.log(np.maximum(t, 1.0) * math.sqrt(2 * math.pi))
         return np.where(t > 35, far, np.log(p))
 
-    return pd.DataFrame({"cdf": 0.5 * erfc(-x / math.sqrt(2)).astype(float), "log_cdf": log_tail(-x), "log_sf": log_tail(x)})
+    return pd.DataFrame({"cdf": 0.5 * special.erfc(-x / math.sqrt(2)), "log_cdf": log_tail(-x), "log_sf": log_tail(x)})
 
 
 def edf_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
