@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .names import free
-from .textbytes import ALNUM, CODES_LOWER, ranges, span_hashes, spans, text_slices
+from .textbytes import ALNUM, CODES_LOWER, ranges, span_hashes, spans, text_slices, tidy
 
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 32 << 20
@@ -224,7 +224,7 @@ def _pass(docs: DataFrame, text: str, ids, tests) -> DataFrame:
                 cols[w], cols[m] = pa.array(total), found
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def hit_words(matches: str):

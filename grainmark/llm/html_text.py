@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ship import ship
+from .textbytes import tidy
 from .names import free
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "heading"]
@@ -259,7 +260,7 @@ def cut_pages(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(got, kind)], names=[*keep, last])
 
     rows = pages.select(*keep, F.col(html).cast("string").alias(free("_html", keep)))
-    return rows.mapInArrow(run, T.StructType([*(pages.schema[c] for c in keep), T.StructField(last, BLOCK_TYPE)]))
+    return rows.mapInArrow(tidy(run), T.StructType([*(pages.schema[c] for c in keep), T.StructField(last, BLOCK_TYPE)]))
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: list[str] | None = None, rule=None) -> DataFrame:

@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from ..functions.ship import ship
 from .names import free
-from .textbytes import text_slices
+from .textbytes import text_slices, tidy
 
 BINS = 4096
-_ROWS = 512
+_ROWS = 256
 UND = "und"
 
 # Families of languages by ISO 639-1 code. A code that is missing is a family of its own.
@@ -224,7 +224,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_langu
         w = linear_machine(x, pdf["y"].to_numpy().astype(float))
         return pd.DataFrame({"machine": [pdf["machine"].iloc[0]], "w": [w.astype(np.float32).tobytes()]})
 
-    fitted = sample.mapInArrow(run, "machine string, y int, x binary").groupBy("machine").applyInPandas(fit, "machine string, w binary")
+    fitted = sample.mapInArrow(tidy(run), "machine string, y int, x binary").groupBy("machine").applyInPandas(fit, "machine string, w binary")
     return Model(families, {r["machine"]: np.frombuffer(r["w"], np.float32) for r in fitted.collect()})
 
 
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bo
                 )
 
     schema = T.StructType([rows.schema[i] for i in kept] + [T.StructField(lang, T.StringType()), T.StructField(sure, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", min_score: float = 0.3) -> DataFrame:

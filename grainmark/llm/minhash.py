@@ -32,7 +32,7 @@ from ..functions.ship import ship
 from .components import joined
 from .names import free
 from .packing import key_type
-from .textbytes import ALNUM, CODES_LOWER, mix, powers, span_hashes, spans, text_slices, window_hashes
+from .textbytes import ALNUM, CODES_LOWER, mix, powers, span_hashes, spans, text_slices, tidy, window_hashes
 
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
@@ -166,7 +166,7 @@ def sign(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField("key", kind), T.StructField("u", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())]
     )
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def with_words_id(docs: DataFrame, text: str, name: str = "_u") -> DataFrame:
@@ -181,7 +181,7 @@ def with_words_id(docs: DataFrame, text: str, name: str = "_u") -> DataFrame:
                 ids, count = weighted_ids(buf, off)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), _words_of(ids, count)], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.BinaryType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema, T.StructField(name, T.BinaryType())]))
 
 
 def weighted_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def _estimate(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share)], names=["a", "b", "share"])
             yield out.filter(keep)
 
-    return rows.select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary, share double")
+    return rows.select("a", "b", "ra", "rb").mapInArrow(tidy(run), "a binary, b binary, share double")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -240,7 +240,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain), pa.array(weighted)], names=["a", "b", "jaccard", "similarity"])
             yield out.filter(pa.array(plain >= threshold))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, _LINK)
+    return rows.select("a", "b", "ta", "tb").mapInArrow(tidy(run), _LINK)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 4) -> dict[str, DataFrame]:

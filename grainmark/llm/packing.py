@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.scratch import materialise
 from ..functions.ship import ship
-from .textbytes import ranges
+from .textbytes import ranges, tidy
 from .tokens import PartTokenizer, encode_column
 
 _TYPES = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.ShortType: pa.int16(), T.BinaryType: pa.binary()}
@@ -85,7 +85,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, key: str, text: str, e
             T.StructField("wide", T.BooleanType()),
         ]
     )
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def partition_bases(table: DataFrame, part: str, amount: str) -> dict[int, int]:
@@ -154,5 +154,5 @@ def pack(
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("ids", T.BinaryType())]
     )
-    cut = table.select("key", "part", "before", "n_tokens", "ids", "wide").mapInArrow(run, schema)
+    cut = table.select("key", "part", "before", "n_tokens", "ids", "wide").mapInArrow(tidy(run), schema)
     return cut.withColumnRenamed("key", key)

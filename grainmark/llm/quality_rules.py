@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions.scratch import materialise
 from ..functions.ship import ship
 from .packing import key_type
-from .textbytes import SOLID, mix, row_counts, span_hashes, spans, text_slices, window_hashes
+from .textbytes import SOLID, mix, row_counts, span_hashes, spans, text_slices, tidy, window_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_capitals"]
 
@@ -109,7 +109,7 @@ def measure(docs: DataFrame, *, key: str, text: str, groups: tuple[str, str]) ->
         + [T.StructField(m, T.LongType()) for m in MEASURES]
     )
     rows = docs.select(F.col(key).alias("key"), *(F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

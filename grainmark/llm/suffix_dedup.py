@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..functions.scratch import materialise
 from ..functions.ship import ship
 from .names import free
-from .textbytes import CODES, mix, ranges, text_slices
+from .textbytes import CODES, mix, ranges, text_slices, tidy
 
 LENGTH = 400
 SPREAD = 256
@@ -129,7 +129,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
                 cols += [(v - begin).astype(np.int32) for v in (a, s, e)] + [x.view(np.int64), full.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["u", "r", "a", "lo", "hi", "x", "full"])
 
-    return texts.mapInArrow(run, "u binary, r long, a int, lo int, hi int, x long, full long")
+    return texts.mapInArrow(tidy(run), "u binary, r long, a int, lo int, hi int, x long, full long")
 
 
 def _repeated(rows: DataFrame, key: str, member: str = "r") -> DataFrame:
@@ -166,7 +166,7 @@ def _border_text(texts: DataFrame, open_: DataFrame, owner: DataFrame, length: i
                 u = b.column(0).slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([fields[0], u, *fields[1:], cut], names=["r", "u", "a", "lo", "hi", "sure", "cut"])
 
-    got = rows.mapInArrow(run, "r long, u binary, a int, lo int, hi int, sure boolean, cut binary")
+    got = rows.mapInArrow(tidy(run), "r long, u binary, a int, lo int, hi int, sure boolean, cut binary")
     return materialise(got.dropDuplicates(["r"]))
 
 
@@ -193,7 +193,7 @@ def _groups(borders: DataFrame, length: int) -> DataFrame:
                     names=["r", "g", "inner", "joint"],
                 )
 
-    return borders.select("r", "a", "lo", "hi", "cut").mapInArrow(run, "r long, g int, inner long, joint long")
+    return borders.select("r", "a", "lo", "hi", "cut").mapInArrow(tidy(run), "r long, g int, inner long, joint long")
 
 
 def _windows(borders: DataFrame, length: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _windows(borders: DataFrame, length: int) -> DataFrame:
                     names=["w", "m", "u", "s", "asks"],
                 )
 
-    return borders.select("u", "r", "a", "lo", "hi", "cut", "list").mapInArrow(run, "w long, m long, u binary, s int, asks boolean")
+    return borders.select("u", "r", "a", "lo", "hi", "cut", "list").mapInArrow(tidy(run), "w long, m long, u binary, s int, asks boolean")
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = 2_000_000) -> DataFrame:
@@ -289,7 +289,7 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                 names=["u", "n_removed", "n_spans", "keep"],
             )
 
-    return materialise(per.select("u", "spans", "size").mapInArrow(merge, "u binary, n_removed long, n_spans long, keep array<struct<lo:int,n:int>>"))
+    return materialise(per.select("u", "spans", "size").mapInArrow(tidy(merge), "u binary, n_removed long, n_spans long, keep array<struct<lo:int,n:int>>"))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = 2_000_000) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..functions.scratch import materialise, root
 from ..functions.ship import ship
 from .packing import binary_array, key_type
-from .textbytes import mix
+from .textbytes import mix, tidy
 from .tokens import PartTokenizer, encode_column
 
 _U = np.uint64
@@ -222,7 +222,7 @@ def write(
         [T.StructField("key", kind), T.StructField("shard", T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in ("record", "before", "n_ids")]
     )
-    placed = materialise(rows.mapInArrow(run, schema))
+    placed = materialise(rows.mapInArrow(tidy(run), schema))
     totals = sorted(placed.groupBy("shard").agg(F.count("*"), F.sum("n_ids")).collect())
     base, records, ids = {}, 0, 0
     for s, n, m in totals:  # one row per shard file
@@ -241,7 +241,7 @@ def write(
 
     schema = T.StructType([T.StructField("key", kind)] + [T.StructField(c, T.LongType()) for c in ("record", "start", "n_ids")])
     entries = (
-        placed.mapInArrow(add_base, schema)
+        placed.mapInArrow(tidy(add_base), schema)
         .groupBy("key")
         .agg(F.min("record").alias("record"), F.min("start").alias("start"), F.sum("n_ids").alias("n_ids"), F.count("*").alias("n"))
         .select(_part(parts).alias("part"), _hash().alias("h"), "record", "start", "n_ids", "n")
@@ -308,7 +308,7 @@ def lookup(keys: DataFrame, store: dict, *, key: str = "doc_id") -> DataFrame:
         [T.StructField("key", kind), T.StructField("found", T.BooleanType())]
         + [T.StructField(c, T.LongType()) for c in ("record", "start", "n_ids", "n_records")]
     )
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 class _Shards:
@@ -385,4 +385,4 @@ def read(places: DataFrame, store: dict, *, key: str = "doc_id") -> DataFrame:
                 )
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)

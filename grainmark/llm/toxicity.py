@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ..functions.ship import ship
 from .packing import key_type
 from .suffix_dedup import SpanHash
-from .textbytes import ALNUM, mix, spans, text_slices
+from .textbytes import ALNUM, mix, spans, text_slices, tidy
 
 MAX_FORMS = 20_000
 CAUTION = 1.64
@@ -103,7 +103,7 @@ def character_model(docs: DataFrame, text: str) -> CharacterModel:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(_SYMBOLS**3, np.int64)
     for gram, n in rows.toLocalIterator():
         counts[gram] = n
@@ -303,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     nt, nc = seen.get(1, 0) + 1.0, seen.get(0, 0) + 1.0
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 1.0))
     weight = F.log((F.col("t") + 0.5) / nt) - F.log((F.col("c") + 1.0) / nc) - CAUTION * error
-    found = rows.where("half = 0").mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = rows.where("half = 0").mapInArrow(tidy(count), "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     best = found.where("t >= 3").withColumn("w", weight).where("w > 1").orderBy(F.desc("w"), "h").limit(MAX_FORMS).select("h", "w").collect()
     h = np.array([r["h"] for r in best], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -317,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 s = shared.value.strongest(*all_forms(buf, off, restore), hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["y", "a", "b"])
 
-    got = rows.where("half = 1").mapInArrow(strengths, "y int, a double, b double").collect()  # at most about per_label each
+    got = rows.where("half = 1").mapInArrow(tidy(strengths), "y int, a double, b double").collect()  # at most about per_label each
     y = np.array([r["y"] for r in got], np.float64)
     if len(set(y.tolist())) == 2:
         out.curve = _logistic_fit(np.array([(r["a"], r["b"]) for r in got]), y)
@@ -347,4 +347,4 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("score", T.DoubleType())])
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
