@@ -133,9 +133,9 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, key: str, member: str = "r") -> DataFrame:
-    """Values of ``key`` with two different members."""
+    """Values of ``key`` with two different members; written, so that a join with them can split a hot value."""
     ends = rows.groupBy(key).agg(F.min(member).alias("_a"), F.max(member).alias("_z"))
-    return ends.where("_a != _z").select(key)
+    return materialise(ends.where("_a != _z").select(key))
 
 
 def _small(df: DataFrame, rows: int) -> bool:
