@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # Members of buckets with two texts or more.
     in_bucket = signed.select("u", F.explode("bands").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("bucket")
+    shared = materialise(shared)  # a join with a written table can split a hot bucket
     members = materialise(in_bucket.join(shared, "bucket"))
     # Each candidate's text, read once per distinct text.
     wanted = members.select("u").distinct().join(signed.select("u", "key"), "u")
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         """Pairs a, b of each member with its bucket's leader of this sweep, if their components differ; u is the member."""
         order = F.xxhash64("bucket", "u", F.lit(sweep))
         lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("u").alias("u"), F.col("l").alias("l"))).alias("lead"))
-        pairs = now.join(lead, "bucket").where(F.col("l") != F.col("lead.l"))
+        pairs = now.join(materialise(lead), "bucket").where(F.col("l") != F.col("lead.l"))
         return pairs.groupBy(F.least("u", "lead.u").alias("a"), F.greatest("u", "lead.u").alias("b")).agg(F.min("u").alias("u"))
 
     def apart(pool: DataFrame) -> DataFrame:
