@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, minhash, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
+from . import decontaminate, html_text, language, minhash, oracles, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op1_sharding")
+@query("op1_sharding", oracles.SHARDING)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     tree = sharding.balanced(16)
     placed = sharding.place(table(spark, sf, "documents"), tree, sharding.grown(tree))
@@ -54,7 +54,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.classes(table(spark, sf, "documents"))
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", oracles.DECONTAMINATE)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf, "benchmark"))
