@@ -269,13 +269,15 @@ def _logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 8000) -> Model:
     """Fit on the labelled documents (0 or 1) given; the character model is of all ``docs``.
 
-    Null labels and labels of unknown documents teach nothing. Without labels of both
+    Null labels and labels of unknown documents teach nothing; of several labels of one
+    document the larger counts. Without labels of both
     kinds every score is the share of toxic ones seen (0.5 without any).
     """
     spark = docs.sparkSession
     ship(spark)
     characters = character_model(docs, text)
-    known = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).where("lk is not null and y in (0, 1)").dropDuplicates(["lk"])
+    known = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).where("lk is not null and y in (0, 1)")
+    known = known.groupBy("lk").agg(F.max("y").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     draw = F.pmod(F.xxhash64("lk", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     take = F.create_map(*(v for y in (0, 1) for v in (F.lit(y), F.lit(min(1.0, per_label / max(1, counts.get(y, 0)))))))
