@@ -1,12 +1,13 @@
-"""Near duplicates by ProbMinHash over weighted word shingles, with bands and verification.
+"""Near duplicates by ProbMinHash over word shingles, with bands and verification.
 
-A text is the set of its ``shingle`` -word shingles, each weighted 1 + ln(count).
-Every shingle sends arrivals of a Poisson process whose rate is its weight to
-random registers; a register keeps its earliest arrival. Generation ends for a
-shingle as soon as its next arrival is later than every register, so most
-shingles stop after a few. Two texts agree in a register with the probability
-Jaccard similarity of their weights, which is the plain Jaccard similarity when no
-shingle repeats.
+A text is the set of its ``shingle`` -word shingles. Every shingle sends arrivals of
+a Poisson process whose rate is its weight to random registers; a register keeps its
+earliest arrival. Generation ends for a shingle as soon as its next arrival is later
+than every register, so most shingles stop after a few. Two texts agree in a register
+with the probability Jaccard similarity of their weights. A link is decided by the
+plain Jaccard similarity, so for the registers every distinct shingle weighs 1 and
+that probability is the plain similarity; the similarity by weights 1 + ln(count)
+is an extra column of the links.
 
 Texts with the same words are one text from the start. Equal bands of registers
 make buckets; in a bucket every text is compared with one leader, drawn by hash
@@ -147,7 +148,7 @@ def sign(docs: DataFrame, *, key: str, text: str) -> DataFrame:
             for lo, hi, buf, off in _pieces(b.column(1)):
                 n = hi - lo
                 h, r, w, ids, count = weighted_shingles(buf, off)
-                winner = prob_minhash(h, r, w, n)
+                winner = prob_minhash(h, r, np.ones(len(w)), n)
                 band = np.zeros((n, BANDS), np.uint64)
                 for j in range(ROWS):
                     band = mix(band * _GOLD + winner[:, j::ROWS])
@@ -221,7 +222,7 @@ def _estimate(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard, similarity) of the pairs whose whole texts share at least ``threshold`` of their shingles.
 
-    ``similarity`` is the weighted one that the registers estimate.
+    ``similarity`` is the one by weights 1 + ln(count).
     """
     rows = pairs.select("a", "b").join(texts.withColumnsRenamed({"u": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"u": "b", "text": "tb"}), "b")
 
@@ -247,8 +248,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``members`` (key, u, class) and ``links`` (a, b, jaccard, similarity; ends are texts' u).
 
     A link needs ``threshold`` or more of plain Jaccard similarity of the shingle sets;
-    the registers, which see repeated shingles as heavier, find the candidates.
-
+    the registers that find the candidates estimate the same measure.
 
     ``class`` is the u of the smallest text of the component; texts without words
     (null, empty, only punctuation) have no u and are in no class. Equal keys and

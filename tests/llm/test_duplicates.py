@@ -71,6 +71,18 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert set(got["class_id"]) == {0} and set(got["class_size"]) == {600} and got["kept"].sum() == 1
 
 
+def test_copies_whose_passage_repeats_are_linked(spark):
+    texts = {}
+    for g in range(6):
+        w = prose(300 + g, 104).split()
+        texts[2 * g] = " ".join(w)
+        texts[2 * g + 1] = " ".join(w + w[-24:] * 1000)
+    want = classes(texts)
+    assert want == {i: i - i % 2 for i in texts}
+    got = minhash.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_registers_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**63, 900, dtype=np.uint64)
