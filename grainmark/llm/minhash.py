@@ -13,9 +13,12 @@ Texts with the same words are one text from the start. Equal bands of registers
 make buckets; in a bucket every text is compared with one leader, drawn by hash
 per bucket, so a text meets different leaders in its different buckets. Pairs
 whose registers agree often enough are verified on the whole texts. Further sweeps
-draw new leaders for buckets that still hold several components, until a sweep
-finds no new link. The number of pairs is linear in the number of texts whatever
-the size of a bucket.
+draw new leaders for buckets that still hold several components. So large groups
+become one component with a number of pairs linear in the number of texts.
+
+What the sweeps leave is settled exactly: the texts of buckets of three or more that
+still hold several components are joined on their rarest shingles (``_rare_pairs``),
+between components only, and every pair found is verified.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
 SHINGLE = 5
 _ROWS_AT_ONCE = 8192
+_SLOTS, _CHUNK = 1 << 20, 1 << 12  # counters of shingle frequencies, and how many make a row
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LINK = "a binary, b binary, jaccard double, similarity double"
 
@@ -244,11 +248,83 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(tidy(run), _LINK)
 
 
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many of the texts hold a shingle, by the shingle's hash modulo _SLOTS, on a scale of 8 steps a doubling."""
+
+    def run(batches):
+        total = np.zeros(_SLOTS, np.int32)
+        for b in batches:
+            for _, _, buf, off in _pieces(b.column(0)):
+                total += np.bincount((weighted_shingles(buf, off)[0] % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS).astype(np.int32)
+        parts = total.reshape(-1, _CHUNK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, np.int64)
+        for c in t.column("counts").to_pylist():
+            total += np.frombuffer(c, np.int32)
+        steps = np.round(8 * np.log2(total + 1)).astype(np.int16)
+        return pa.table({"chunk": t.column("chunk")[:1], "counts": pa.array([steps.tobytes()], pa.binary())})
+
+    rows = texts.select("text").mapInArrow(tidy(run), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    out = np.zeros((_SLOTS // _CHUNK, _CHUNK), np.int16)
+    for chunk, counts in rows.collect():  # at most _SLOTS / _CHUNK rows
+        out[chunk] = np.frombuffer(counts, np.int16)
+    return out.reshape(-1)
+
+
+def _rare_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs a < b of ``texts`` (u, text, l), of different l, among them all with ``threshold`` or more of Jaccard similarity.
+
+    A text's shingles are put in one order for all texts, rare ones first (by counters,
+    so that any count gives right pairs). Texts of n <= m shingles that are similar
+    enough share at least o = t / (1 + t) (n + m). Before the first shared one at
+    places i and j neither has a shared one, so n - i >= o and m - j >= o, hence
+    i <= n (1 - t) / (1 + t): such a place is early. Shingles that many texts share come
+    late in all of them and meet no early place. Pairs inside the component with the
+    most texts of a shingle are not made at all.
+    """
+    spark = texts.sparkSession
+    ranks = spark.sparkContext.broadcast(_frequencies(texts))
+    t, slack = threshold, 1e-9
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, buf, off in _pieces(b.column(1)):
+                h, r, _, _, _ = weighted_shingles(buf, off)
+                order = np.lexsort((h, ranks.value[(h % np.uint64(_SLOTS)).astype(np.int64)], r))
+                h = h[order]
+                size = np.bincount(r, minlength=hi - lo)
+                n = size[r]
+                i = np.arange(len(h)) - (np.cumsum(size) - size)[r]
+                at = np.flatnonzero(n - i >= t * n - slack * n)
+                row = pa.array(lo + r[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[at].view(np.int64)), b.column(0).take(row), b.column(2).take(row), pa.array(n[at].astype(np.int64)), pa.array(i[at].astype(np.int64))],
+                    names=["h", "u", "l", "n", "i"],
+                )
+
+    places = materialise(texts.select("u", "text", "l").mapInArrow(tidy(run), "h long, u binary, l binary, n long, i long"))
+    early = (F.col("n") - F.col("i")) >= (2 * t / (1 + t) - slack) * F.col("n")
+    by_label = places.groupBy("h", "l").agg(F.count("*").alias("k"), F.max(early).alias("early"))
+    most = by_label.groupBy("h").agg(F.max(F.struct("k", "l")).alias("m"), F.count("*").alias("labels"), F.max("early").alias("early"))
+    most = materialise(most.where("labels > 1 and early").select("h", F.col("m.l").alias("top")))
+    rows = materialise(places.join(most, "h").select("h", "u", "l", "n", "i", (F.col("l") == F.col("top")).alias("top")))  # written, so that a join can split a hot one
+    y = rows.withColumnsRenamed({c: f"y{c}" for c in ("u", "l", "n", "i")})
+    x = rows.where(early).withColumn("top", F.explode(F.when(F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    least = (t / (1 + t) - slack) * (F.col("n") + F.col("yn"))
+    met = x.join(y, ["h", "top"]).where((F.col("l") != F.col("yl")) & ((F.col("n") < F.col("yn")) | ((F.col("n") == F.col("yn")) & (F.col("u") < F.col("yu")))))
+    met = met.where((F.col("n") - F.col("i") >= least) & (F.col("yn") - F.col("yi") >= least))
+    return met.select(F.least("u", "yu").alias("a"), F.greatest("u", "yu").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 4) -> dict[str, DataFrame]:
     """``members`` (key, u, class) and ``links`` (a, b, jaccard, similarity; ends are texts' u).
 
     A link needs ``threshold`` or more of plain Jaccard similarity of the shingle sets;
-    the registers that find the candidates estimate the same measure.
+    the registers that find the candidates estimate the same measure. After at most
+    ``max_sweeps`` sweeps the rest is settled exactly; fewer sweeps leave more of it.
 
     ``class`` is the u of the smallest text of the component; texts without words
     (null, empty, only punctuation) have no u and are in no class. Equal keys and
@@ -290,24 +366,26 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         pool = pool.drop("la", "lb").join(a, "a", "left").join(b, "b", "left")
         return pool.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb")
 
+    def labelled() -> DataFrame:
+        if labels is None:
+            return members.withColumn("l", F.col("u"))
+        return members.join(labels.withColumnRenamed("v", "u"), "u", "left").withColumn("l", F.coalesce("l", "u"))
+
+    def still_mixed(now: DataFrame, least: int = 2) -> DataFrame:
+        """The members of buckets of at least so many texts that hold several components."""
+        mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where(f"lo != hi and n >= {least}").select("bucket")
+        return now.join(mixed, "bucket")
+
     best = F.max(F.struct("share", "a", "b")).alias("best")
     few = [F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(16))]
-    for sweep in range(max_sweeps):
-        now = members.withColumn("l", F.col("u"))
-        if labels is not None:
-            now = members.join(labels.withColumnRenamed("v", "u"), "u", "left").withColumn("l", F.coalesce("l", "u"))
-            mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo != hi").select("bucket")
-            now = now.join(mixed, "bucket")
-        pairs = met(now, sweep)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        pool = materialise(_estimate(pairs.select("a", "b"), signed, least).join(pairs, ["a", "b"]))
+
+    def settle(pool: DataFrame, joint: bool) -> bool:
+        """Verify ``pool`` (a, b, u, share) and take in the links; whether there are any. ``joint``: ends may be of one component."""
+        nonlocal links, labels
         found = False
         # First every text's likeliest pair, then the likeliest between two components, then all that is left.
         for turn in range(3):
-            pool = pool if turn == 0 and sweep == 0 else materialise(apart(pool))
+            pool = materialise(apart(pool)) if joint or turn else pool
             if turn == 2:
                 chosen = pool.select("a", "b")
             else:
@@ -319,8 +397,27 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 found = True
                 links = links.unionByName(new)
                 labels = joined(labels, new.select("a", "b"))
-        if not found:
+        return found
+
+    for sweep in range(max_sweeps):
+        pairs = met(labelled() if labels is None else still_mixed(labelled()), sweep)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        pool = materialise(_estimate(pairs.select("a", "b"), signed, least).join(pairs, ["a", "b"]))
+        if not settle(pool, sweep > 0):
             break
+    # Buckets of two are settled by their leader; of larger ones some texts may not have met.
+    rest = materialise(still_mixed(labelled(), 3 if max_sweeps else 2).select("u", "l").distinct())
+    if rest.limit(1).count():
+        pairs = _rare_pairs(texts.join(rest, "u"), threshold)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        if pairs.limit(1).count():
+            # No pair is dropped by its registers here; they only say which are likely.
+            settle(materialise(_estimate(pairs, signed, 0.0).withColumn("u", F.col("a"))), False)
     out = signed_rows.select("key", "u")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("v", "u"), "u", "left").select("key", "u", F.coalesce("l", "u").alias("class"))

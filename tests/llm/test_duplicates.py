@@ -83,6 +83,36 @@ def test_copies_whose_passage_repeats_are_linked(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def letters(pairs):
+    """Form letters just under 0.8 of each other, but for mates that share a few words more."""
+    form = prose(400, 404).split()
+    texts = {}
+    for i in range(2 * pairs):
+        own = [f"p{i // 2}x{k}" for k in range(7)] + [f"o{i}x{k}" for k in range(47)]
+        texts[i] = " ".join(form + own)
+    return texts
+
+
+def test_mates_among_form_letters_are_found(spark):
+    texts = letters(150)
+    want = classes(texts)
+    assert want == {i: i - i % 2 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()} == want
+
+
+def test_rare_pairs_hold_every_similar_pair(spark):
+    texts = {**near_copies(), **{1000 + i: t for i, t in letters(20).items()}}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i % 5 for i in texts}
+    want = {(a, b) for a in texts for b in texts if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    u = {i: i.to_bytes(4, "big") for i in texts}
+    rows = spark.createDataFrame([(u[i], t, bytes([label[i]])) for i, t in texts.items()], "u binary, text string, l binary")
+    got = [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in minhash._rare_pairs(rows, 0.8).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got)) and all(label[a] != label[b] for a, b in got)
+    assert sum(a >= 1000 and b >= 1000 for a, b in got) <= 40  # mates, not all letters with all
+
+
 def test_registers_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**63, 900, dtype=np.uint64)
