@@ -164,10 +164,19 @@ _SIGNS[list(b"0123456789@$!|+(" + SEPARATORS.encode())] = True
 _SIGNS[[0xC2, 0xE2]] = True  # first bytes of the signs beyond ASCII
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[list(b" .-_*")] = True
+#: Bytes of a character by its first byte; 0 for what cannot begin a letter.
+_WIDTH = np.zeros(256, np.int64)
+_WIDTH[65:91] = _WIDTH[97:123] = 1
+_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:0xF8] = 2, 3, 4
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts in which DISGUISED can match: a sign before a letter, three equal letters, or lone letters in a row."""
+    """Texts in which DISGUISED can match: a sign before a letter, three equal characters, or lone letters in a row.
+
+    Each is a necessary part of one way to match, in whole UTF-8 characters.
+    """
     n = len(buf)
     if n < 3:
         return np.zeros(0, np.int64)
@@ -175,9 +184,22 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     hit = np.zeros(n, bool)
     hit[:-1] = sign[:-1] & letter[1:]
     hit[:-2] |= letter[:-2] & (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:])
-    lone = np.zeros(n, bool)
-    lone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-    hit[:-2] |= lone[:-2] & lone[2:]
+    between = _BETWEEN[buf]
+    lone = [np.flatnonzero(between[:-2] & letter[1:-1] & between[2:]) + 1]
+    wide = np.flatnonzero(buf >= 0xC0)
+    if len(wide):
+        width = _WIDTH[buf[wide]]
+        inner = (wide > 0) & (wide + width < n)
+        at, k = wide[inner], width[inner]
+        lone.append(at[between[at - 1] & between[at + k]])
+        for k in (2, 3, 4):  # a character of k bytes three times: 2 k bytes that return after k
+            at = wide[(width == k) & (wide + 3 * k <= n)]
+            for j in range(2 * k):
+                at = at[buf[at + j] == buf[at + j + k]]
+            hit[at] = True
+    lone = np.sort(np.concatenate(lone))
+    gap = lone[1:] - (lone + np.maximum(_WIDTH[buf[lone]], 1))[:-1]
+    hit[lone[:-1][gap <= 2]] = True
     return np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1)
 
 

@@ -147,6 +147,20 @@ def test_disguises_are_undone(spark):
     assert restore("The ereat, and%%% wher*** is!! 2.3") == []
 
 
+def test_every_text_with_a_disguise_is_suspect():
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["x s t u p i d", "s. t. u. p. i. d", "s  t  u  p  i  d", "p é d é", "am p é d é.", "idiééét", "müüüde", "日日日", "𐐀𐐀𐐀"]
+    texts += ["".join(r.choice("ab é日$@.-_*  1ü𐐀") for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    found = set(toxicity.suspects(np.frombuffer(b"".join(raw), np.uint8), off).tolist())
+    assert [t for i, t in enumerate(texts) if toxicity.DISGUISED.search(t) and i not in found] == []
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
