@@ -75,9 +75,10 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     keep = np.ones(len(s), bool)  # two edges begin a word, one ends it
     keep[2:] = (s[2:] != 0) | (s[1:-1] != 0) | (s[:-2] != 0)
     s = s[keep]
-    code = (s[:-2] * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:]
+    # After an edge nothing before it counts: a word's first letter follows two edges.
+    code = (np.where(s[1:-1] == 0, 0, s[:-2]) * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:]
     good = (s[2:] != 0) | (s[1:-1] != 0)
-    return np.bincount(code[good & ~((s[:-2] != 0) & (s[1:-1] == 0))], minlength=_SYMBOLS**3)
+    return np.bincount(code[good], minlength=_SYMBOLS**3)
 
 
 class CharacterModel:
@@ -113,26 +114,38 @@ def character_model(docs: DataFrame, text: str) -> CharacterModel:
 # --- channel -------------------------------------------------------------------
 
 
+#: Costs of a separator between two letters of a word and of one between two words.
+INSIDE, EDGE = 0.3, 1.0
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each part of a disguised word, its readings and their costs (-log of the channel's chance)."""
+    """For each part of a disguised word, its readings and their costs (-log of the channel's chance).
+
+    A separator may be a word's edge (a blank); blanks longer than the shortest
+    separator of the span most likely are.
+    """
+    parts = [(p[0], 1 + len(p[1])) for p in re.findall(r"(.)(\1*)", word.lower(), re.S)]
+    shortest = min((n for c, n in parts if not c.isalpha() and c not in LOOKALIKES), default=0)
     out = []
-    for part in re.findall(r"(.)(\1*)", word.lower(), re.S):
-        c, n = part[0], 1 + len(part[1])
+    for c, n in parts:
         if c.isalpha():
             out.append([(c, 0.4), (c + c, 0.6)] if n > 2 else [(c * n, 0.0)])
         elif c in LOOKALIKES:
             letters = LOOKALIKES[c]
-            out.append([(x, 0.5 + math.log(len(letters))) for x in letters] + ([("", 1.0)] if c in "|!" else [("", 8.0)]))
+            price = 0.5 + math.log(len(letters))
+            out.append([(x, price) for x in letters] + ([(x + x, price) for x in letters] if n > 1 else []) + ([("", 1.0)] if c in "|!" else [("", 8.0)]))
         elif c == "*":
-            out.append([("", 1.0)] + [(chr(k), 1.0) for k in range(97, 123)])
+            out.append([("", 1.0)] + [(chr(k), 1.0) for k in range(97, 123)] + [(" ", EDGE)])
+        elif c == " " and n > shortest:
+            out.append([("", 8.0), (" ", INSIDE)])
         else:
-            out.append([("", 0.3)])
+            out.append([("", INSIDE), (" ", EDGE)])
     return out
 
 
 def decode(word: str, model: CharacterModel) -> str:
-    """The Viterbi path through a word's lattice under the character model."""
-    best = {(0, 0): (0.0, "")}
+    """The Viterbi path through a word's lattice under the character model; linear in the word."""
+    best: dict = {(0, 0): (0.0, None)}
     cost = model.cost
     for readings in lattice(word):
         step: dict = {}
@@ -140,22 +153,32 @@ def decode(word: str, model: CharacterModel) -> str:
             for letters, price in readings:
                 p, q, t = a, b, total + price
                 for c in letters:
+                    if c == " ":
+                        t += cost[p][q][0] if q else 0.0
+                        p = q = 0
+                        continue
                     k = symbol(c)
                     t += cost[p][q][k]
                     p, q = q, k
                 if (p, q) not in step or t < step[p, q][0]:
-                    step[p, q] = (t, made + letters)
+                    step[p, q] = (t, (made, letters) if letters else made)
         best = step
-    return min((t + cost[p][q][0], made) for (p, q), (t, made) in best.items())[1]
+    made = min(((t + cost[p][q][0], made) for (p, q), (t, made) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while made is not None:
+        made, letters = made
+        out.append(letters)
+    return " ".join("".join(reversed(out)).split())
 
 
 _L = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LOOKALIKES) + SEPARATORS) + "]"
-#: Signs inside or at the start of a word; letters one by one; letters drawn out.
+#: Letters one by one; signs inside, at the start or at the end of a word; letters drawn out.
 DISGUISED = re.compile(
     rf"(?<![\w@$]){_L}(?:[ .\-_*]{{1,2}}{_L}){{3,}}(?![\w@$])"
-    rf"|[$@0-9(|!€]?{_L}+(?:{_SIGN}{{1,3}}{_L}+)+[0-9@$]?(?!\w)"
-    rf"|(?<![\w$@(|!€])[$@0-9(|!€]{_L}{{2,}}[0-9@$]?(?![\w$@])"
+    rf"|[$@0-9(|!€]{{0,3}}{_L}+(?:{_SIGN}{{1,3}}{_L}+)+[0-9@$]{{0,3}}(?!\w)"
+    rf"|(?<![\w$@(|!€])[$@0-9(|!€]{{1,3}}{_L}{{2,}}[0-9@$]{{0,3}}(?![\w$@])"
+    rf"|(?<![\w$@]){_L}+[0-9@$]{{1,3}}(?![\w$@])"
     rf"|(?<!\w)\w*({_L})\1\1\w*(?!\w)"
 )
 
@@ -164,6 +187,8 @@ _SIGNS[list(b"0123456789@$!|+(" + SEPARATORS.encode())] = True
 _SIGNS[[0xC2, 0xE2]] = True  # first bytes of the signs beyond ASCII
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b"0123456789@$")] = True
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[list(b" .-_*")] = True
 #: Bytes of a character by its first byte; 0 for what cannot begin a letter.
@@ -173,16 +198,16 @@ _WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:0xF8] = 2, 3, 4
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts in which DISGUISED can match: a sign before a letter, three equal characters, or lone letters in a row.
+    """Texts in which DISGUISED can match: a sign beside a letter, three equal characters, or lone letters in a row.
 
     Each is a necessary part of one way to match, in whole UTF-8 characters.
     """
     n = len(buf)
-    if n < 3:
+    if n < 2:
         return np.zeros(0, np.int64)
     letter, sign = _LETTERS[buf], _SIGNS[buf]
     hit = np.zeros(n, bool)
-    hit[:-1] = sign[:-1] & letter[1:]
+    hit[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & _ENDS[buf[1:]])
     hit[:-2] |= letter[:-2] & (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:])
     between = _BETWEEN[buf]
     lone = [np.flatnonzero(between[:-2] & letter[1:-1] & between[2:]) + 1]
@@ -204,13 +229,19 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Restored words of texts; a task remembers words it has decoded."""
+    """Restored words of texts; a task remembers short spans it has decoded."""
 
     def __init__(self, model: CharacterModel):
-        self.decode = lru_cache(200_000)(lambda w: decode(w, model))
+        self.long = lambda w: decode(w, model)
+        self.short = lru_cache(200_000)(self.long)
 
     def __call__(self, text: str) -> list[str]:
-        return [self.decode(re.sub(r"\s+", ".", m[0])[:64]) for m in DISGUISED.finditer(text)]
+        out = []
+        for m in DISGUISED.finditer(text):
+            # Three of a letter read as more of it do.
+            span = re.sub(rf"({_L})\1{{3,}}", r"\1\1\1", m[0])
+            out.append((self.short if len(span) <= 64 else self.long)(span))
+        return out
 
 
 # --- forms and scores -----------------------------------------------------------

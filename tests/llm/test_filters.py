@@ -147,6 +147,19 @@ def test_disguises_are_undone(spark):
     assert restore("The ereat, and%%% wher*** is!! 2.3") == []
 
 
+def test_long_spans_phrases_and_edge_signs_are_restored(spark):
+    restore = toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text"))
+    assert restore("the st" + "u" * 200 + "pid ereat") == ["stupid"]
+    phrase = "  ".join(" ".join(w) for w in ["stupid", "idiot"] * 10)
+    assert restore(f"The {phrase}.") == [" ".join(["stupid", "idiot"] * 10)]
+    for said, meant in {"a  s t u p i d": "a stupid", "y  i d i o t  a": "y idiot a"}.items():
+        assert restore(f"{said}.") == [meant]
+    assert restore("the $$cum ereat") in (["scum"], ["sscum"]) and len(restore("the as$ and as5 and a$$ ereat")) == 3
+    assert all(w.startswith("as") for w in restore("the as$ and a$$ ereat"))
+    long_ = "s t u p i d  " * 20_000
+    assert restore(long_)[0].split() == ["stupid"] * 20_000
+
+
 def test_every_text_with_a_disguise_is_suspect():
     import random
 
