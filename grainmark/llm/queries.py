@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, minhash, oracles, packing, quality_rules, sharding, suffix_dedup, token_store, toxicity
+from . import (
+    align,
+    decontaminate,
+    html_text,
+    language,
+    minhash,
+    oracles,
+    packing,
+    periodic,
+    prefix_forest,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_store,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -142,6 +158,52 @@ def with_counted_characters(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
 
 
+def with_planted_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the words from a on of some documents repeat the first p of them (null ids: as they are).
+
+    With h the crc32 of the id and g its tenth, a document of n words is changed if
+    h ends in 0: a = g mod n, p = 1 + (n - a) / (3 + g mod 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.select("doc_id", "text", h.alias("_h"), F.floor(h / 10).alias("_g"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (F.col("_g") % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return some.select("doc_id", F.when((F.col("_h") % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_tails(table(spark, sf, "documents")))
+    top = F.array_max(F.transform("_runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    line = F.transform("_runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period))
+    found = found.withColumn("_top", top)
+    return found.select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        (-F.col("_top.s")).alias("start"),
+        F.col("_top.length").alias("length"),
+        (-F.col("_top.p")).alias("period"),
+        F.floor(1000 * F.col("_top.length") / -F.col("_top.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("_collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_prefix_forest")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return prefix_forest.search(rows, rows.where("vec_id % 20 = 0"), key="vec_id", vector="embedding", k=20)
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return align.measures(table(spark, sf, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary(PIECE_VOCABULARY))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
