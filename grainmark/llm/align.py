@@ -16,7 +16,9 @@ id of B.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from .textbytes import CODES, ranges, span_hashes, text_slices, tidy
 from .tokens import PartTokenizer
 
 _BLANK = "▁"
+_KNOWN = 300_000  # stretches a task remembers
 _SHIFT = 32
 Csr = tuple[np.ndarray, np.ndarray]  # row pointers, columns
 
@@ -57,9 +60,10 @@ def product(a: Csr, b: Csr, columns: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def transposed(a: Csr, columns: int) -> Csr:
     ptr, col = a
-    order = np.argsort(col, kind="stable")
     row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    return np.concatenate(([0], np.cumsum(np.bincount(col, minlength=columns)))).astype(np.int64), row[order]
+    if len(col) and (col[1:] < col[:-1]).any():
+        row = row[np.argsort(col, kind="stable")]
+    return np.concatenate(([0], np.cumsum(np.bincount(col, minlength=columns)))).astype(np.int64), row
 
 
 def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +71,12 @@ def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(size))), np.frombuffer(b"".join(pieces), np.uint8)
 
 
+@functools.cache
+def _decimals(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the decimal digits of 0 … top - 1 start in one string of them, and that string."""
+    return _table([b"%d" % i for i in range(top)])
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -97,7 +107,8 @@ class PieceSide:
 
     Where no piece holds a blank after another character, a text's ids are those of its
     stretches of blanks and other characters, one after the other, and equal
-    stretches of a slice are encoded once. Other models encode whole texts.
+    stretches are encoded once, as far as ``_KNOWN`` of them are remembered. Other
+    models encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -116,8 +127,22 @@ class PieceSide:
         self.at, self.bytes = _table(pieces)
         # A blank alone, the model's own first one apart.
         self.blank = self.sp.piece_to_id(_BLANK)
+        self._forget()
         self.parts = self.parts and self.sp.encode(" ") == [self.sp.piece_to_id(_BLANK * 2)] and self.sp.encode("a ")[-1:] == [self.blank]
 
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and their ids: how many, from where on
+        self.first = self.size = self.flat = np.zeros(0, np.int64)
+
+    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+        """Remember the ids of new stretches; hashes ascend."""
+        got = [x or [self.blank] for x in self.sp.encode(texts, num_threads=1)]
+        size = np.array([len(x) for x in got], np.int64)
+        first = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.int64, int(size.sum()))))
+        at = np.searchsorted(self.known, h)
+        self.known, self.first, self.size = (np.insert(x, at, y) for x, y in ((self.known, h), (self.first, first), (self.size, size)))
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of texts that start with a blank, or are empty."""
         n = len(off) - 1
@@ -131,15 +156,22 @@ class PieceSide:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         ends = np.append(starts[1:], len(buf))
-        _, at, which = np.unique(span_hashes(buf, starts, ends, CODES), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        texts = [raw[s + 1 : e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-        got = [x or [self.blank] for x in self.sp.encode(texts, num_threads=1)]
-        size = np.array([len(x) for x in got], np.int64)
-        flat = np.array([i for x in got for i in x], np.int64)
-        ids = flat[ranges((np.cumsum(size) - size)[which], size[which])]
+        h, at, which = np.unique(span_hashes(buf, starts, ends, CODES), return_index=True, return_inverse=True)
+        if len(self.known) > _KNOWN:
+            self._forget()
+        place = np.searchsorted(self.known, h)
+        old = np.zeros(len(h), bool)
+        inside = place < len(self.known)
+        old[inside] = self.known[place[inside]] == h[inside]
+        new = np.flatnonzero(~old)
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(h[new], [raw[s + 1 : e].decode("utf-8", "replace") for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            place = np.searchsorted(self.known, h)
+        size = self.size[place][which]
+        ids = self.flat[ranges(self.first[place][which], size)]
         row = np.searchsorted(off, starts, "right") - 1
-        return ids, np.bincount(row, weights=size[which], minlength=n).astype(np.int64)
+        return ids, np.bincount(row, weights=size, minlength=n).astype(np.int64)
 
 
 def _with_blank(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +211,12 @@ class Aligned:
         self.a, self.a_end, self.n_a, self.b, self.b_end, self.n_b = kept
         self.row_bytes = np.where(good, size, 0)
         self.bytes = int(self.a_end[-1]) if len(self.a) else 0
-        self.cuts = np.intersect1d(self.a_end, self.b_end, assume_unique=True)
+        here, also = (np.zeros(self.bytes + 1, bool) for _ in range(2))
+        here[self.a_end] = True
+        also[self.b_end] = True
+        here &= also
+        self.groups = np.cumsum(here)  # by place: ends of groups up to there
+        self.group_a, self.group_b = self.groups[self.a_end - 1], self.groups[self.b_end - 1]
 
     def incidence(self, end: np.ndarray) -> Csr:
         """Tokens by bytes."""
@@ -187,7 +224,7 @@ class Aligned:
 
     def grouped(self, end: np.ndarray) -> Csr:
         """Tokens by groups."""
-        return np.arange(len(end) + 1), np.searchsorted(self.cuts, end)
+        return np.arange(len(end) + 1), self.groups[end - 1]
 
     def overlaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A token, B token, bytes they share) of every pair that shares any: A·Bᵀ."""
@@ -196,29 +233,30 @@ class Aligned:
 
     def together(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A token, B token, 1) of every pair of one group."""
-        ptr, col, value = product(self.grouped(self.a_end), transposed(self.grouped(self.b_end), len(self.cuts)), len(self.b))
+        ptr, col, value = product(self.grouped(self.a_end), transposed(self.grouped(self.b_end), int(self.groups[-1])), len(self.b))
         return np.repeat(np.arange(len(self.a)), np.diff(ptr)), col, value
 
     def rows(self, tokens: np.ndarray, side: np.ndarray) -> np.ndarray:
         """The texts of tokens, given the numbers of tokens by text."""
-        return np.searchsorted(np.cumsum(side), tokens, "right")
+        return np.repeat(np.arange(len(side)), side)[tokens]
 
     def group_counts(self) -> np.ndarray:
         stop = np.cumsum(self.row_bytes)
-        return np.searchsorted(self.cuts, stop, "right") - np.searchsorted(self.cuts, stop - self.row_bytes, "right")
+        return self.groups[stop] - self.groups[stop - self.row_bytes]
 
     def group_strings(self) -> list[bytes | None]:
         """By text ``a1,a2|b1;a3|b2,b3``: groups of ids of A and B; None without tokens."""
-        ga, gb = np.searchsorted(self.cuts, self.a_end), np.searchsorted(self.cuts, self.b_end)
-        place_a = np.arange(len(ga)) + np.searchsorted(gb, ga, "left")
-        place_b = np.arange(len(gb)) + np.searchsorted(ga, gb, "right")
+        ga, gb = self.group_a, self.group_b
+        total = int(self.groups[-1])
+        before_a, before_b = (np.concatenate(([0], np.cumsum(np.bincount(g, minlength=total)))) for g in (ga, gb))
+        place_a = np.arange(len(ga)) + before_b[ga]
+        place_b = np.arange(len(gb)) + before_a[gb + 1]
         ids = np.empty(len(ga) + len(gb), np.int64)
         mark = np.empty(len(ids), np.uint8)
         for place, group, side, last in ((place_a, ga, self.a, b"|"), (place_b, gb, self.b, b";")):
             ids[place] = side
             mark[place] = np.where(np.append(group[1:] != group[:-1], True)[: len(group)], last[0], ord(","))
-        top = int(ids.max()) + 1 if len(ids) else 0
-        at, digits = _table([b"%d" % i for i in range(top)])
+        at, digits = _decimals(1 << int(ids.max() if len(ids) else 0).bit_length())
         size = at[ids + 1] - at[ids]
         stop = np.cumsum(size + 1)
         out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
