@@ -34,7 +34,8 @@ from .textbytes import CODES, ranges, span_hashes, text_slices, tidy
 from .tokens import PartTokenizer
 
 _BLANK = "▁"
-_KNOWN = 300_000  # stretches a task remembers
+SLICE = 1 << 20
+_KNOWN = 150_000  # stretches a task remembers
 _SHIFT = 32
 Csr = tuple[np.ndarray, np.ndarray]  # row pointers, columns
 
@@ -287,7 +288,7 @@ def links(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", tex
     def run(batches):
         sides = _sides(a_path, b_path)
         for b in batches:
-            for lo, hi, buf, off in text_slices(b.column(1)):
+            for lo, hi, buf, off in text_slices(b.column(1), SLICE):
                 x = Aligned(*sides, buf, off)
                 i, j, v = x.overlaps() if within == "overlap" else x.together()
                 row = x.rows(i, x.n_a)
@@ -311,7 +312,7 @@ def _slices(docs: DataFrame, a_path: str, b_path: str, key: str, text: str) -> D
         sides = _sides(a_path, b_path)
         number = TaskContext.get().partitionId() << _SHIFT
         for batch in batches:
-            for lo, hi, buf, off in text_slices(batch.column(1)):
+            for lo, hi, buf, off in text_slices(batch.column(1), SLICE):
                 n = hi - lo
                 x = Aligned(*sides, buf, off)
                 i, j, _ = x.overlaps()
