@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import scratch
 from ..functions.columns import col, frame, nan_to_null, number, numeric_columns, text_columns, union_all
 from . import advise
+from .knn_models import KNeighbors
 
 X, Y = "features", "label"
 
@@ -35,6 +36,7 @@ REGRESSORS: dict[str, Callable[..., object]] = {
     "huber": lambda **p: R.LinearRegression(**{"loss": "huber", **p}),
     "generalized_linear": lambda **p: R.GeneralizedLinearRegression(**p),
     "factorization": lambda **p: R.FMRegressor(seed=42, **p),
+    "knn": lambda **p: KNeighbors("regression", **p),
 }
 CLASSIFIERS: dict[str, Callable[..., object]] = {
     "random_forest": lambda **p: C.RandomForestClassifier(seed=42, **p),
@@ -45,6 +47,7 @@ CLASSIFIERS: dict[str, Callable[..., object]] = {
     "linear_svm": lambda **p: C.LinearSVC(**p),
     "factorization": lambda **p: C.FMClassifier(seed=42, **p),
     "mlp": lambda **p: C.MultilayerPerceptronClassifier(seed=42, **p),
+    "knn": lambda **p: KNeighbors("classification", **p),
 }
 BINARY_ONLY = {"gradient_boosting", "linear_svm", "factorization"}
 
@@ -60,6 +63,7 @@ SPACE: dict[str, dict[str, Sequence]] = {
     "logistic": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
     "naive_bayes": {"smoothing": [0.5, 1.0]},
     "linear_svm": {"regParam": [0.001, 0.01, 0.1]},
+    "knn": {"k": [3, 5, 9, 15], "weights": ["uniform", "distance"]},
 }
 
 

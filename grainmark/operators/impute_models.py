@@ -4,72 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scratch
-from ..functions.columns import col, frame, kinds, nan_to_null, number, numeric_columns, text_columns, union_all
+from ..functions.columns import col, frame, kinds, nan_to_null, number, numeric_columns, one_row, text_columns, union_all
 from . import clean, impute
-from .neighbours import knn
+from .neighbours import nearest
 
 MAX_CLASSES = 100
 
 
 def impute_knn(df: DataFrame, key: str, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """Distance-weighted mean (text: weighted vote) of the k nearest complete rows.
+    """Distance-weighted mean (text: weighted vote) of the k nearest rows that have the missing cell's column.
 
-    Rows are grouped by which features they lack; for each such pattern the
-    distance uses the features that are present, scaled to unit variance.
-    Every complete row is a possible donor.
+    Rows and donors may both have gaps: the distance uses the columns that both have,
+    sqrt(d / common · sum of squares) for d columns. Numbers are scaled to unit
+    variance among the donors of the column that is filled, text counts 0 if equal and 1 if not.
+    All gaps of all patterns are one search. A donor at distance 0 outweighs all others; text
+    ties go to the smallest value. Cells without any donor take the mean, text the mode.
     """
     df = nan_to_null(df)
     num = [c for c in (columns or numeric_columns(df)) if c != key and c in numeric_columns(df)]
-    text = [c for c in (columns or text_columns(df)) if c in text_columns(df)]
+    text = [c for c in (columns or text_columns(df)) if c != key and c in text_columns(df)]
     names = [*num, *text]
     holes = [c for c in clean.columns_with_nulls(df) if c in names]
     if not holes:
         return df
-    donors = scratch.materialise(df.na.drop("any", subset=names).select(col(key), *[col(c) for c in names]))
-    pattern = F.concat_ws(",", *[F.when(col(c).isNull(), c) for c in holes])
-    gaps = df.withColumn("__p", pattern).filter("__p != ''")
-    patterns = [r["__p"].split(",") for r in gaps.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per pattern
-    from .outlier_models import scaled_columns
-
-    scale = scaled_columns(donors, num)
-    filled: list[DataFrame] = []
-    for lost in patterns:
-        part = gaps.filter(F.col("__p") == ",".join(lost))
-        seen = [scale[c] for c in num if c not in lost]
-        if not seen:
-            filled.append(part.select(col(key).alias("__k"), *[F.lit(None).cast(df.schema[c].dataType).alias(f"__f_{c}") for c in holes]))
+    code = lambda c: F.xxhash64(col(c)).bitwiseAND(F.lit((1 << 52) - 1))  # noqa: E731  # exact as a double
+    v = F.array(*[number(c).cast("double") for c in num], *[F.when(col(c).isNotNull(), code(c)).cast("double") for c in text])
+    rows = scratch.materialise(df.select(col(key).cast("long").alias("rid"), v.alias("v"), *[col(c).alias(f"__t_{c}") for c in text if c in holes]))
+    wanted = [names.index(c) for c in holes]
+    spread = one_row(rows, {f"s{t}_{j}": F.stddev_pop(F.when(F.col("v")[t].isNotNull(), F.col("v")[j])) for t in wanted for j in range(len(num))})
+    scales = np.ones((len(names), len(names)))
+    for t in wanted:
+        scales[t, : len(num)] = [spread[f"s{t}_{j}"] or 1.0 for j in range(len(num))]
+    for t in set(range(len(names))) - set(wanted):
+        scales[t] = scales[wanted[0]]
+    gone = F.filter(F.array(*[F.lit(t) for t in wanted]), lambda t: F.get("v", t).isNull())
+    some = F.exists("v", lambda x: x.isNotNull())
+    ask = rows.where(some).select(F.col("rid").alias("lid"), "v", F.explode(gone).alias("target"))
+    is_text = [False] * len(num) + [True] * len(text)
+    nn = scratch.materialise(nearest(ask, rows.where(some).select("rid", "v"), k, True, is_text, scales))
+    zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("lid", "target"))  # k rows each
+    w = F.when(F.col("z") == 1, (F.col("dist") == 0).cast("double")).otherwise(1 / F.nullif(F.col("dist"), F.lit(0.0)))
+    near = nn.withColumn("z", zero).withColumn("w", w)
+    for_one = lambda t, e: F.sum(F.when(F.col("target") == t, e))
+    means = [
+        (for_one(t, F.col("value") * F.col("w")) / F.nullif(for_one(t, F.col("w")), F.lit(0.0))).alias(f"__f_{names[t]}") for t in wanted if t < len(num)
+    ]
+    out = df
+    lid = col(key).cast("long")
+    if means:
+        got = near.where(F.col("target") < len(num)).groupBy(F.col("lid").alias("__k")).agg(*means)
+        out = out.join(got, lid == F.col("__k"), "left").drop("__k")
+    for t in wanted:
+        if t < len(num):
             continue
-        nn = knn(part, donors, key, seen, k).select("lid", "rid", "dist")
-        zero = F.max((F.col("dist") == 0).cast("int"))
-        near = nn.join(nn.groupBy("lid").agg(zero.alias("z")), "lid")
-        w = F.when(F.col("z") == 1, (F.col("dist") == 0).cast("double")).otherwise(1 / F.nullif(F.col("dist"), F.lit(0.0)))
-        vals = donors.select(col(key).cast("long").alias("rid"), *[col(c) for c in lost])
-        j = near.withColumn("w", w).join(vals, "rid")
-        aggs = [(F.sum(number(c) * F.col("w")) / F.sum("w")).alias(f"__f_{c}") for c in lost if c in num]
-        out = j.groupBy(F.col("lid").alias("__k")).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
-        for c in lost:
-            if c in text:
-                votes = j.groupBy("lid", col(c).alias("v")).agg(F.sum("w").alias("s"))
-                best = votes.groupBy(F.col("lid").alias("__k")).agg(F.min(F.struct(-F.col("s"), "v"))["v"].alias(f"__f_{c}"))
-                out = out.join(best, "__k")
-        none = [F.lit(None).cast("double" if c in num else "string").alias(f"__f_{c}") for c in holes if c not in lost]
-        filled.append(out.select("__k", *[f"__f_{c}" for c in lost], *none).select("__k", *[f"__f_{c}" for c in holes]))
-    got = union_all(filled)
-    out = df.join(got, col(key).cast("long") == F.col("__k"), "left")
+        c = names[t]
+        votes = near.where(F.col("target") == t).join(rows.select("rid", col(f"__t_{c}").alias("x")), "rid").groupBy("lid", "x").agg(F.sum("w").alias("s"))
+        best = votes.groupBy(F.col("lid").alias("__k")).agg(F.min(F.struct(-F.col("s"), "x"))["x"].alias(f"__f_{c}"))
+        out = out.join(best, lid == F.col("__k"), "left").drop("__k")
     picked = [
         (F.coalesce(number(c), F.col(f"__f_{c}")) if c in num else F.coalesce(col(c), F.col(f"__f_{c}"))).alias(c) if c in holes else col(c)
         for c in df.columns
     ]
-    rest = out.select(*picked)
-    return impute.impute_simple(rest.select(*[col(c) for c in df.columns]), "mean")
+    return impute.impute_simple(out.select(*picked), "mean")
 
 
 def _with_count(df: DataFrame, column: str) -> DataFrame:

@@ -1,18 +1,30 @@
-"""Exact nearest neighbours without a cross join.
+"""Exact nearest neighbours without a cross join, also between rows with gaps.
 
-The searched side is cut into cells of a k-d tree that is grown on a bounded
-sample. A point first looks into its own cell; the distance of its k-th hit
-there bounds the answer, so it then asks only the other cells whose bounding
-box comes closer. Cells asked by very many points are copied to several tasks.
+The searched side is cut into cells of a tree grown on bounded samples: a node asks
+whether a number is present or where it lies. Cells that turn out much larger than
+planned are sampled again and cut further, and what stays large (equal rows) is dealt into
+parts by hash, so no task ever holds more than about ``PART_ROWS`` searched rows.
+
+A row first asks one part of its own cell; the distance of its k-th hit there bounds the answer,
+so it then asks only parts whose bounding box (or ball, beyond ten dimensions) comes
+closer. Each part answers with its own best k, merged per row. Searched rows of a part are
+read first, then its requests in batches: any number of requests fits in memory, and very many
+are dealt to several tasks with a copy of the part.
+
+Between rows with gaps the distance uses the features both have, sqrt(d / common · sum of
+squares), where d is the number of features; text counts 0 if equal, else 1. A cell bounds
+it by the features that all of its rows have.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +34,54 @@ from ..functions.ship import ship
 
 SAMPLE = 50_000
 CELL_ROWS = 2_000
-REQUESTS = 20_000
+PART_ROWS = 8_192
+REQUESTS = 100_000
+MAX_CELLS = 32_768
+BALL_FROM = 11  # dimensions from which balls are measured as well
+_BLOCK = 2_000_000
+_FOUND = "lid long, target int, rid long, dist double, value double"
+
 
+# ---- the tree ----
 
-def grow(x: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
-    """k-d tree nodes (dimension, cut, left, right); a leaf has dimension −1 and its number in ``left``."""
+
+def grow(x: np.ndarray, leaves: int, text: np.ndarray | None = None, unit: np.ndarray | None = None) -> list[tuple[int, float, int, int]]:
+    """Nodes (dimension, cut, left, right) of a tree over a sample; a leaf has dimension −1 and its number in ``left``.
+
+    A cut of NaN sends rows without that number to the left and the others to the right.
+    The widest feature is cut, in units of ``unit``.
+    """
     nodes: list[tuple[int, float, int, int]] = []
     n_leaf = 0
+    text = np.zeros(x.shape[1], bool) if text is None else text
+    unit = np.ones(x.shape[1]) if unit is None else unit
 
-    def cut(part: np.ndarray, want: int) -> int:
+    def leaf(me: int) -> int:
         nonlocal n_leaf
+        nodes[me] = (-1, 0.0, n_leaf, 0)
+        n_leaf += 1
+        return me
+
+    def cut(part: np.ndarray, want: int) -> int:
         me = len(nodes)
         nodes.append((-1, 0.0, 0, 0))
         if want <= 1 or len(part) < 4:
-            nodes[me] = (-1, 0.0, n_leaf, 0)
-            n_leaf += 1
+            return leaf(me)
+        gone = np.isnan(part)
+        share = gone.mean(axis=0)
+        mixed = np.where((share > 0) & (share < 1), np.abs(share - 0.5), np.inf)
+        if np.isfinite(mixed).any():
+            d = int(np.argmin(mixed))
+            left = max(1, min(want - 1, round(want * share[d])))
+            a, b = cut(part[gone[:, d]], left), cut(part[~gone[:, d]], want - left)
+            nodes[me] = (d, math.nan, a, b)
             return me
-        d = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        filled = np.where(gone, 0.0, part)
+        width = (filled.max(axis=0) - filled.min(axis=0)) / unit
+        width = np.where(text, np.minimum(width, 1.0), width)
+        if not width.max() > 0:
+            return leaf(me)
+        d = int(np.argmax(width))
         part = part[np.argsort(part[:, d], kind="stable")]
         mid = len(part) // 2
         at = float(part[mid, d])
@@ -51,7 +94,30 @@ def grow(x: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
     return nodes
 
 
-def _cells(nodes, x: np.ndarray, coin: np.ndarray) -> np.ndarray:
+def grafted(nodes: list, more: dict[int, list]) -> list[tuple[int, float, int, int]]:
+    """``nodes`` with the leaves numbered in ``more`` replaced by trees; the first leaf of each keeps the number."""
+    out = list(nodes)
+    n_leaf = sum(n[0] < 0 for n in nodes)
+    for i, (dim, _, number_, _) in enumerate(nodes):
+        if dim >= 0 or number_ not in more:
+            continue
+        base = len(out)
+        for j, (d, at, a, b) in enumerate(more[number_]):
+            if d < 0:
+                if a == 0:
+                    node = (-1, 0.0, number_, 0)
+                else:
+                    node = (-1, 0.0, n_leaf, 0)
+                    n_leaf += 1
+            else:
+                node = (d, at, base + a, base + b)
+            if j == 0:
+                out[i] = node
+            out.append(node)
+    return out
+
+
+def cells_of(nodes: list, x: np.ndarray, coin: np.ndarray) -> np.ndarray:
     """Leaf of every row; values equal to a cut go to either side by a coin, so
     one value that fills many rows still spreads over many cells."""
     at = np.zeros(len(x), int)
@@ -64,38 +130,307 @@ def _cells(nodes, x: np.ndarray, coin: np.ndarray) -> np.ndarray:
         if not live.any():
             return left[at]
         v = x[np.arange(len(x)), np.maximum(dim[at], 0)]
-        side = (v > val[at]) | ((v == val[at]) & ((coin >> (depth % 60)) & 1 == 1))
+        flip = (coin >> (depth % 60)) & 1 == 1
+        # A missing number at a value cut only happens to rows unlike the sample's.
+        side = np.where(np.isnan(val[at]), ~np.isnan(v), (v > val[at]) | (((v == val[at]) | np.isnan(v)) & flip))
         at = np.where(live, np.where(side, right[at], left[at]), at)
         depth += 1
 
 
-def _nearest(k: int, same: bool):
-    def run(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(have):
-            return pd.DataFrame({"lid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        q, p = np.stack(ask["v"].to_numpy()), np.stack(have["v"].to_numpy())
-        qi, pi = ask["lid"].to_numpy(), have["rid"].to_numpy()
-        lid, rid, dist = [], [], []
-        step = max(1, 2_000_000 // len(p))
-        for s in range(0, len(q), step):
-            d = np.zeros((min(step, len(q) - s), len(p)))
-            for j in range(q.shape[1]):
-                d += (q[s : s + step, j, None] - p[None, :, j]) ** 2
-            if same:
-                d[qi[s : s + step, None] == pi[None, :]] = np.inf
-            m = min(k, len(p))
-            best = np.argpartition(d, m - 1, axis=1)[:, :m]
-            row = np.arange(len(d))[:, None]
-            near = d[row, best]
-            ok = np.isfinite(near)
-            lid.append(np.broadcast_to(qi[s : s + step, None], near.shape)[ok])
-            rid.append(pi[best][ok])
-            dist.append(np.sqrt(near[ok]))
-        return pd.DataFrame({"lid": np.concatenate(lid), "rid": np.concatenate(rid), "dist": np.concatenate(dist)})
+# ---- distances and bounds ----
+
+
+def _wrong(a: np.ndarray, b: np.ndarray, text: bool) -> np.ndarray:
+    """Differences, for text 0 or 1; NaN where either is missing."""
+    if not text:
+        return a - b
+    return np.where(np.isnan(a) | np.isnan(b), np.nan, (a != b).astype(float))
+
+
+def distances(q: np.ndarray, x: np.ndarray, scale: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Rows of q to rows of x; ``scale`` has a row for each of q. Infinite where nothing is common."""
+    width = q.shape[1]
+    total = np.zeros((len(q), len(x)))
+    common = np.zeros((len(q), len(x)), np.int32)
+    gaps = bool(np.isnan(q).any() or np.isnan(x).any())
+    for j in range(width):
+        w = _wrong(q[:, j, None], x[None, :, j], text[j]) / scale[:, j, None]
+        if gaps:
+            here = ~np.isnan(w)
+            common += here
+            w = np.where(here, w, 0.0)
+        total += w * w
+    if not gaps:
+        return np.sqrt(total)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(common > 0, np.sqrt(total * (width / np.maximum(common, 1))), np.inf)
+
+
+@dataclass
+class Cells:
+    """The tree and, by cell: rows, how many have each feature, box, parts, and centre and radius beyond ten dimensions."""
+
+    nodes: list
+    rows: np.ndarray
+    having: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    parts: np.ndarray
+    text: np.ndarray
+    centre: np.ndarray | None = None
+    radius: np.ndarray | None = None
+
+    def bounds(self, q: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """No row of a cell is nearer than this: rows of q by cells."""
+        width = q.shape[1]
+        total = np.zeros((len(q), len(self.rows)))
+        ball = np.zeros_like(total)
+        for j in range(width):
+            c = q[:, j, None]
+            sure = (self.having[:, j] == self.rows) & (self.rows > 0)
+            if self.text[j]:
+                g = ((self.lo[None, :, j] == self.hi[None, :, j]) & (c != self.lo[None, :, j])).astype(float)
+            else:
+                g = np.maximum(np.maximum(self.lo[None, :, j] - c, c - self.hi[None, :, j]), 0.0)
+            g = np.where(sure[None, :] & ~np.isnan(c), g / scale[:, j, None], 0.0)
+            total += g * g
+            if self.centre is not None:
+                ball += np.where(np.isnan(c), 0.0, c - self.centre[None, :, j]) ** 2
+        have = np.maximum(1, (~np.isnan(q)).sum(axis=1))[:, None]
+        out = np.sqrt(total * (width / have))
+        if self.centre is not None:
+            out = np.maximum(out, np.sqrt(ball) * (1 - 1e-9) - self.radius[None, :])
+        return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def _answer(q, qi, target, x, xi, k: int, same: bool, scales: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The nearest ``k`` of x for each of q, in blocks of bounded size."""
+    step = max(1, _BLOCK // len(x))
+    for s in range(0, len(q), step):
+        t = target[s : s + step]
+        d = distances(q[s : s + step], x, scales[np.maximum(t, 0)], text)
+        if same:
+            d[qi[s : s + step, None] == xi[None, :]] = np.inf
+        value = np.full((len(d), 1), np.nan)
+        if (t >= 0).any():
+            d = np.where(np.isnan(x.T[np.maximum(t, 0)]) & (t >= 0)[:, None], np.inf, d)
+        m = min(k, len(x))
+        best = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(m), (len(d), m))
+        near = np.take_along_axis(d, best, axis=1)
+        row, place = np.nonzero(np.isfinite(near))
+        at = best[row, place]
+        value = np.where(t[row] >= 0, x[at, np.maximum(t[row], 0)], np.nan)
+        columns = (qi[s : s + step][row], t[row].astype(np.int32), xi[at], near[row, place], value)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lid", "target", "rid", "dist", "value"])
+
+
+def _tasks(k: int, same: bool, scales: np.ndarray, text: np.ndarray):
+    """Over rows sorted by (cell, part, chunk, side): hold the searched rows (side 0) of a part, answer its requests."""
+
+    def run(batches):
+        at, held, table = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([b.column(i).to_numpy() for i in range(4)])
+            edge = np.flatnonzero(np.concatenate(([True], (place[:, 1:] != place[:, :-1]).any(axis=0), [True])))
+            for s, e in zip(edge[:-1], edge[1:]):
+                piece, here = b.slice(s, e - s), tuple(place[:3, s])
+                if here != at:
+                    at, held, table = here, [], None
+                ids, v = piece.column(4).to_numpy(), _matrix(piece.column(5))
+                if place[3, s] == 0:
+                    held.append((ids, v))
+                    continue
+                if table is None and held:
+                    table = tuple(np.concatenate(c) for c in zip(*held))
+                    held = []
+                if table is not None:
+                    yield from _answer(v, ids, piece.column(6).to_numpy(), table[1], table[0], k, same, scales, text)
 
     return run
 
 
+# ---- the search ----
+
+
+def _cell_column(nodes: list):
+    @F.pandas_udf("int")
+    def cell_of(v: pd.Series, i: pd.Series) -> pd.Series:
+        coin = pd.util.hash_array(i.to_numpy()).astype(np.uint64) >> np.uint64(4)
+        return pd.Series(cells_of(nodes, np.array(v.tolist(), float), coin.astype(np.int64)), dtype="int32")
+
+    return cell_of("v", "rid")
+
+
+def _sampled(rows: DataFrame, share: float, most: int) -> np.ndarray:
+    draw = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
+    got = rows.where(draw < max(1, int(share * (1 << 30)))).select("v").limit(most).collect()  # at most ``most`` rows
+    return np.array([r["v"] for r in got], float)
+
+
+def _measured(have: DataFrame, nodes: list, width: int, text: np.ndarray, part_rows: int) -> Cells:
+    dims = range(width)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for j in dims:
+        v = F.col("v")[j]
+        aggs += [F.count(v).alias(f"c{j}"), F.min(v).alias(f"lo{j}"), F.max(v).alias(f"hi{j}")]
+        if width >= BALL_FROM:
+            aggs.append(F.avg(v).alias(f"m{j}"))
+    got = {r["cell"]: r for r in have.groupBy("cell").agg(*aggs).collect()}  # one row per cell of the bounded tree
+    n = sum(d < 0 for d, *_ in nodes)
+    rows = np.array([got[c]["n"] if c in got else 0 for c in range(n)])
+
+    def grid(name: str, empty: float) -> np.ndarray:
+        at = [[got[c][f"{name}{j}"] if c in got else None for j in dims] for c in range(n)]
+        return np.array([[empty if x is None else x for x in r] for r in at], float).reshape(n, width)
+
+    parts = np.maximum(1, -(-rows // part_rows))
+    out = Cells(nodes, rows, grid("c", 0), grid("lo", np.inf), grid("hi", -np.inf), parts, text)
+    if width >= BALL_FROM and not text.any() and (out.having == rows[:, None]).all():
+        out.centre = grid("m", 0)
+        centre = have.sparkSession.sparkContext.broadcast(out.centre)
+
+        @F.pandas_udf("double")
+        def off(v: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series(np.sqrt(((np.array(v.tolist(), float) - centre.value[c.to_numpy()]) ** 2).sum(axis=1)))
+
+        far = {r["cell"]: r["r"] for r in have.groupBy("cell").agg(F.max(off("v", "cell")).alias("r")).collect()}
+        out.radius = np.array([far.get(c, 0.0) * (1 + 1e-9) for c in range(n)])
+    return out
+
+
+def _indexed(have: DataFrame, n: int, text: np.ndarray, unit: np.ndarray, cell_rows: int, part_rows: int) -> tuple[DataFrame, Cells]:
+    """``have`` with its cells, cut until cells are about ``cell_rows`` or can't be cut."""
+    x = _sampled(have, SAMPLE / n, 2 * SAMPLE)
+    if not len(x):
+        x = np.array([r["v"] for r in have.select("v").limit(1).collect()], float)
+    nodes = grow(x, max(1, min(math.ceil(n / cell_rows), len(x) // 8, MAX_CELLS)), text, unit)
+    for _ in range(4):
+        placed = scratch.materialise(have.withColumn("cell", _cell_column(nodes)))
+        cells = _measured(placed, nodes, len(text), text, part_rows)
+        several = ((cells.hi > cells.lo) | ((cells.having > 0) & (cells.having < cells.rows[:, None]))).any(axis=1)
+        heavy = np.flatnonzero((cells.rows > 4 * cell_rows) & several)
+        room = MAX_CELLS - len(cells.rows)
+        if not len(heavy) or room <= 0:
+            break
+        most = cells.rows[heavy].max()
+        each = max(64, SAMPLE // len(heavy))
+        draw = F.pmod(F.xxhash64("rid", F.lit(len(nodes))), F.lit(1 << 30))
+        some = placed.where(F.col("cell").isin([int(c) for c in heavy[:1000]]) if len(heavy) <= 1000 else F.lit(True))
+        some = some.where(draw < max(1, int(min(1.0, each / most * 4) * (1 << 30)))).select("cell", "v").limit(4 * SAMPLE).toPandas()
+        more = {}
+        for c, part in some.groupby("cell"):
+            want = min(room + 1, math.ceil(cells.rows[c] / cell_rows), len(part) // 8)
+            if c in heavy and want > 1:
+                more[c] = grow(np.array(part["v"].tolist(), float), want, text, unit)
+                room -= want - 1
+        if not any(len(t) > 1 for t in more.values()):
+            break
+        nodes = grafted(nodes, more)
+    return placed, cells
+
+
+def nearest(
+    ask: DataFrame,
+    have: DataFrame,
+    k: int,
+    same: bool = False,
+    text: Sequence[bool] | None = None,
+    scales: np.ndarray | None = None,
+    cell_rows: int = CELL_ROWS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """(lid, target, rid, dist, value, place): for each row of ``ask`` (lid, v, target) its k nearest of ``have`` (rid, v).
+
+    ``v`` are arrays of doubles, null where a feature is missing; ``text`` marks features that are
+    equal or not. ``target`` is −1, or a feature the neighbour must have: ``value`` is that
+    feature's, and row ``target`` of ``scales`` divides the differences. With ``same`` a row is not
+    its own neighbour. Among equally distant rows the choice is arbitrary, the distances are exact.
+    """
+    spark = have.sparkSession
+    ship(spark)
+    n = have.count()
+    if n == 0:
+        return spark.createDataFrame([], _FOUND + ", place int")
+    width = len(have.select("v").first()[0])
+    marks = np.zeros(width, bool) if text is None else np.array(text, bool)
+    by = np.ones((1, width)) if scales is None else np.asarray(scales, float)
+    placed, cells = _indexed(have, n, marks, by.mean(axis=0), cell_rows, part_rows)
+    known = spark.sparkContext.broadcast((cells, by))
+
+    def search(requests: DataFrame) -> DataFrame:
+        load = requests.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REQUESTS)
+        chunks = load.select("cell", "part", F.ceil(F.col("n") / REQUESTS).cast("int").alias("c"))  # one row per busy part
+        h = placed.join(F.broadcast(dealt), "cell").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+        h = h.join(F.broadcast(chunks), ["cell", "part"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1)))
+        r = requests.join(F.broadcast(chunks), ["cell", "part"], "left").withColumn("chunk", F.pmod(F.xxhash64("lid", "target"), F.coalesce("c", F.lit(1))).cast("int"))
+        wanted = requests.select("cell", "part").distinct()
+        h = h.join(wanted, ["cell", "part"], "left_semi")
+        side = lambda d, i, s: d.select("cell", "part", "chunk", F.lit(s).alias("side"), F.col(i).alias("id"), "v", "target")
+        both = side(h.withColumn("target", F.lit(-1)), "rid", 0).unionByName(side(r, "lid", 1))
+        both = both.repartition("cell", "part", "chunk").sortWithinPartitions("cell", "part", "chunk", "side")
+        return both.mapInArrow(_tasks(k, same, by, marks), _FOUND)
+
+    dealt = spark.createDataFrame([(c, p) for c, p in enumerate(cells.parts.tolist()) if cells.rows[c]], "cell int, parts int")  # at most MAX_CELLS rows
+
+    def home(batches):
+        """One part of the nearest cell that has enough."""
+        at, scale = known.value
+        for b in batches:
+            q, t = _matrix(b.column(1)), b.column(2).to_numpy()
+            step = max(1, _BLOCK // len(at.rows))
+            for s in range(0, len(q), step):
+                to = t[s : s + step]
+                enough = np.where(to[:, None] >= 0, at.having.T[np.maximum(to, 0)], at.rows[None, :]) >= (k + 1) * at.parts[None, :]
+                far = at.bounds(q[s : s + step], scale[np.maximum(to, 0)])
+                cell = np.argmin(np.where(enough, far, np.inf), axis=1)
+                piece = b.slice(s, len(to))
+                part = piece.column(0).to_numpy() % at.parts[cell]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32))], names=["lid", "v", "target", "cell", "part"])
+
+    ask = ask.select(F.col("lid").cast("long").alias("lid"), "v", F.col("target").cast("int").alias("target"))
+    asked = scratch.materialise(ask.mapInArrow(home, "lid long, v array<double>, target int, cell int, part int"))
+    near = scratch.materialise(search(asked))
+    reach = near.groupBy("lid", "target").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("u"))
+    reach = asked.join(reach, ["lid", "target"], "left").select(
+        "lid", "v", "target", "cell", "part", F.when(F.col("m") >= k, F.col("u")).otherwise(F.lit(float("inf"))).alias("u")
+    )
+
+    def others(batches):
+        """All other parts that may hold something nearer, a bounded number of rows at a time."""
+        at, scale = known.value
+        for b in batches:
+            q, t, own, part, u = _matrix(b.column(1)), *(b.column(i).to_numpy() for i in range(2, 6))
+            step = max(1, _BLOCK // (4 * len(at.rows)))
+            for s in range(0, len(q), step):
+                to = t[s : s + step]
+                some = np.where(to[:, None] >= 0, at.having.T[np.maximum(to, 0)], at.rows[None, :]) > 0
+                i, c = np.nonzero((at.bounds(q[s : s + step], scale[np.maximum(to, 0)]) < u[s : s + step, None]) & some)
+                for lo in range(0, len(i), 4096):
+                    ii, cc = i[lo : lo + 4096], c[lo : lo + 4096]
+                    size = at.parts[cc]
+                    row = np.repeat(ii, size)
+                    cell = np.repeat(cc, size)
+                    p = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    new = (cell != own[s + row]) | (p != part[s + row])
+                    row, cell, p = s + row[new], cell[new], p[new]
+                    piece = b.select(["lid", "v", "target"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(cell.astype(np.int32)), pa.array(p.astype(np.int32))], names=["lid", "v", "target", "cell", "part"])
+
+    found = near
+    if cells.parts.sum() > 1:
+        more = scratch.materialise(reach.mapInArrow(others, "lid long, v array<double>, target int, cell int, part int"))
+        found = near.unionByName(search(more))
+    w = Window.partitionBy("lid", "target").orderBy("dist", "rid")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def _vector(features: Sequence[Column]) -> Column:
     return F.array(*[f.cast("double") for f in features])
 
@@ -107,74 +442,15 @@ def knn(
     features: Sequence[str | Column],
     k: int,
     cell_rows: int = CELL_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """(lid, rid, dist, place): the k nearest rows of ``right`` for every row of
     ``left`` by Euclidean distance; with ``right=None`` within one table, a row
     not being its own neighbour. ``key`` must be a unique whole number. Among
     equally distant rows the choice is arbitrary, the distances are exact.
     """
-    spark = left.sparkSession
-    ship(spark)
     same = right is None
     v = _vector([number(f) if isinstance(f, str) else f for f in features])
-    ask = left.select(col(key).cast("long").alias("lid"), v.alias("v"))
+    ask = left.select(col(key).cast("long").alias("lid"), v.alias("v"), F.lit(-1).alias("target"))
     have = (left if same else right).select(col(key).cast("long").alias("rid"), v.alias("v"))
-    n = have.count()
-    out_schema = "lid long, rid long, dist double"
-    if n == 0:
-        return spark.createDataFrame([], out_schema + ", place int")
-    sample = have.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("v").collect()  # a bounded sample
-    x = np.array([r["v"] for r in sample])
-    leaves = max(1, min(math.ceil(n / cell_rows), len(x) // 8))
-    nodes = grow(x, leaves)
-
-    @F.pandas_udf("int")
-    def cell_of(v: pd.Series, i: pd.Series) -> pd.Series:
-        coin = pd.util.hash_array(i.to_numpy()).astype(np.uint64) >> np.uint64(4)
-        return pd.Series(_cells(nodes, np.stack(v.to_numpy()), coin.astype(np.int64)))
-
-    have = scratch.materialise(have.withColumn("cell", cell_of("v", "rid")))
-    ask = scratch.materialise(ask.withColumn("cell", cell_of("v", "lid")))
-    dims = range(x.shape[1])
-    box = have.groupBy("cell").agg(
-        *[F.min(F.col("v")[j]).alias(f"lo{j}") for j in dims], *[F.max(F.col("v")[j]).alias(f"hi{j}") for j in dims]
-    )
-    boxes = sorted(box.collect(), key=lambda r: r["cell"])  # one row per cell of the bounded tree
-    cell_id = np.array([r["cell"] for r in boxes])
-    lo = np.array([[r[f"lo{j}"] for j in dims] for r in boxes])
-    hi = np.array([[r[f"hi{j}"] for j in dims] for r in boxes])
-
-    def search(requests: DataFrame) -> DataFrame:
-        load = requests.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # one row per cell
-        parts = load.select("cell", F.greatest(F.ceil(F.col("n") / REQUESTS), F.lit(1)).cast("int").alias("c"))
-        r = requests.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("lid"), F.col("c")).cast("int"))
-        h = have.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        ask_, have_ = r.select("cell", "part", "lid", "v"), h.select("cell", "part", "rid", "v")
-        return ask_.groupBy("cell", "part").cogroup(have_.groupBy("cell", "part")).applyInPandas(_nearest(k, same), out_schema)
-
-    near = scratch.materialise(search(ask))
-    reach = near.groupBy("lid").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("u"))
-    reach = ask.join(reach, "lid", "left").select(
-        "lid", "v", "cell", F.when(F.col("m") >= k, F.col("u")).otherwise(F.lit(float("inf"))).alias("u")
-    )
-
-    def others(batches):
-        for pdf in batches:
-            q = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, len(lo[0])))
-            step = max(1, 2_000_000 // len(lo))
-            for s in range(0, len(q), step):
-                part = pdf.iloc[s : s + step]
-                gap = np.zeros((len(part), len(lo)))
-                for j in range(q.shape[1]):
-                    c = q[s : s + step, j, None]
-                    gap += np.maximum(np.maximum(lo[None, :, j] - c, c - hi[None, :, j]), 0.0) ** 2
-                hit = (np.sqrt(gap) < part["u"].to_numpy()[:, None]) & (cell_id[None, :] != part["cell"].to_numpy()[:, None])
-                i, c = np.nonzero(hit)
-                if len(i):
-                    v = pd.Series(list(part["v"].to_numpy()[i]), dtype=object)
-                    yield pd.DataFrame({"lid": part["lid"].to_numpy()[i], "v": v, "cell": cell_id[c].astype("int32")})
-
-    more = scratch.materialise(reach.mapInPandas(others, "lid long, v array<double>, cell int"))
-    found = near.unionByName(search(more))
-    w = Window.partitionBy("lid").orderBy("dist", "rid")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return nearest(ask, have, k, same, cell_rows=cell_rows, part_rows=part_rows).select("lid", "rid", "dist", "place")

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import automl as A
@@ -34,6 +34,45 @@ def _(spark, sf):
     return out.select("event_id", F.round("value", 5).alias("value"))
 
 
+# Five features of a customer; everybody lacks one of them.
+FIVE = [
+    "c_acctbal",
+    "(c_custkey * 7919 % 10007) / 100.0",
+    "sqrt(c_custkey)",
+    "10 * sin(c_custkey)",
+    "c_mktsegment",
+]
+
+
+def _lacking(double: str) -> list[str]:
+    return [
+        f"CASE WHEN c_custkey % 5 <> {i} THEN {e if i == 4 else f'CAST({e} AS {double})'} END AS f{i}" for i, e in enumerate(FIVE)
+    ]
+
+
+@query(
+    "impute_knn_gaps",
+    f"""WITH t AS (SELECT c_custkey AS id, {", ".join(_lacking("DOUBLE"))} FROM customer),
+    d AS ({" UNION ALL ".join(
+        f"SELECT {t} AS t, a.id, b.id AS o, " + (f"CAST(b.f{t} AS VARCHAR)" if t < 4 else "b.f4") + " AS v, "
+        + "sqrt(5.0 / (" + " + ".join(f"(a.f{j} IS NOT NULL AND b.f{j} IS NOT NULL)::INT" for j in range(5)) + ") * ("
+        + " + ".join(f"coalesce(pow((a.f{j} - b.f{j}) / (SELECT stddev_pop(f{j}) FROM t WHERE f{t} IS NOT NULL), 2), 0)" for j in range(4))
+        + " + coalesce((a.f4 <> b.f4)::INT, 0))) AS dist"
+        + f" FROM t a JOIN t b ON a.f{t} IS NULL AND b.f{t} IS NOT NULL"
+        for t in range(5)
+    )}),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, id ORDER BY dist) AS k FROM d) WHERE k <= 5),
+    m AS (SELECT id, t, sum(CAST(v AS DOUBLE) / dist) / sum(1 / dist) AS v FROM n WHERE t < 4 GROUP BY ALL),
+    x AS (SELECT id, arg_min(v, (-s, v)) AS v FROM (SELECT id, v, sum(1 / dist) AS s FROM n WHERE t = 4 GROUP BY ALL) GROUP BY id)
+    SELECT t.id AS c_custkey, {", ".join(f"round(coalesce(f{i}, m.v), 4) AS f{i}" if i < 4 else "coalesce(f4, x.v) AS f4" for i in range(5))}
+    FROM t LEFT JOIN m ON t.id = m.id AND t.id % 5 = m.t LEFT JOIN x ON t.id = x.id""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "customer").selectExpr("c_custkey", *_lacking("DOUBLE"))
+    out = I.impute_knn(df, "c_custkey")
+    return out.select("c_custkey", *[F.round(f"f{i}", 4).alias(f"f{i}") for i in range(4)], "f4")
+
+
 SMALL = ["l_orderkey", "quantity", "discount", "price", "flag"]
 
 
@@ -272,6 +311,41 @@ def _(spark, sf):
     return A.permutation_importance(p, model, ["row"]).drop("n_rows")
 
 
+NEAR = """WITH c AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, (c_custkey * 7919 % 10007) / 1000.0 AS y, c_nationkey AS v FROM customer),
+    n AS (SELECT a.id, b.v, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS k FROM c a JOIN c b ON a.id % 5 = 0 AND b.id % 5 <> 0)"""
+
+
+def _near(spark, sf, label: str):
+    at = F.array(F.expr("c_acctbal / 1000"), F.expr("CAST((c_custkey * 7919 % 10007) / 1000.0 AS DOUBLE)"))
+    df = table(spark, sf, "customer").select("c_custkey", array_to_vector(at).alias("features"), F.expr(label).cast("double").alias("label"))
+    return df.where("c_custkey % 5 <> 0"), df.where("c_custkey % 5 = 0")
+
+
+@query("knn_regression", NEAR + " SELECT id AS c_custkey, round(avg(v), 6) AS prediction FROM n WHERE k <= 5 GROUP BY id")
+def _(spark, sf):
+    train, test = _near(spark, sf, "c_nationkey")
+    return A.make("knn", "regression", 2, 0, k=5).fit(train).transform(test).select("c_custkey", F.round("prediction", 6).alias("prediction"))
+
+
+@query(
+    "knn_classification",
+    NEAR
+    + """, s AS (SELECT id, v % 4 AS g, count(*) AS c FROM n WHERE k <= 7 GROUP BY ALL)
+    SELECT id AS c_custkey, CAST(arg_min(g, (-c, g)) AS DOUBLE) AS prediction, round(max(c) / 7, 6) AS share FROM s GROUP BY id""",
+)
+def _(spark, sf):
+    train, test = _near(spark, sf, "c_nationkey % 4")
+    out = A.make("knn", "classification", 2, 4, k=7).fit(train).transform(test)
+    return out.select("c_custkey", "prediction", F.round(F.array_max(vector_to_array("probability")), 6).alias("share"))
+
+
+@query("build_pipeline_knn")
+def _(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+    model = A.build_pipeline(df.drop("c_custkey"), "c_acctbal", "knn").fit(df)
+    return model.transform(df).select("c_custkey", "prediction")
+
+
 @query("build_pipeline")
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
