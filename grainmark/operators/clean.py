@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import scratch, values
+from ..functions import digests, scratch, values
 from ..functions.columns import col, constant, count_if, frame, kinds, nan_to_null, number, numeric_columns, one_row
 from . import profile
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each row, nulls equal; rows that occur once stay where they are."""
+    return digests.distinct_rows(df)
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, object]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import values
+from ..functions import digests, values
 from ..functions.columns import (
     col,
     corr,
@@ -54,14 +54,18 @@ def null_rates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Copies beyond the first; equal rows meet map-side before the exchange."""
-    groups = nan_to_null(df).groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    """Copies beyond the first; digests of equal rows meet map-side before the exchange."""
+    return digests.repeated(nan_to_null(df)).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def list_duplicates(df: DataFrame) -> DataFrame:
-    groups = nan_to_null(df).groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("n_copies"))
-    return groups.filter("n_copies > 1")
+    """Each row that occurs several times with its number of copies; other rows, unless narrow, are not exchanged."""
+    df = nan_to_null(df)
+    rows = df
+    if not digests.narrow(df):
+        marked = digests.may_repeat(df)
+        rows = df.limit(0) if marked is None else marked.where("__may").select(*[col(c) for c in df.columns])
+    return rows.groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
 
 
 def basic_stats(df: DataFrame) -> DataFrame:
