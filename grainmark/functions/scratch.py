@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,40 @@ def root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_OPEN: list[list[str]] = []  # the paths written in each open ``temporary`` block
+
+
 def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/grainmark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._grainmark_path = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those put in the list.
+
+    What leaves the block must not read the others any more, so it is written itself.
+    A table of an outer block is that block's to delete.
+    """
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        mine = _OPEN.pop()
+        stay = {getattr(d, "_grainmark_path", None) for d in kept}
+        for path in mine:
+            if path not in stay:
+                files, there = _files(spark, path)
+                files.delete(there, True)
+        if _OPEN:
+            _OPEN[-1].extend(p for p in mine if p in stay)
 
 
 def _files(spark: SparkSession, path: str):
