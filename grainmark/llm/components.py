@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialise
+from ..functions.scratch import materialise, temporary
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,17 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     that are combined before the shuffle. Rounds grow like the logarithm of the
     longest way through a component.
     """
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    known = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
-    while True:
-        # The smallest label around a vertex, then that label's own label.
-        near = both.join(known.withColumnsRenamed({"v": "b", "l": "m"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("m"))
-        lower = known.join(near, "v").select("v", F.least("l", "m").alias("k"), F.col("l").alias("was"))
-        jump = known.select(F.col("v").alias("k"), F.col("l").alias("j"))
-        new = materialise(lower.join(jump, "k").select("v", F.least("j", "k").alias("l"), "was"))
-        known = new.select("v", "l")
-        if not new.where("l != was").limit(1).count():
-            return known
+    with temporary(links.sparkSession) as kept:
+        both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+        known = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")))
+        while True:
+            # The smallest label around a vertex, then that label's own label.
+            near = both.join(known.withColumnsRenamed({"v": "b", "l": "m"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("m").alias("m"))
+            lower = known.join(near, "v").select("v", F.least("l", "m").alias("k"), F.col("l").alias("was"))
+            jump = known.select(F.col("v").alias("k"), F.col("l").alias("j"))
+            new = materialise(lower.join(jump, "k").select("v", F.least("j", "k").alias("l"), "was"))
+            known = new.select("v", "l")
+            if not new.where("l != was").limit(1).count():
+                kept.append(new)
+                return known
 
 
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

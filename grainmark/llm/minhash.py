@@ -12,13 +12,14 @@ is an extra column of the links.
 Texts with the same words are one text from the start. Equal bands of registers
 make buckets; in a bucket every text is compared with one leader, drawn by hash
 per bucket, so a text meets different leaders in its different buckets. Pairs
-whose registers agree often enough are verified on the whole texts. Further sweeps
-draw new leaders for buckets that still hold several components. So large groups
+whose registers agree often enough are verified on the whole texts. A further sweep
+draws new leaders for buckets that still hold several components. So large groups
 become one component with a number of pairs linear in the number of texts.
 
-What the sweeps leave is settled exactly: the texts of buckets of three or more that
+What the sweeps leave is settled by shingles: the texts of buckets of three or more that
 still hold several components are joined on their rarest shingles (``_rare_pairs``),
-between components only, and every pair found is verified.
+between components only. Every pair found is verified whose registers agree in a share
+within five standard deviations of the threshold.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scratch import materialise
+from ..functions.scratch import materialise, temporary
 from ..functions.ship import ship
 from .components import joined
 from .names import free
@@ -286,6 +287,7 @@ def _rare_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     most texts of a shingle are not made at all.
     """
     spark = texts.sparkSession
+    ship(spark)
     ranks = spark.sparkContext.broadcast(_frequencies(texts))
     t, slack = threshold, 1e-9
 
@@ -319,18 +321,25 @@ def _rare_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("u", "yu").alias("a"), F.greatest("u", "yu").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 4) -> dict[str, DataFrame]:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, max_sweeps: int = 2) -> dict[str, DataFrame]:
     """``members`` (key, u, class) and ``links`` (a, b, jaccard, similarity; ends are texts' u).
 
     A link needs ``threshold`` or more of plain Jaccard similarity of the shingle sets;
     the registers that find the candidates estimate the same measure. After at most
-    ``max_sweeps`` sweeps the rest is settled exactly; fewer sweeps leave more of it.
+    ``max_sweeps`` sweeps the rest is settled by rare shingles; fewer sweeps leave more of it.
 
     ``class`` is the u of the smallest text of the component; texts without words
     (null, empty, only punctuation) have no u and are in no class. Equal keys and
     repeated rows are members each. Other columns are ignored; an empty table gives
     empty results.
     """
+    with temporary(docs.sparkSession) as kept:
+        found = _near_duplicates(docs, key, text, threshold, max_sweeps)
+        kept += found.values()
+        return found
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: float, max_sweeps: int) -> dict[str, DataFrame]:
     spark = docs.sparkSession
     signed_rows = materialise(sign(docs, key=key, text=text))
     signed = materialise(
@@ -352,19 +361,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links, labels, tested = spark.createDataFrame([], _LINK), None, None
 
     def met(now: DataFrame, sweep: int) -> DataFrame:
-        """Pairs a, b of each member with its bucket's leader of this sweep, if their components differ; u is the member."""
+        """Pairs a, b of each member with its bucket's leader of this sweep, if their components differ."""
         order = F.xxhash64("bucket", "u", F.lit(sweep))
         lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("u").alias("u"), F.col("l").alias("l"))).alias("lead"))
         pairs = now.join(materialise(lead), "bucket").where(F.col("l") != F.col("lead.l"))
-        return pairs.groupBy(F.least("u", "lead.u").alias("a"), F.greatest("u", "lead.u").alias("b")).agg(F.min("u").alias("u"))
-
-    def apart(pool: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components, with these as la and lb."""
-        if labels is None:
-            return pool.withColumns({"la": F.col("a"), "lb": F.col("b")})
-        a, b = (labels.select(F.col("v").alias(c), F.col("l").alias(f"l{c}")) for c in ("a", "b"))
-        pool = pool.drop("la", "lb").join(a, "a", "left").join(b, "b", "left")
-        return pool.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la != lb")
+        return pairs.select(F.least("u", "lead.u").alias("a"), F.greatest("u", "lead.u").alias("b")).distinct()
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -376,54 +377,35 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where(f"lo != hi and n >= {least}").select("bucket")
         return now.join(mixed, "bucket")
 
-    best = F.max(F.struct("share", "a", "b")).alias("best")
-    few = [F.least("la", "lb"), F.greatest("la", "lb"), F.pmod(F.xxhash64("a", "b"), F.lit(16))]
-
-    def settle(pool: DataFrame, joint: bool) -> bool:
-        """Verify ``pool`` (a, b, u, share) and take in the links; whether there are any. ``joint``: ends may be of one component."""
+    def settle(pairs: DataFrame) -> bool:
+        """Verify ``pairs`` (a, b) that their registers call likely and take in the links; whether there are any."""
         nonlocal links, labels
-        found = False
-        # First every text's likeliest pair, then the likeliest between two components, then all that is left.
-        for turn in range(3):
-            pool = materialise(apart(pool)) if joint or turn else pool
-            if turn == 2:
-                chosen = pool.select("a", "b")
-            else:
-                chosen = pool.groupBy(*(["u"] if turn == 0 else few)).agg(best).select("best.a", "best.b").distinct()
-            new = materialise(_verify(chosen, texts, threshold))
-            if turn < 2:
-                pool = pool.join(chosen, ["a", "b"], "left_anti")
-            if new.limit(1).count():
-                found = True
-                links = links.unionByName(new)
-                labels = joined(labels, new.select("a", "b"))
-        return found
+        new = materialise(_verify(_estimate(pairs.select("a", "b"), signed, least), texts, threshold))
+        if not new.limit(1).count():
+            return False
+        links = links.unionByName(new)
+        labels = joined(labels, new.select("a", "b"))
+        return True
 
     for sweep in range(max_sweeps):
         pairs = met(labelled() if labels is None else still_mixed(labelled()), sweep)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        pool = materialise(_estimate(pairs.select("a", "b"), signed, least).join(pairs, ["a", "b"]))
-        if not settle(pool, sweep > 0):
+        tested = pairs if tested is None else tested.union(pairs)
+        if not settle(pairs):
             break
     # Buckets of two are settled by their leader; of larger ones some texts may not have met.
     rest = materialise(still_mixed(labelled(), 3 if max_sweeps else 2).select("u", "l").distinct())
     if rest.limit(1).count():
         pairs = _rare_pairs(texts.join(rest, "u"), threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.limit(1).count():
-            # No pair is dropped by its registers here; they only say which are likely.
-            settle(materialise(_estimate(pairs, signed, 0.0).withColumn("u", F.col("a"))), False)
+        settle(materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
     out = signed_rows.select("key", "u")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("v", "u"), "u", "left").select("key", "u", F.coalesce("l", "u").alias("class"))
     else:
         out = out.withColumn("class", F.col("u"))
-    return {"members": materialise(out), "links": links}
+    return {"members": materialise(out), "links": materialise(links)}
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
