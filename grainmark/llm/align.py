@@ -35,7 +35,6 @@ from .tokens import PartTokenizer
 
 _BLANK = "▁"
 SLICE = 1 << 20
-_KNOWN = 150_000  # stretches a task remembers
 _SHIFT = 32
 Csr = tuple[np.ndarray, np.ndarray]  # row pointers, columns
 
@@ -108,8 +107,7 @@ class PieceSide:
 
     Where no piece holds a blank after another character, a text's ids are those of its
     stretches of blanks and other characters, one after the other, and equal
-    stretches are encoded once, as far as ``_KNOWN`` of them are remembered. Other
-    models encode whole texts.
+    stretches of a slice are encoded once. Other models encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -128,22 +126,8 @@ class PieceSide:
         self.at, self.bytes = _table(pieces)
         # A blank alone, the model's own first one apart.
         self.blank = self.sp.piece_to_id(_BLANK)
-        self._forget()
         self.parts = self.parts and self.sp.encode(" ") == [self.sp.piece_to_id(_BLANK * 2)] and self.sp.encode("a ")[-1:] == [self.blank]
 
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes in order, and their ids: how many, from where on
-        self.first = self.size = self.flat = np.zeros(0, np.int64)
-
-    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        """Remember the ids of new stretches; hashes ascend."""
-        got = [x or [self.blank] for x in self.sp.encode(texts, num_threads=1)]
-        size = np.array([len(x) for x in got], np.int64)
-        first = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.int64, int(size.sum()))))
-        at = np.searchsorted(self.known, h)
-        self.known, self.first, self.size = (np.insert(x, at, y) for x, y in ((self.known, h), (self.first, first), (self.size, size)))
-
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of texts that start with a blank, or are empty."""
         n = len(off) - 1
@@ -157,20 +141,14 @@ class PieceSide:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         ends = np.append(starts[1:], len(buf))
-        h, at, which = np.unique(span_hashes(buf, starts, ends, CODES), return_index=True, return_inverse=True)
-        if len(self.known) > _KNOWN:
-            self._forget()
-        place = np.searchsorted(self.known, h)
-        old = np.zeros(len(h), bool)
-        inside = place < len(self.known)
-        old[inside] = self.known[place[inside]] == h[inside]
-        new = np.flatnonzero(~old)
-        if len(new):
-            raw = buf.tobytes()
-            self._learn(h[new], [raw[s + 1 : e].decode("utf-8", "replace") for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            place = np.searchsorted(self.known, h)
-        size = self.size[place][which]
-        ids = self.flat[ranges(self.first[place][which], size)]
+        _, at, which = np.unique(span_hashes(buf, starts, ends, CODES), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        texts = [raw[s + 1 : e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        got = [x or [self.blank] for x in self.sp.encode(texts, num_threads=1)]
+        each = np.array([len(x) for x in got], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.int64, int(each.sum()))
+        size = each[which]
+        ids = flat[ranges((np.cumsum(each) - each)[which], size)]
         row = np.searchsorted(off, starts, "right") - 1
         return ids, np.bincount(row, weights=size, minlength=n).astype(np.int64)
 
