@@ -14,6 +14,7 @@ layouts, with and without article tags, whose words say which block is article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -88,6 +89,7 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, bool]]:
     """(text, words, link density, zone, heading) of each block of a page, in order."""
     out: list[tuple[str, int, float, int, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # open elements with their zones
+    still = Counter()  # how often a tag is open
     zone, strong, heading = 0, False, False
     parts: list[str] = []
     linked, links = 0, 0
@@ -131,20 +133,25 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, bool]]:
         if tag in VOID:
             continue
         if closing:
-            names = [t for t, _, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            while still[tag]:  # what was opened inside ends with it
+                last = stack.pop()[0]
+                still[last] -= 1
+                if last == tag:
+                    break
         else:
             links = 0
-            if tag == "body":  # a head that was not closed ends here
+            if tag == "body" and still["head"]:  # a head that was not closed ends here
                 stack = [x for x in stack if x[0] != "head"]
-                zone, strong = stack[-1][1:] if stack else (0, False)
+                still["head"] = 0
             while stack and stack[-1][0] == "p":  # a paragraph ends where the next block starts
                 stack.pop()
+                still["p"] -= 1
             if tag == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
+                still["li"] -= 1
             zone, strong = stack[-1][1:] if stack else (0, False)
             stack.append((tag, *_zone(tag, attrs, zone, strong)))
+            still[tag] += 1
         zone, strong = stack[-1][1:] if stack else (0, False)
         heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack[-2:])
     flush()

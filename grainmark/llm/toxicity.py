@@ -118,29 +118,31 @@ def character_model(docs: DataFrame, text: str) -> CharacterModel:
 INSIDE, EDGE = 0.3, 1.0
 
 
+@lru_cache(10_000)
+def _readings(c: str, n: int, longer: bool) -> list[tuple[str, float]]:
+    """Of a character that stands ``n`` times in a row, three meaning three or more."""
+    if c.isalpha():
+        return [(c, 0.4), (c + c, 0.6)] if n > 2 else [(c * n, 0.0)]
+    if c in LOOKALIKES:
+        letters = LOOKALIKES[c]
+        price = 0.5 + math.log(len(letters))
+        return [(x, price) for x in letters] + ([(x + x, price) for x in letters] if n > 1 else []) + ([("", 1.0)] if c in "|!" else [("", 8.0)])
+    if c == "*":
+        return [("", 1.0)] + [(chr(k), 1.0) for k in range(97, 123)] + [(" ", EDGE)]
+    if c == " " and longer:
+        return [("", 8.0), (" ", INSIDE)]
+    return [("", INSIDE), (" ", EDGE)]
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each part of a disguised word, its readings and their costs (-log of the channel's chance).
 
     A separator may be a word's edge (a blank); blanks longer than the shortest
     separator of the span most likely are.
     """
-    parts = [(p[0], 1 + len(p[1])) for p in re.findall(r"(.)(\1*)", word.lower(), re.S)]
-    shortest = min((n for c, n in parts if not c.isalpha() and c not in LOOKALIKES), default=0)
-    out = []
-    for c, n in parts:
-        if c.isalpha():
-            out.append([(c, 0.4), (c + c, 0.6)] if n > 2 else [(c * n, 0.0)])
-        elif c in LOOKALIKES:
-            letters = LOOKALIKES[c]
-            price = 0.5 + math.log(len(letters))
-            out.append([(x, price) for x in letters] + ([(x + x, price) for x in letters] if n > 1 else []) + ([("", 1.0)] if c in "|!" else [("", 8.0)]))
-        elif c == "*":
-            out.append([("", 1.0)] + [(chr(k), 1.0) for k in range(97, 123)] + [(" ", EDGE)])
-        elif c == " " and n > shortest:
-            out.append([("", 8.0), (" ", INSIDE)])
-        else:
-            out.append([("", INSIDE), (" ", EDGE)])
-    return out
+    parts = [m[0] for m in re.finditer(r"(.)\1*", word.lower(), re.S)]
+    shortest = min((len(p) for p in parts if not p[0].isalpha() and p[0] not in LOOKALIKES), default=0)
+    return [_readings(p[0], min(len(p), 3), len(p) > shortest) for p in parts]
 
 
 def decode(word: str, model: CharacterModel) -> str:
@@ -149,6 +151,15 @@ def decode(word: str, model: CharacterModel) -> str:
     cost = model.cost
     for readings in lattice(word):
         step: dict = {}
+        letters, price = readings[0]
+        if len(readings) == len(letters) == 1:  # a plain letter, the common case
+            k = symbol(letters)
+            for (a, b), (total, made) in best.items():
+                t = total + price + cost[a][b][k]
+                if (b, k) not in step or t < step[b, k][0]:
+                    step[b, k] = (t, (made, letters))
+            best = step
+            continue
         for (a, b), (total, made) in best.items():
             for letters, price in readings:
                 p, q, t = a, b, total + price
@@ -173,14 +184,58 @@ def decode(word: str, model: CharacterModel) -> str:
 
 _L = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LOOKALIKES) + SEPARATORS) + "]"
-#: Letters one by one; signs inside, at the start or at the end of a word; letters drawn out.
-DISGUISED = re.compile(
-    rf"(?<![\w@$]){_L}(?:[ .\-_*]{{1,2}}{_L}){{3,}}(?![\w@$])"
-    rf"|[$@0-9(|!€]{{0,3}}{_L}+(?:{_SIGN}{{1,3}}{_L}+)+[0-9@$]{{0,3}}(?!\w)"
+#: Letters one by one. The second form is a run that ends inside a word: it fails from all its later letters too, so it is passed over whole.
+APART = re.compile(rf"(?<![\w@$])(?:{_L}(?:[ .\-_*]{{1,2}}+{_L}){{3,}}(?![\w@$])|(?P<miss>{_L}(?:[ .\-_*]{{1,2}}+{_L}){{3,}}+))")
+#: Signs before a word; letters and signs in turn up to a word's end. A chain that fails at
+#: its first letters fails at all later ones, so a search starts it only there.
+_LEAD = r"[$@0-9(|!€]{0,3}"
+_CHAIN = rf"{_L}++(?:{_SIGN}{{1,3}}+{_L}++)+[0-9@$]{{0,3}}(?!\w)"
+#: Signs inside, at the start or at the end of a word; letters drawn out.
+SIGNED = re.compile(
+    rf"{_LEAD}(?<!{_L})(?<!{_L}{_SIGN})(?<!{_L}{_SIGN}{{2}})(?<!{_L}{_SIGN}{{3}}){_CHAIN}"
     rf"|(?<![\w$@(|!€])[$@0-9(|!€]{{1,3}}{_L}{{2,}}[0-9@$]{{0,3}}(?![\w$@])"
     rf"|(?<![\w$@]){_L}+[0-9@$]{{1,3}}(?![\w$@])"
     rf"|(?<!\w)\w*({_L})\1\1\w*(?!\w)"
 )
+#: What is left of a chain whose beginning another span has taken.
+_REST = re.compile(rf"{_SIGN}{{0,3}}?(?P<rest>{_LEAD}(?={_L}))")
+_WHOLE = re.compile(_LEAD + _CHAIN)
+
+
+def _apart(text: str, at: int) -> re.Match | None:
+    m = APART.search(text, at)
+    while m and m["miss"]:
+        m = APART.search(text, m.end())
+    return m
+
+
+def disguised(text: str):
+    """Disguised spans from left to right, none inside another; linear in long words and chains.
+
+    Where several begin at one place, letters one by one come first, then signs inside a word.
+    """
+    at, far = 0, len(text) + 1
+    apart, signed = _apart(text, 0), SIGNED.search(text)
+    while apart or signed:
+        first = apart.start() if apart else far
+        rest = _REST.match(text, at) if at else None
+        begin = rest.start("rest") if rest else far
+        m = None
+        if begin < first and begin <= (signed.start() if signed else far):
+            m = _WHOLE.match(text, begin)
+        if m is None:
+            m = apart if first <= (signed.start() if signed else far) else signed
+        yield m
+        at = m.end()
+        if apart and apart.start() < at:
+            apart = _apart(text, at)
+        if signed and signed.start() < at:
+            signed = SIGNED.search(text, at)
+    rest = _REST.match(text, at) if at else None
+    m = _WHOLE.match(text, rest.start("rest")) if rest else None
+    if m:
+        yield m
+
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b"0123456789@$!|+(" + SEPARATORS.encode())] = True
@@ -198,7 +253,7 @@ _WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:0xF8] = 2, 3, 4
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts in which DISGUISED can match: a sign beside a letter, three equal characters, or lone letters in a row.
+    """Texts in which a span can be disguised: a sign beside a letter, three equal characters, or lone letters in a row.
 
     Each is a necessary part of one way to match, in whole UTF-8 characters.
     """
@@ -237,7 +292,7 @@ class Restorer:
 
     def __call__(self, text: str) -> list[str]:
         out = []
-        for m in DISGUISED.finditer(text):
+        for m in disguised(text):
             # Three of a letter read as more of it do.
             span = re.sub(rf"({_L})\1{{3,}}", r"\1\1\1", m[0])
             out.append((self.short if len(span) <= 64 else self.long)(span))

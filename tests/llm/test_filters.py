@@ -171,7 +171,47 @@ def test_every_text_with_a_disguise_is_suspect():
     raw = [t.encode() for t in texts]
     off = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
     found = set(toxicity.suspects(np.frombuffer(b"".join(raw), np.uint8), off).tolist())
-    assert [t for i, t in enumerate(texts) if toxicity.DISGUISED.search(t) and i not in found] == []
+    assert [t for i, t in enumerate(texts) if any(toxicity.disguised(t)) and i not in found] == []
+
+
+def test_disguised_spans_are_those_of_one_pattern_tried_everywhere():
+    import random
+    import re
+
+    letter, sign = toxicity._L, toxicity._SIGN
+    plain = re.compile(  # from every place, first form first; takes time with the square of a long word
+        rf"(?<![\w@$]){letter}(?:[ .\-_*]{{1,2}}{letter}){{3,}}(?![\w@$])"
+        rf"|[$@0-9(|!€]{{0,3}}{letter}+(?:{sign}{{1,3}}{letter}+)+[0-9@$]{{0,3}}(?!\w)"
+        rf"|(?<![\w$@(|!€])[$@0-9(|!€]{{1,3}}{letter}{{2,}}[0-9@$]{{0,3}}(?![\w$@])"
+        rf"|(?<![\w$@]){letter}+[0-9@$]{{1,3}}(?![\w$@])"
+        rf"|(?<!\w)\w*({letter})\1\1\w*(?!\w)"
+    )
+    r = random.Random(5)
+    for letters in ["ab1. _", "ab1.$_ é", "a1._", "ab .-_*", "aaab$ (1_.", "a. _"] * 8_000:
+        text = "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
+        assert [m.span() for m in toxicity.disguised(text)] == [m.span() for m in plain.finditer(text)], text
+
+
+def test_long_words_take_time_in_proportion(spark):
+    import time
+
+    import numpy as np
+
+    restore = toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "text"))
+    texts = ["x1 " + "abcdefghij" * 100_000, "a1b2" * 250_000 + "_", "a.b.c.d..." * 100_000, "a_ b_ c_ " * 110_000, "x1" + "abcdefghij" * 100_000]
+    for text in texts:
+        start, raw = time.perf_counter(), np.frombuffer(text.encode(), np.uint8)
+        toxicity.all_forms(raw, np.array([0, len(raw)]), restore)
+        assert time.perf_counter() - start < 10
+
+
+def test_nested_pages_take_time_in_proportion():
+    import time
+
+    for page in ["<div>x</p>" * 100_000, "<div><ul><li>x</div>" * 50_000, "<article>" * 110_000 + "x" + "</article>" * 3]:
+        start = time.perf_counter()
+        html_text.blocks(page)
+        assert time.perf_counter() - start < 10
 
 
 def test_toxicity_on_held_out_documents(spark):
