@@ -38,25 +38,24 @@ BOOLEAN_PAIRS = [
     ["t", "f"],
     ["on", "off"],
 ]
-MOST_LEVELS = max(len(s) for s in ORDINAL_SCALES)
 
 
 def _bins(c: Column) -> Column:
     return F.when(c <= LOW, "low").when(c <= MEDIUM, "medium").when(c <= HIGH, "high").otherwise("very_high")
 
 
-def _few_values(df: DataFrame, names: Sequence[str], form) -> dict[str, set[str]]:
-    """The distinct values of each column in a given form; none for columns with over MOST_LEVELS."""
-    out: dict[str, set[str]] = {c: set() for c in names}
-    if not names:
-        return out
-    shaped = df.select(*[form(col(c).cast("string")).alias(c) for c in names])
-    few = [r["column"] for r in values.value_summary(shaped, names).filter(F.col("n_distinct") <= MOST_LEVELS).select("column").collect()]
-    if few:
-        seen = values.value_counts(shaped, few).filter(values.has_value()).select("column", values.value_text(shaped, few).alias("v"))
-        for r in seen.collect():  # at most MOST_LEVELS per column
-            out[r["column"]].add(r["v"])
-    return out
+def _known(df: DataFrame, names: Sequence[str], form, words: set[str]) -> dict[str, set[str]]:
+    """Which of the ``words`` each column holds in a given form; none for columns that hold anything else.
+
+    One pass, at most ``words`` kept per column and task.
+    """
+    held = {}
+    for i, c in enumerate(names):
+        v = form(col(c).cast("string"))
+        known = v.isin(sorted(words))
+        held[f"w{i}"], held[f"o{i}"] = F.collect_set(F.when(known, v)), F.bool_or(~known)
+    got = one_row(df, held) if held else {}
+    return {c: set() if got[f"o{i}"] else set(got[f"w{i}"]) for i, c in enumerate(names)}
 
 
 def encoding_profile(df: DataFrame, target: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -65,8 +64,9 @@ def encoding_profile(df: DataFrame, target: str | None = None, columns: Sequence
     df = nan_to_null(df)
     names = [c for c in (columns or text_columns(df)) if c != target]
     s = values.value_summary(df, names)
-    # Levels are told apart trimmed and lower-cased; a column with more of them than any scale fits none.
-    levels, raw = _few_values(df, names, lambda c: F.lower(F.trim(c))), _few_values(df, names, F.lower)
+    # Levels of a scale are told apart trimmed and lower-cased, the two of a pair lower-cased.
+    levels = _known(df, names, lambda c: F.lower(F.trim(c)), {x for o in ORDINAL_SCALES for x in o})
+    raw = _known(df, names, F.lower, {x for p in BOOLEAN_PAIRS for x in p})
     rows = []
     for c in names:
         fit = next((o for o in ORDINAL_SCALES if len(levels[c]) >= 2 and levels[c] <= set(o)), None)

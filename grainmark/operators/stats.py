@@ -29,11 +29,13 @@ from ..functions.columns import (
     report,
     union_all,
 )
+from ..functions.scratch import materialise
 from ..functions.ship import ship
 from . import clean, impute, outliers, relate
 
 PERCENTS = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 ALPHA = 0.05
+RANKS_SENT = 200_000  # ranks of a column that a broadcast may hold, about 5 MB
 
 
 def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -418,11 +420,18 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Average ranks in place of values; one range exchange and one join per column."""
+    """Average ranks in place of values.
+
+    The distinct values of all columns are ranked in one range exchange. A column's
+    ranks are sent to the tasks when counted below RANKS_SENT; more are joined by a shuffle.
+    """
     out = df.select(*[number(c).alias(c) for c in columns])
+    runs = values.value_runs(values.long_values(out, {c: col(c) for c in columns}), ["column"])
+    runs = materialise(runs.select("column", F.col("value").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias("__r")))
+    sizes = {r["column"]: r["count"] for r in runs.groupBy("column").count().collect()}  # one row per column
     for c in columns:
-        runs = values.value_runs(out.select(F.lit(c).alias("column"), col(c).alias("value")), ["column"])
-        rank = runs.select(F.col("value").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias("__r"))
+        rank = runs.where(F.col("column") == c).select("__v", "__r")
+        rank = F.broadcast(rank) if sizes.get(c, 0) <= RANKS_SENT else rank
         out = out.join(rank, col(c) == F.col("__v")).withColumn(c, F.col("__r")).drop("__v", "__r")
     return out
 
