@@ -30,6 +30,10 @@ def _complete(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame,
 
 # ---- robust covariance ----
 
+# A bounded sample proposes where the core of the data lies; the fit itself takes all rows.
+SAMPLE_GROUPS, GROUP_ROWS = 5, 300
+STARTS, CARRIED = 100, 10
+
 
 def _quadratic(names: Sequence[str], center: np.ndarray, inverse: np.ndarray) -> Column:
     """Squared Mahalanobis distance as one expression of literals (no UDF)."""
@@ -42,59 +46,153 @@ def _quadratic(names: Sequence[str], center: np.ndarray, inverse: np.ndarray) ->
     return total
 
 
-def _moments(rows: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
-    for i, a in enumerate(names):
-        aggs[f"m{i}"] = F.avg(number(a))
-        for j in range(i, len(names)):
-            aggs[f"c{i}_{j}"] = F.covar_pop(number(a), number(names[j]))
-    got = one_row(rows, aggs)
-    p = len(names)
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = got[f"c{i}_{j}"] or 0.0
-    return got["n"], np.array([got[f"m{i}"] or 0.0 for i in range(p)]), cov
+def _inverse(cov: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse that does not depend on the columns' units."""
+    unit = np.sqrt(np.diag(cov))
+    unit[unit == 0] = 1.0
+    return np.linalg.pinv(cov / np.outer(unit, unit), hermitian=True) / np.outer(unit, unit)
+
+
+def _volume(cov: np.ndarray, unit: np.ndarray) -> tuple[int, float]:
+    """Rank and log determinant on that rank, in the given units; the smaller the tighter."""
+    own = np.linalg.eigvalsh(cov / np.outer(unit, unit))
+    own = own[own > 1e-12]
+    return len(own), float(np.log(own).sum())
+
+
+def _squared(x: np.ndarray, center: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    d = x - center
+    return np.einsum("ij,ij->i", d @ inverse, d)
+
 
+def _concentrate(x: np.ndarray, center: np.ndarray, cov: np.ndarray, support: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the closest ``support`` share of a few rows."""
+    h = math.ceil(support * len(x))
+    near = x[np.argpartition(_squared(x, center, _inverse(cov)), h - 1)[:h]]
+    return near.mean(axis=0), np.atleast_2d(np.cov(near.T, bias=True))
 
-def fit_mcd(df: DataFrame, columns: Sequence[str] | None = None, support: float = 0.75, steps: int = 8) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Robust centre and scatter: start at medians and MADs, then repeatedly keep
-    the closest ``support`` share and re-estimate; correct and reweight."""
+
+def _proposals(x: np.ndarray, support: float, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and scatters to carry to all rows: from medians and MADs, and the best of many
+    small draws, each concentrated in its group of the sample and then in the whole sample."""
+    rng = np.random.default_rng(seed)
+    p = x.shape[1]
+    unit = x.std(axis=0)
+    unit[unit == 0] = 1.0
+    middle = np.median(x, axis=0)
+    mad = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), 1e-9 * unit)
+    found = [(middle, np.diag(mad**2))]
+    order = rng.permutation(len(x))
+    groups = np.array_split(order, max(1, min(SAMPLE_GROUPS, len(x) // GROUP_ROWS)))
+    for g in groups:
+        tried = []
+        for _ in range(STARTS // len(groups)):
+            draw = x[rng.permutation(g)]
+            k = p + 1  # a flat draw takes more rows until it has the group's dimensions
+            while k < len(draw) and np.linalg.matrix_rank((draw[:k] - draw[:k].mean(axis=0)) / unit) < p:
+                k = min(len(draw), 2 * k)
+            fit = draw[:k].mean(axis=0), np.atleast_2d(np.cov(draw[:k].T, bias=True))
+            for _ in range(2):
+                fit = _concentrate(x[g], *fit, support)
+            tried.append(fit)
+        found += sorted(tried, key=lambda f: _volume(f[1], unit))[:CARRIED]
+    for _ in range(2):
+        found = [_concentrate(x, *f, support) for f in found]
+    best: list[tuple[np.ndarray, np.ndarray]] = []
+    for f in sorted(found, key=lambda f: _volume(f[1], unit)):  # several draws often end in the same core
+        if not any(np.allclose(f[0] / unit, o[0] / unit, atol=1e-6) for o in best):
+            best.append(f)
+    return best[:CARRIED]
+
+
+def _moments(rows: DataFrame, fits: Sequence[tuple[np.ndarray, np.ndarray]], cuts: Sequence[float], origin: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, centre and scatter of the rows within each fit's cut, for all fits in one scan.
+
+    A task adds up counts, sums and products about ``origin`` and sends one small state.
+    """
+    k, p = len(fits), len(origin)
+    known = [(c - origin, _inverse(s)) for c, s in fits]
+
+    def add(batches):
+        state = np.zeros((k, 1 + p + p * p))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - origin
+            for f, (center, inverse) in enumerate(known):
+                near = x[_squared(x, center, inverse) <= cuts[f] * (1 + 1e-12)]
+                state[f] += np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()])
+        f, at = np.indices(state.shape)
+        yield pd.DataFrame({"f": f.ravel(), "at": at.ravel(), "v": state.ravel()})
+
+    got = rows.mapInPandas(add, "f int, at int, v double").groupBy("f", "at").agg(F.sum("v").alias("v")).collect()
+    state = np.zeros((k, 1 + p + p * p))
+    for r in got:  # fits x (1 + p + p²) numbers
+        state[r["f"], r["at"]] = r["v"]
+    out = []
+    for s in state:
+        n = max(s[0], 1.0)
+        m = s[1 : p + 1] / n
+        out.append((int(s[0]), m + origin, s[p + 1 :].reshape(p, p) / n - np.outer(m, m)))
+    return out
+
+
+def fit_mcd(df: DataFrame, columns: Sequence[str] | None = None, support: float = 0.75, steps: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Robust centre and scatter: those of the ``support`` share of rows with the smallest scatter.
+
+    Many starts compete on a bounded sample; the best are carried to all rows together, each
+    step at two scans of a written table of these columns: one for the distance that encloses
+    the share, one for the moments inside. Then the best goes on, ``steps`` times at most, is
+    corrected to the normal distribution and reweighted. Eleven scans in all by default. A
+    table without a complete row gives zeros.
+    """
     df, names, ok = _complete(df, columns)
-    rows = df.filter(ok).select(*[col(c) for c in names])
-    mm = outliers.medians_and_mads(rows, names)
-    center = np.array([mm[c][0] for c in names])
-    scale = np.array([max(1.4826 * mm[c][1], 1e-9) for c in names])
-    cov = np.diag(scale**2)
-    best = math.inf
-    for _ in range(steps):
-        d2 = _quadratic(names, center, np.linalg.pinv(cov))
-        cut = values.quantiles(rows, {"d": d2}, [support])["d"][0]
-        _, center, cov = _moments(rows.filter(d2 <= F.lit(cut)), names)
-        det = float(np.linalg.det(cov))
-        if det >= best * (1 - 1e-9):
-            break
-        best = det
     p = len(names)
-    d2 = _quadratic(names, center, np.linalg.pinv(cov))
-    cov = cov * (values.quantiles(rows, {"d": d2}, [0.5])["d"][0] / special.chi2_ppf(0.5, p))
-    d2 = _quadratic(names, center, np.linalg.pinv(cov))
-    _, center, cov = _moments(rows.filter(d2 < special.chi2_ppf(0.975, p)), names)
+    ship(df.sparkSession)
+    with scratch.temporary(df.sparkSession):
+        rows = scratch.materialise(df.filter(ok).select(*[number(c).alias(c) for c in names]))
+        n = rows.count()
+        if not n:
+            return names, np.zeros(p), np.zeros((p, p))
+        wanted = SAMPLE_GROUPS * GROUP_ROWS
+        few = rows if n <= wanted else rows.where(F.rand(42) < wanted / n)
+        x = few.toPandas().to_numpy(float)  # about 1500 rows
+        fits = _proposals(x if len(x) else np.zeros((1, p)), support)
+        origin, unit = np.median(x, axis=0) if len(x) else np.zeros(p), x.std(axis=0) if len(x) else np.ones(p)
+        unit[unit == 0] = 1.0
+
+        def cuts(share: float) -> list[float]:
+            found = values.quantiles(rows, {str(i): _quadratic(names, c, _inverse(s)) for i, (c, s) in enumerate(fits)}, [share])
+            return [found[str(i)][0] for i in range(len(fits))]
+
+        best = None
+        for _ in range(1 + steps):
+            stepped = [(c, s) for _, c, s in _moments(rows, fits, cuts(support), origin)]
+            stepped.sort(key=lambda f: _volume(f[1], unit))
+            size = _volume(stepped[0][1], unit)
+            fits = stepped[:1]
+            if best is not None and (size[0], size[1]) >= (best[0], best[1] - 1e-9):
+                break
+            best = size
+        center, cov = fits[0]
+        fits = [(center, cov * (cuts(0.5)[0] / special.chi2_ppf(0.5, p)))]
+        _, center, cov = _moments(rows, fits, [special.chi2_ppf(0.975, p)], origin)[0]
     return names, center, cov
 
 
-def robust_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, flag: str = "is_outlier", score: str = "distance") -> DataFrame:
-    """Robust distance beyond √χ²(0.975, p)."""
-    names, center, cov = fit_mcd(df, columns)
-    d = F.sqrt(F.greatest(_quadratic(names, center, np.linalg.pinv(cov)), F.lit(0.0)))
+def _distance(names: Sequence[str], center: np.ndarray, cov: np.ndarray) -> Column:
+    return F.sqrt(F.greatest(_quadratic(names, center, _inverse(cov)), F.lit(0.0)))
+
+
+def robust_mahalanobis(df: DataFrame, columns: Sequence[str] | None = None, flag: str = "is_outlier", score: str = "distance", fit: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Robust distance beyond √χ²(0.975, p); ``fit`` is what ``fit_mcd`` gave, if it is known."""
+    names, center, cov = fit or fit_mcd(df, columns)
     limit = math.sqrt(special.chi2_ppf(0.975, len(names)))
-    out = nan_to_null(df).withColumn(score, d)
+    out = nan_to_null(df).withColumn(score, _distance(names, center, cov))
     return out.withColumn(flag, F.coalesce(F.col(score) > limit, F.lit(False)))
 
 
-def elliptic_envelope(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = CONTAMINATION) -> DataFrame:
+def elliptic_envelope(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = CONTAMINATION, fit: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """The ``contamination`` share of rows with the largest robust distance."""
-    out = robust_mahalanobis(df, columns).drop("is_outlier")
+    out = robust_mahalanobis(df, columns, fit=fit).drop("is_outlier")
     cut = values.quantiles(out, {"d": F.col("distance")}, [1 - contamination])["d"][0]
     return out.withColumn("is_outlier", F.coalesce(F.col("distance") > F.lit(cut), F.lit(False)))
 
@@ -325,15 +423,16 @@ def ensemble(df: DataFrame, key: str, columns: Sequence[str] | None = None, meth
     names = [c for c in (columns or numeric_columns(df)) if c != key]
     out = df
     flags, scores = [], {}
+    fit = fit_mcd(df, names) if {"mcd", "elliptic_envelope"} & set(methods) else None  # both judge by one fit
     for m in methods:
         if m == "statistical":
             part = outliers.statistical_union(df, names, flag="f", score="s").select(col(key), "f", "s")
         elif m == "isolation_forest":
             part = isolation_forest(df, names).select(col(key), F.col("is_outlier").alias("f"), F.col("score").alias("s"))
         elif m == "mcd":
-            part = robust_mahalanobis(df, names).select(col(key), F.col("is_outlier").alias("f"), F.col("distance").alias("s"))
+            part = robust_mahalanobis(df, names, fit=fit).select(col(key), F.col("is_outlier").alias("f"), F.col("distance").alias("s"))
         elif m == "elliptic_envelope":
-            part = elliptic_envelope(df, names).select(col(key), F.col("is_outlier").alias("f"), F.col("distance").alias("s"))
+            part = elliptic_envelope(df, names, fit=fit).select(col(key), F.col("is_outlier").alias("f"), F.col("distance").alias("s"))
         elif m == "lof":
             part = local_outlier_factor(df, key, names).select(col(key), F.col("is_outlier").alias("f"), F.col("lof").alias("s"))
         elif m == "dbscan":
