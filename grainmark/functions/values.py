@@ -46,6 +46,10 @@ def _cell(f: T.StructField) -> tuple[str, Column]:
     return "s", c.cast("string")
 
 
+def slot(f: T.StructField) -> str:
+    return _cell(f)[0]
+
+
 def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """(column, i, d, s, n): how often every distinct cell value occurs.
 
@@ -94,42 +98,139 @@ def value_text(df: DataFrame, names: Sequence[str] | None = None, prefix: str =
     return out
 
 
-def value_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+LONG_TEXT = 32  # bytes; longer texts are counted by 128-bit digests
+TIES_SENT = 100_000  # digests of 20 bytes that may be sent to all tasks
+
+
+def _long_texts(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Columns whose texts in the first thousand rows are long; decides how, not what, is counted."""
+    loose = [f.name for f in df.schema.fields if f.name in set(names) and _cell(f)[0] == "s"]
+    if not loose:
+        return set()
+    got = df.select(*[F.octet_length(_cell(df.schema[c])[1]).alias(f"x{k}") for k, c in enumerate(loose)]).limit(1000)
+    size = got.agg(*[F.avg(f"x{k}").alias(f"x{k}") for k in range(len(loose))]).first()
+    return {c for k, c in enumerate(loose) if (size[k] or 0) > LONG_TEXT}
+
+
+def typed_counts(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """How often every distinct cell value occurs: (c, v, n) per kind of value, c being the column's number.
+
+    Kinds are "i", "d", "s" as in ``value_counts`` and "t" for long texts, whose rows are
+    (c, h, g, n) with a digest. So there are at most four narrow exchanges, whatever the number
+    of columns, and no long text goes through one. Missing cells are one row with a null.
+    """
+    names = list(names or df.columns)
+    long_ = _long_texts(df, names)
+    cells: dict[str, list[Column]] = {}
+    for k, name in enumerate(names):
+        slot, v = _cell(df.schema[name])
+        if name in long_:
+            h, g = (F.when(v.isNotNull(), x) for x in (F.xxhash64(v), F.xxhash64(F.lit(7), v)))
+            cells.setdefault("t", []).append(F.struct(F.lit(k).alias("c"), h.alias("h"), g.alias("g")))
+        else:
+            cells.setdefault(slot, []).append(F.struct(F.lit(k).alias("c"), v.alias("v")))
+    return {
+        slot: df.select(F.inline(F.array(*rows))).groupBy("c", *(["h", "g"] if slot == "t" else ["v"])).agg(F.count(F.lit(1)).alias("n"))
+        for slot, rows in cells.items()
+    }
+
+
+def written_counts(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """``typed_counts`` written by one job, in which all kinds are counted side by side."""
+    counts = typed_counts(df, names)
+    types = {"i": "long", "d": "double", "s": "string", "h": "long", "g": "long"}
+    parts = []
+    for slot, c in counts.items():
+        held = {"h": F.col("h"), "g": F.col("g")} if slot == "t" else {slot: F.col("v")}
+        parts.append(c.select(F.lit(slot).alias("slot"), "c", *[held.get(x, F.lit(None)).cast(t).alias(x) for x, t in types.items()], "n"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = materialise(every)
+    return {
+        slot: every.where(F.col("slot") == slot).select("c", *(["h", "g"] if slot == "t" else [F.col(slot).alias("v")]), "n") for slot in counts
+    }
+
+
+def _commonest_texts(df: DataFrame, names: Sequence[str], counts: DataFrame) -> DataFrame:
+    """(c, s): the smallest of the commonest texts of each column that was counted by digests."""
+    tops = {r["c"]: r["n"] for r in counts.where("h IS NOT NULL").groupBy("c").agg(F.max("n").alias("n")).collect()}
+    text = lambda c: _cell(df.schema[names[c]])[1]
+    parts = []
+    if single := [c for c, n in tops.items() if n == 1]:  # all texts are as common as each other
+        one = df.agg(*[F.min(text(c)).alias(f"s{c}") for c in single])
+        parts.append(one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"s{c}").alias("s")) for c in single]))))
+    if several := [c for c, n in tops.items() if n > 1]:
+        best = F.coalesce(*[F.when(F.col("c") == c, F.lit(tops[c])) for c in several])
+        tied = materialise(counts.where(F.col("h").isNotNull() & (F.col("n") == best)).select("c", "h", "g"))
+        rows = F.array(*[F.struct(F.lit(c).alias("c"), F.xxhash64(text(c)).alias("h"), F.xxhash64(F.lit(7), text(c)).alias("g"), text(c).alias("s")) for c in several])
+        few = tied.count() <= TIES_SENT
+        found = df.select(F.inline(rows)).where("s IS NOT NULL").join(F.broadcast(tied) if few else tied, ["c", "h", "g"], "left_semi")
+        parts.append(found.groupBy("c").agg(F.min("s").alias("s")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "c int, s string")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def value_summary(df: DataFrame, names: Sequence[str] | None = None, counts: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per column: rows, missing, distinct, most and least frequent, entropy,
     and min, max, mean of the numeric ones.
 
     ``entropy`` is in bits over the non-missing values; ties for the most
-    frequent value go to the smallest.
+    frequent value go to the smallest. ``counts`` are the ``typed_counts`` of the
+    same columns, if they are at hand. Of long texts only the commonest is fetched, by a second pass.
     """
-    ok = has_value()
+    names = list(names or df.columns)
+    counts = counts or typed_counts(df, names)
     n = F.col("n")
-    number_ = F.coalesce(F.col("d"), F.col("i").cast("double"))
-    per = value_counts(df, names).groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(~ok, n)), F.lit(0)).alias("n_missing"),
-        F.count(F.when(ok, 1)).alias("n_distinct"),
-        F.max(F.when(ok, n)).alias("top_n"),
-        F.min(F.when(ok, n)).alias("least_n"),
-        F.max("n").alias("top_n_any"),
-        F.min(F.when(ok, F.struct((-n).alias("neg"), "i", "d", "s"))).alias("top"),
-        F.sum(F.when(ok, n * F.log2(n.cast("double")))).alias("nlogn"),
-        F.sum(F.when(ok, n)).alias("n_present"),
-        F.min(number_).alias("min"),
-        F.max(number_).alias("max"),
-        (F.sum(number_ * n) / F.sum(F.when(number_.isNotNull(), n))).alias("mean"),
-    )
+    parts = []
+    for slot, c in counts.items():
+        if slot == "t":
+            c = each = materialise(c)
+        v = F.col("h" if slot == "t" else "v")
+        ok = v.isNotNull()
+        number_ = v.cast("double") if slot in ("i", "d") else F.lit(None).cast("double")
+        lowest = F.min(v) if slot != "t" else F.lit(None)
+        # first per number of copies, in primitive buffers; there are few such numbers
+        c = c.groupBy("c", ok.alias("ok"), "n").agg(
+            F.count(F.lit(1)).alias("k"), lowest.alias("v"), F.min(number_).alias("min"), F.max(number_).alias("max"), F.sum(number_).alias("sum")
+        )
+        ok, rows = F.col("ok"), n * F.col("k")
+        top = F.min(F.when(ok, F.struct((-n).alias("neg"), "v")))["v"]
+        per = c.groupBy("c").agg(
+            F.sum(rows).alias("n_rows"),
+            F.coalesce(F.sum(F.when(~ok, rows)), F.lit(0)).alias("n_missing"),
+            F.coalesce(F.sum(F.when(ok, F.col("k"))), F.lit(0)).alias("n_distinct"),
+            F.max(F.when(ok, n)).alias("top_n"),
+            F.min(F.when(ok, n)).alias("least_n"),
+            F.max("n").alias("top_n_any"),
+            (top if slot == "i" else F.lit(None)).cast("long").alias("i"),
+            (top if slot == "d" else F.lit(None)).cast("double").alias("d"),
+            (top if slot == "s" else F.lit(None)).cast("string").alias("s"),
+            F.sum(F.when(ok, rows * F.log2(n.cast("double")))).alias("nlogn"),
+            F.sum(F.when(ok, rows)).alias("n_present"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            (F.sum(F.col("sum") * n) / F.sum(F.when(F.col("sum").isNotNull(), rows))).alias("mean"),
+        )
+        if slot == "t":
+            per = per.drop("s").join(F.broadcast(_commonest_texts(df, names, each)), "c", "left")  # one row per column
+        parts.append(per)
+    per = parts[0]
+    for p in parts[1:]:
+        per = per.unionByName(p)
     present = F.col("n_present").cast("double")
     return per.select(
-        "column",
+        F.get(F.array(*[F.lit(x) for x in names]), F.col("c")).alias("column"),
         "n_rows",
         "n_missing",
         "n_distinct",
         "top_n",
         "least_n",
         "top_n_any",
-        F.col("top.i").alias("i"),
-        F.col("top.d").alias("d"),
-        F.col("top.s").alias("s"),
+        "i",
+        "d",
+        "s",
         F.when(present > 0, F.log2(present) - F.col("nlogn") / present).alias("entropy"),
         "min",
         "max",
@@ -137,6 +238,28 @@ def value_summary(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
     )
 
 
+def count_quantiles(counts: DataFrame, probs: Sequence[float], small_rows: int = EXACT_ROWS) -> DataFrame:
+    """(c, n, q): exact linear-interpolated quantiles per column from written (c, v, n) rows.
+
+    Up to ``small_rows`` distinct values a column is sorted in one task; beyond, values are
+    range-partitioned.
+    """
+    cells = counts.where(F.col("v").isNotNull()).select("c", F.col("v").cast("double").alias("value"), "n")
+    if cells.count() <= small_rows:
+        w = Window.partitionBy("c").orderBy("value")
+        upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        runs = cells.select("c", "value", "n", (upto - F.col("n")).alias("below"), total.alias("total"))
+    else:
+        runs = value_runs(cells, ["c"])
+    at = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    holds = lambda k: (F.col("below") <= k) & (F.col("below") + F.col("n") > k)
+    ends = [F.max(F.when(holds(f(at(p))), F.col("value"))).alias(f"{e}{j}") for j, p in enumerate(probs) for e, f in (("a", F.floor), ("b", F.ceil))]
+    per = runs.groupBy("c").agg(F.max("total").alias("total"), *ends)
+    q = [F.col(f"a{j}") + (F.col(f"b{j}") - F.col(f"a{j}")) * (at(p) - F.floor(at(p))) for j, p in enumerate(probs)]
+    return per.select("c", F.col("total").alias("n"), F.array(*q).alias("q"))
+
+
 def value_runs(pairs: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Distinct values per key with their exact rank range.
 

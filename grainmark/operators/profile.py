@@ -71,10 +71,13 @@ def list_duplicates(df: DataFrame) -> DataFrame:
 def basic_stats(df: DataFrame) -> DataFrame:
     """Per column: distinct, present, range and mean, or the commonest text.
 
-    One scan and one exchange: every figure is read off the value counts.
+    Every figure is read off the value counts.
     """
     df = nan_to_null(df)
-    s = values.value_summary(df)
+    return _stats(df, values.value_summary(df))
+
+
+def _stats(df: DataFrame, s: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for c, k in kinds(df).items() for x in (c, k)])
     is_num = F.col("kind") == "numeric"
     empty = F.col("n_distinct") == 0
@@ -245,20 +248,52 @@ def correlation_heatmap(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def full_report(df: DataFrame, k: float = 1.5) -> DataFrame:
-    """Shape, missing, duplicates, statistics and outliers as (section, column, metric, value)."""
+    """Shape, missing, duplicates, statistics and outliers as (section, column, metric, value).
+
+    Value counts are written once; statistics, quartiles and outliers are read off them.
+    """
 
     def long(part: DataFrame, section: str, names: Sequence[str], keyed: bool = True) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
         key = F.col("column") if keyed else F.lit(None).cast("string").alias("column")
         return part.select(F.lit(section).alias("section"), key, F.inline(rows)).filter("value is not null")
 
-    stats = basic_stats(df)
+    df = nan_to_null(df)
+    counts = values.written_counts(df)
+    summary = values.value_summary(df, counts=counts)
+    stats = _stats(df, summary)
     return union_all(
         [
             long(shape(df), "shape", ["n_rows", "n_columns"], keyed=False),
-            long(missing_values(df), "missing", ["n_missing"]),
+            long(_missing(df, summary), "missing", ["n_missing"]),
             long(duplicate_rows(df), "duplicates", ["n_duplicates"], keyed=False),
             long(stats, "stats", ["n_distinct", "n_present", "min", "max", "mean"]),
-            long(iqr_outlier_report(df, k), "outliers", ["n_outliers", "lower", "upper"]),
+            long(_outlying(df, counts, k), "outliers", ["n_outliers", "lower", "upper"]),
         ]
     )
+
+
+def _missing(df: DataFrame, summary: DataFrame) -> DataFrame:
+    """``missing_values`` from a summary; an empty table has no counts, so its columns are named."""
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    return every.join(F.broadcast(summary.select("column", "n_missing")), "column", "left").fillna(0)
+
+
+def _outlying(df: DataFrame, counts: dict[str, DataFrame], k: float) -> DataFrame:
+    """``iqr_outlier_report`` from written value counts; numbers counted as text (wide decimals) take the rows."""
+    place = {c: i for i, c in enumerate(df.columns)}
+    numeric = numeric_columns(df)
+    rest = [c for c in numeric if values.slot(df.schema[c]) not in ("i", "d")]
+    names = F.get(F.array(*[F.lit(c) for c in df.columns]), F.col("c"))
+    wanted = [place[c] for c in numeric if c not in rest]
+    parts = [iqr_outlier_report(df.select(*[col(c) for c in rest]), k)] if rest else []
+    kept = [counts[slot].select("c", F.col("v").cast("double").alias("v"), "n") for slot in ("i", "d") if slot in counts]
+    if kept and wanted:
+        cells = union_all(kept).where(F.col("c").isin(wanted))
+        lo, hi = F.col("q")[0], F.col("q")[1]
+        lim = values.count_quantiles(cells, [0.25, 0.75]).select("c", (lo - k * (hi - lo)).alias("lower"), (hi + k * (hi - lo)).alias("upper"))
+        far = cells.join(F.broadcast(lim), "c").where((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))  # one row per column
+        parts.append(far.groupBy(names.alias("column"), "lower", "upper").agg(F.sum("n").alias("n_outliers")).select("column", "n_outliers", "lower", "upper"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, n_outliers long, lower double, upper double")
+    return union_all(parts)
