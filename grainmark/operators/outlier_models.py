@@ -141,8 +141,9 @@ def fit_mcd(df: DataFrame, columns: Sequence[str] | None = None, support: float
     Many starts compete on a bounded sample; the best are carried to all rows together, each
     step at two scans of a written table of these columns: one for the distance that encloses
     the share, one for the moments inside. Then the best goes on, ``steps`` times at most, is
-    corrected to the normal distribution and reweighted. Eleven scans in all by default. A
-    table without a complete row gives zeros.
+    corrected to the normal distribution and reweighted. Twelve scans in all by default; beyond
+    five million rows an exact distance takes three scans instead of one, so 22. A table without
+    a complete row gives zeros.
     """
     df, names, ok = _complete(df, columns)
     p = len(names)
