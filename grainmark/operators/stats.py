@@ -455,23 +455,25 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """Exact τ-b of one pair, with its asymptotic p-value.
 
-    Equal pairs are pre-counted. In (a, b) order the discordant pairs are the
-    inversions of b's ranks; two ranks first differ at one bit, so each bit
-    level counts ones standing before zeros under the same higher bits. Every
+    Equal pairs are counted once and written; all else reads the counts. In (a, b) order
+    the discordant pairs are the inversions of b's ranks, where b is the column with fewer
+    values; two ranks first differ at one bit, so each bit level counts ones standing before zeros under the same higher bits. Every
     level is cut into blocks of positions with carried totals, so no prefix has
     to fit into one task.
     """
     df = nan_to_null(df)
     both = df.select(number(a).alias("x"), number(b).alias("y")).filter("x is not null and y is not null")
-    cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranks = values.value_runs(both.select(F.lit("y").alias("column"), F.col("y").alias("value")), ["column"])
-    code = ranks.select(F.col("value").alias("y"), F.col("below").alias("code"))
-    placed = values.with_position(cells.join(code, "y"), ["x", "y"], "pos")
-    tied = lambda c: both.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(
+    cells = materialise(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    runs = {c: materialise(cells.groupBy(c).agg(F.sum("w").alias("t"))) for c in ("x", "y")}
+    few, other = sorted(runs, key=lambda c: runs[c].count())
+    code = values.with_position(runs[few].select(few), [few], "code")
+    placed = values.with_position(cells.join(code, few), [other, few], "pos")
+    tied = lambda c: runs[c].agg(
         F.sum(F.col("t").cast("double") * (F.col("t") - 1)).alias("p"),
         F.sum(F.col("t").cast("double") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("v"),
         F.sum(F.col("t").cast("double") * (F.col("t") - 1) * (F.col("t") - 2)).alias("q"),
         F.sum("t").alias("n"),
+        F.count(F.lit(1)).alias("values"),
     ).first()
     tx, ty = tied("x"), tied("y")
     txy = cells.agg(F.sum(F.col("w").cast("double") * (F.col("w") - 1))).first()[0] or 0.0
@@ -479,7 +481,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     schema = "col_a string, col_b string, tau double, n long, p_value double"
     if n < 2:
         return df.sparkSession.createDataFrame([], schema)
-    bits = max(1, int(n - 1).bit_length())
+    bits = max(1, int(min(tx["values"], ty["values"]) - 1).bit_length())
     levels = F.sequence(F.lit(0), F.lit(bits - 1))
     long = placed.select("pos", "w", "code", F.explode(levels).alias("b"))
     long = long.select(
