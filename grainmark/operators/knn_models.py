@@ -51,10 +51,14 @@ class KNeighborsModel(Model, _Columns):
         return self._set(featuresCol=other.getFeaturesCol(), labelCol=other.getLabelCol(), predictionCol=other.getPredictionCol())
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """``dataset`` with prediction, for classes also probability (the shares of the votes)."""
-        asked = scratch.materialise(dataset.withColumn("__lid", F.monotonically_increasing_id()))
-        ask = asked.select(F.col("__lid").alias("lid"), vector_to_array(col(self.getFeaturesCol())).alias("v"), F.lit(-1).alias("target"))
-        nn = nearest(ask.where("v is not null"), self.rows.select("rid", "v"), self.k)
+        """``dataset`` with prediction, for classes also probability (the shares of the votes).
+
+        Rows with equal features are searched and voted on once.
+        """
+        asked = scratch.materialise(dataset.withColumn("__v", vector_to_array(col(self.getFeaturesCol()))))
+        once = asked.where("__v is not null").select(F.col("__v").alias("v")).distinct()
+        once = scratch.materialise(once.withColumn("lid", F.monotonically_increasing_id()))
+        nn = nearest(once.select("lid", "v", F.lit(-1).alias("target")), self.rows.select("rid", "v"), self.k)
         near = nn.select("lid", "rid", "dist").join(self.rows.select("rid", "y"), "rid")
         if self.weights == "distance":
             # At most k rows of a row: those at distance 0 alone, if there are any.
@@ -81,6 +85,7 @@ class KNeighborsModel(Model, _Columns):
             got = got.select("__l", first.alias("__p"), array_to_vector(F.col("__share")).alias("__s"))
         else:
             got = got.select("__l", (votes / total).alias("__p"))
-        out = asked.join(got, F.col("__lid") == F.col("__l"), "left")
+        got = once.join(got, F.col("lid") == F.col("__l")).drop("lid", "__l").withColumnRenamed("v", "__w")
+        out = asked.join(got, F.col("__v") == F.col("__w"), "left")
         made = {self.getPredictionCol(): F.col("__p")} | ({"probability": F.col("__s")} if self.classes else {})
-        return out.withColumns(made).drop("__lid", "__l", "__p", "__s")
+        return out.withColumns(made).drop("__v", "__w", "__p", "__s")
