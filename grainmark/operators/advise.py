@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,16 +45,34 @@ def _facts(df: DataFrame) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in rows}  # one row per column
 
 
-def ml_readiness(df: DataFrame, k: float = 1.5) -> DataFrame:
-    """(check, status, points, max_points, measured): six checks worth 100 points."""
+@dataclass
+class Measured:
+    """What several kinds of advice rest on: facts of each column, columns with outliers, duplicate rows."""
+
+    facts: dict[str, dict]
+    n_out: int
+    n_duplicates: int
+
+
+def measured(df: DataFrame, k: float = 1.5) -> Measured:
+    """Value counts are written once; facts and fences are read off them."""
+    df = nan_to_null(df)
+    counts = values.written_counts(df)
+    rows = values.value_summary(df, counts=counts).select("column", "n_rows", "n_missing", "n_distinct").collect()  # one row per column
+    n_out = profile._outlying(df, counts, k).count() if numeric_columns(df) else 0
+    return Measured({r["column"]: r.asDict() for r in rows}, n_out, profile.duplicate_rows(df).first()[0])
+
+
+def ml_readiness(df: DataFrame, k: float = 1.5, known: Measured | None = None) -> DataFrame:
+    """(check, status, points, max_points, measured): six checks worth 100 points. ``known`` is ``measured(df, k)``, if at hand."""
     df = nan_to_null(df)
     spark = df.sparkSession
-    facts = _facts(df)
+    known = known or measured(df, k)
+    facts, n_out = known.facts, known.n_out
     n = next(iter(facts.values()))["n_rows"] if facts else 0
     num, text = numeric_columns(df), text_columns(df)
     missing = 100 * sum(f["n_missing"] for f in facts.values()) / max(n * len(df.columns), 1)
-    n_out = profile.iqr_outlier_report(df, k).count() if num else 0
-    dup = 100 * profile.duplicate_rows(df).first()[0] / max(n, 1)
+    dup = 100 * known.n_duplicates / max(n, 1)
     useless = sum(
         1 for c, f in facts.items() if f["n_distinct"] <= 1 or (f["n_distinct"] == n and c not in num)
     )
@@ -332,6 +351,16 @@ def under_sample(df: DataFrame, target: str, key: Sequence[str], seed: int = 42)
 # ---- findings ----
 
 
+def _is_id(column: str, f: dict) -> bool:
+    """``id_columns`` from a column's facts."""
+    return _has(column, ID_HINTS) and (f["n_distinct"] + (f["n_missing"] > 0)) / f["n_rows"] >= 0.98
+
+
+def _is_wide(f: dict) -> bool:
+    """``high_cardinality_text`` from a column's facts."""
+    return f["n_distinct"] / f["n_rows"] >= 0.4 and f["n_distinct"] > 30
+
+
 def id_columns(df: DataFrame) -> DataFrame:
     """Columns that are at least 98 % unique and named like an identifier."""
     s = values.value_summary(nan_to_null(df))
@@ -359,17 +388,16 @@ def leakage_hints(df: DataFrame) -> DataFrame:
 def analyst_report(df: DataFrame, risk_profile: str = "balanced") -> DataFrame:
     """Ranked findings: (rank, severity, finding, confidence, measured, action)."""
     df = nan_to_null(df)
-    facts = _facts(df)
+    known = measured(df)
+    facts, dups, n_out = known.facts, known.n_duplicates, known.n_out
     n = next(iter(facts.values()))["n_rows"] if facts else 0
     p = len(df.columns)
     gaps = sum(f["n_missing"] for f in facts.values())
-    dups = profile.duplicate_rows(df).first()[0]
-    n_out = profile.iqr_outlier_report(df).count() if numeric_columns(df) else 0
     pii = privacy.privacy_report(df).first()
-    ids = [r[0] for r in id_columns(df).collect()]
-    texts = [r[0] for r in high_cardinality_text(df).collect()]
-    leaks = leakage_hints(df).count()
-    score = readiness_grade(ml_readiness(df)).first()["score"]
+    ids = [c for c, f in facts.items() if _is_id(c, f)]
+    texts = [c for c in text_columns(df) if c in facts and _is_wide(facts[c])]
+    leaks = len(ids) + sum(_has(c, LEAK_HINTS) for c in df.columns)
+    score = readiness_grade(ml_readiness(df, known=known)).first()["score"]
     rels = relate.detect_relationships(df, 0.5).count()
     out: list[tuple] = []
 
