@@ -31,9 +31,12 @@ class Detector:
     scores: dict[str, Column]
 
 
-def fit_iqr(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> Detector:
+def fit_iqr(
+    df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5, fences: dict[str, tuple[float, float, float]] | None = None
+) -> Detector:
+    """``fences`` are ``profile.fences`` of the same columns, if at hand."""
     flags, scores = {}, {}
-    for c, (lo, hi, iqr) in profile.fences(df, columns, k).items():
+    for c, (lo, hi, iqr) in (profile.fences(df, columns, k) if fences is None else fences).items():
         x = number(c)
         flags[c] = F.coalesce((x < lo) | (x > hi), F.lit(False))
         over = (x - hi) / (iqr + TINY)
@@ -58,18 +61,21 @@ def fit_zscore(df: DataFrame, columns: Sequence[str] | None = None, threshold: f
     return Detector("zscore", flags, scores)
 
 
-def medians_and_mads(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+def medians_and_mads(df: DataFrame, names: Sequence[str], med: dict[str, float | None] | None = None) -> dict[str, tuple[float, float]]:
     df = nan_to_null(df)
-    med = {c: q[0] for c, q in values.quantiles(df, {c: number(c) for c in names}, [0.5]).items()}
+    if med is None:
+        med = {c: q[0] for c, q in values.quantiles(df, {c: number(c) for c in names}, [0.5]).items()}
     have = [c for c in names if med[c] is not None]
     mad = values.quantiles(df, {c: F.abs(number(c) - F.lit(med[c])) for c in have}, [0.5])
     return {c: (med[c], mad[c][0]) for c in have}
 
 
-def fit_modified_zscore(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 3.5) -> Detector:
+def fit_modified_zscore(
+    df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 3.5, medians: dict[str, float | None] | None = None
+) -> Detector:
     df = nan_to_null(df)
     names = list(columns or numeric_columns(df))
-    mm = medians_and_mads(df, names)
+    mm = medians_and_mads(df, names, medians)
     flat = [c for c, (_, mad) in mm.items() if mad < TINY]
     mean = one_row(df, {c: F.avg(number(c)) for c in flat}) if flat else {}
     flags, scores = {}, {}
@@ -309,9 +315,12 @@ def agreement(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def outlier_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(method, column, n_outliers, rate) of the three statistical detectors, one pass."""
+    """(method, column, n_outliers, rate) of the three statistical detectors, one pass; quartiles and medians are found together."""
     df = nan_to_null(df)
-    dets = [fit_iqr(df, columns), fit_zscore(df, columns), fit_modified_zscore(df, columns)]
+    names = list(columns or numeric_columns(df))
+    q = values.quantiles(df, {c: number(c) for c in names}, [0.25, 0.5, 0.75])
+    lim = {c: (lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo), hi - lo) for c, (lo, _, hi) in q.items() if lo is not None}
+    dets = [fit_iqr(df, names, fences=lim), fit_zscore(df, names), fit_modified_zscore(df, names, medians={c: v[1] for c, v in q.items()})]
     keys = [(d.method, c) for d in dets for c in d.flags]
     aggs = [count_if(d.flags[c]) for d in dets for c in d.flags]
     one = df.agg(F.count(F.lit(1)).alias("n"), *[a.alias(f"a{i}") for i, a in enumerate(aggs)])
