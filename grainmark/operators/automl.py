@@ -116,7 +116,7 @@ def prepare(df: DataFrame, target: str, columns: Sequence[str] | None = None, ke
         labels = list(model.stages[-1].labels)
     else:
         out = out.withColumn(Y, F.col("__t").cast("double"))
-    return Prepared(out.select(*[col(k) for k in keep], X, Y), task, names, labels, model)
+    return Prepared(scratch.materialise(out.select(*[col(k) for k in keep], X, Y)), task, names, labels, model)
 
 
 # ---- metrics ----
