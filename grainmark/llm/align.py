@@ -88,7 +88,7 @@ class ByteSide:
     """Ids of A and the bytes they stand for; texts come with their leading blank."""
 
     def __init__(self, path: str):
-        self.tok = PartTokenizer(path)
+        self.tok = PartTokenizer(path, remembered=0)  # slices are large here
         letters = _byte_letters()
         vocab = self.tok.tok.get_vocab()
         pieces = [b""] * (max(vocab.values()) + 1)

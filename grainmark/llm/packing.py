@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions.scratch import materialise
 from ..functions.ship import ship
 from .textbytes import ranges, tidy
-from .tokens import PartTokenizer, encode_column
+from .tokens import encode_column, part_tokenizer
 
 _TYPES = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.ShortType: pa.int16(), T.BinaryType: pa.binary()}
 
@@ -55,7 +55,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, key: str, text: str, e
     ship(docs.sparkSession)
 
     def run(batches):
-        tok = PartTokenizer(vocabulary)
+        tok = part_tokenizer(vocabulary)
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
             column = b.column(1)

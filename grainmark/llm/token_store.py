@@ -32,7 +32,7 @@ from ..functions.scratch import materialise, root
 from ..functions.ship import ship
 from .packing import binary_array, key_type
 from .textbytes import mix, tidy
-from .tokens import PartTokenizer, encode_column
+from .tokens import encode_column, part_tokenizer
 
 _U = np.uint64
 _TRAILER = np.dtype([("magic", "<u8"), ("n_records", "<u8"), ("n_ids", "<u8")])
@@ -177,14 +177,14 @@ def write(
     spark = docs.sparkSession
     kind = key_type(docs, key)
     ship(spark)
-    wide = PartTokenizer(vocabulary).tok.get_vocab_size() > 65536 or end_id > 0xFFFF
+    wide = part_tokenizer(vocabulary).tok.get_vocab_size() > 65536 or end_id > 0xFFFF
     width = "<u4" if wide else "<u2"
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
 
     def run(batches):
-        tok = PartTokenizer(vocabulary)
+        tok = part_tokenizer(vocabulary)
         shard, lengths, done = TaskContext.get().partitionId(), [], []
 
         def fill(out):

@@ -5,13 +5,15 @@ vocabularies: at a single blank or line feed between two characters that are not
 white space, and between an ASCII letter and ASCII punctuation other than an
 apostrophe. So a text's ids are the ids of its parts, one after the other. Parts
 repeat: the distinct ones of a slice are found by a 64-bit hash, encoded together
-by the library, and their ids are gathered back for every occurrence. Parts with
-other white space are encoded alone. Special-token strings in a text are
-ordinary text. Null texts are empty.
+by the library, and their ids are gathered back for every occurrence. Parts of
+earlier slices are remembered, as many as ``REMEMBERED`` says; one worker's tasks share
+a tokenizer and what it remembers. Parts with other white space are encoded alone.
+Special-token strings in a text are ordinary text. Null texts are empty.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -19,7 +21,8 @@ import pyarrow as pa
 
 from .textbytes import CODES, CODES_LOWER, SOLID, ranges, span_hashes, text_slices
 
-TOKEN_SLICE = 5 << 20
+TOKEN_SLICE = 2 << 20
+REMEMBERED = 400_000  # parts, and four times as many ids: about 13 MB
 _MARK = b" \x01 "
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -36,9 +39,9 @@ _GAP[0x1C:0x20] = True
 
 
 class PartTokenizer:
-    """Encode slices of texts to unsigned 32-bit ids."""
+    """Encode slices of texts to unsigned 32-bit ids; ``remembered`` parts are kept from slice to slice."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,6 +64,33 @@ class PartTokenizer:
         self.codes = CODES_LOWER if same else CODES
         ids = self.tok.encode("a\na" if self.blanks else "a \x01 a", add_special_tokens=False).ids
         self.mark = ids[1] if len(ids) == 3 else None
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """The remembered parts: ascending hashes, and where the ids of each begin and end."""
+        self.known, self.begin, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int32), np.zeros(0, np.uint32)
+
+    def _recall(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the remembered parts, whether it is one of them) of ascending hashes."""
+        at = np.searchsorted(self.known, h)
+        hit = np.zeros(len(h), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == h[inside]
+        return at, hit
+
+    def _remember(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Take in parts that are not remembered yet (ascending hashes, ids in their order)."""
+        if len(self.known) + len(h) > self.remembered or len(self.ids) + len(ids) > 4 * self.remembered:
+            self._forget()
+        if len(h) > self.remembered or len(ids) > 4 * self.remembered:
+            return
+        both = np.concatenate((self.known, h))
+        order = np.argsort(both, kind="stable")
+        n = np.concatenate((np.diff(self.begin), count))[order]
+        starts = np.concatenate((self.begin[:-1], len(self.ids) + np.cumsum(count) - count))[order]
+        self.ids = np.concatenate((self.ids, ids))[ranges(starts, n)]
+        self.known, self.begin = both[order], np.concatenate(([0], np.cumsum(n))).astype(np.int32)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,24 +139,45 @@ class PartTokenizer:
         points = np.flatnonzero(_POINT[buf])
         points = points[_LETTER[pad[points + 2]] & ~edge[points]]
         filled = off[:-1] < off[1:]
-        starts = np.concatenate((off[:-1][filled], cuts + 1, points, lines, lines + 1))
-        led = np.zeros(len(starts), bool)
-        led[int(filled.sum()) : int(filled.sum()) + len(cuts)] = True
-        order = np.argsort(starts, kind="stable")
-        starts, led = starts[order], led[order]
+        # No two of these are one place.
+        begins = np.zeros(n + 1, bool)
+        for at in (off[:-1][filled], cuts + 1, points, lines, lines + 1):
+            begins[at] = True
+        starts = np.flatnonzero(begins)
+        begins[:] = False
+        begins[cuts + 1] = True
+        led = begins[starts]
         ends = np.append(starts[1:] - led[1:], n)
         row = np.searchsorted(off, starts, "right") - 1
         h = span_hashes(buf, starts, ends, self.codes)
         if self.blanks:
             h = np.where(led, h, ~h)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        us, ue, ul = starts[at], ends[at], led[at]
+        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
+        place, hit = self._recall(distinct)
+        at = at[~hit]
+        ids, length = self._encode_parts(buf, gap, starts[at], ends[at], led[at])
+        # The parts' ids: those remembered, then the new ones.
+        where = np.empty(len(distinct), np.int64)
+        count = np.empty(len(distinct), np.int64)
+        where[hit], count[hit] = self.begin[place[hit]], np.diff(self.begin)[place[hit]]
+        where[~hit], count[~hit] = len(self.ids) + np.cumsum(length) - length, length
+        per = count[which]
+        tokens = np.concatenate((self.ids, ids))[ranges(where[which], per)]
+        total = np.bincount(row, weights=per, minlength=rows).astype(np.int64)
+        if self.remembered:
+            self._remember(distinct[~hit], ids, length)
+        return tokens, np.concatenate(([0], np.cumsum(total)))
+
+    def _encode_parts(self, buf: np.ndarray, gap: np.ndarray, us: np.ndarray, ue: np.ndarray, ul: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts from ``us`` to ``ue`` (``ul``: a blank goes before), in their order, and how many each has."""
+        if not len(us):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not self.blanks:  # parts that are one word of Latin letters, hence one pre-token
             word = _LETTER[buf] | (buf == 0xC3)
             word[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
-            other = np.concatenate(([0], np.cumsum(~word)))
+            other = np.concatenate(([0], np.cumsum(~word, dtype=np.int32)))
             ul = (other[ue] == other[us]) & (ue > us)
-        held = np.concatenate(([0], np.cumsum(gap | (buf == 1))))
+        held = np.concatenate(([0], np.cumsum(gap | (buf == 1), dtype=np.int32)))
         alone = held[ue] > held[us]
         if self.mark is None:
             alone |= ~ul
@@ -170,14 +221,22 @@ class PartTokenizer:
             order.append(np.asarray(single, np.int64))
         ids = np.concatenate(out_ids)
         length, order = np.concatenate(out_n), np.concatenate(order)
-        where = np.empty(len(order), np.int64)
+        first = np.empty(len(order), np.int64)
         count = np.empty(len(order), np.int64)
-        where[order] = np.cumsum(length) - length
+        first[order] = np.cumsum(length) - length
         count[order] = length
-        per = count[which]
-        tokens = ids[ranges(where[which], per)]
-        total = np.bincount(row, weights=per, minlength=rows).astype(np.int64)
-        return tokens, np.concatenate(([0], np.cumsum(total)))
+        return ids[ranges(first, count)], count
+
+
+@functools.lru_cache(maxsize=2)
+def _loaded(path: str, changed: int, size: int) -> PartTokenizer:
+    return PartTokenizer(path)
+
+
+def part_tokenizer(path: str) -> PartTokenizer:
+    """The worker's tokenizer of a vocabulary file, loaded once for all its tasks."""
+    file = os.stat(path)
+    return _loaded(path, file.st_mtime_ns, file.st_size)
 
 
 def encode_column(tok: PartTokenizer, column: pa.Array, end_id: int | None):
