@@ -16,6 +16,7 @@ driver.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.ship import ship
 from .names import free
-from .textbytes import text_slices, tidy
+from .textbytes import hand_back, text_slices, tidy
 
 BINS = 4096
 _ROWS = 256
@@ -110,10 +111,12 @@ def _row_slices(column):
             yield lo + a, lo + z, buf[off[a] : off[z]], off[a : z + 1] - off[a]
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 1) -> np.ndarray:
+def linear_machine(x: Sequence[np.ndarray], y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 1) -> np.ndarray:
     """Weights and bias (last) of a squared-hinge support vector machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    square = (x * x).sum(axis=1) + 0.5 / cost
+    rows, x = x, np.ones((len(x), len(x[0]) + 1))
+    for i, row in enumerate(rows):  # one matrix, and no other copy of it
+        x[i, :-1] = row
+    square = np.concatenate([(x[i : i + _ROWS] ** 2).sum(axis=1) for i in range(0, len(x), _ROWS)]) + 0.5 / cost
     alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -220,8 +223,8 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", per_langu
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y"])  # whatever order the shuffle gave
-        x = np.stack([np.frombuffer(v, np.float32) for v in pdf["x"]])
-        w = linear_machine(x, pdf["y"].to_numpy().astype(float))
+        w = linear_machine([np.frombuffer(v, np.float32) for v in pdf["x"]], pdf["y"].to_numpy().astype(float))
+        hand_back()
         return pd.DataFrame({"machine": [pdf["machine"].iloc[0]], "w": [w.astype(np.float32).tobytes()]})
 
     fitted = sample.mapInArrow(tidy(run), "machine string, y int, x binary").groupBy("machine").applyInPandas(fit, "machine string, w binary")

@@ -85,7 +85,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, key: str, text: str, e
             T.StructField("wide", T.BooleanType()),
         ]
     )
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run, keep=True), schema)
 
 
 def partition_bases(table: DataFrame, part: str, amount: str) -> dict[int, int]:

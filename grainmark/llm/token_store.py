@@ -32,7 +32,7 @@ from ..functions.scratch import materialise, root
 from ..functions.ship import ship
 from .packing import binary_array, key_type
 from .textbytes import mix, tidy
-from .tokens import encode_column, part_tokenizer
+from .tokens import PartTokenizer, encode_column, part_tokenizer
 
 _U = np.uint64
 _TRAILER = np.dtype([("magic", "<u8"), ("n_records", "<u8"), ("n_ids", "<u8")])
@@ -177,7 +177,7 @@ def write(
     spark = docs.sparkSession
     kind = key_type(docs, key)
     ship(spark)
-    wide = part_tokenizer(vocabulary).tok.get_vocab_size() > 65536 or end_id > 0xFFFF
+    wide = PartTokenizer(vocabulary).tok.get_vocab_size() > 65536 or end_id > 0xFFFF
     width = "<u4" if wide else "<u2"
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -222,7 +222,7 @@ def write(
         [T.StructField("key", kind), T.StructField("shard", T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in ("record", "before", "n_ids")]
     )
-    placed = materialise(rows.mapInArrow(tidy(run), schema))
+    placed = materialise(rows.mapInArrow(tidy(run, keep=True), schema))
     totals = sorted(placed.groupBy("shard").agg(F.count("*"), F.sum("n_ids")).collect())
     base, records, ids = {}, 0, 0
     for s, n, m in totals:  # one row per shard file

@@ -7,19 +7,18 @@ apostrophe. So a text's ids are the ids of its parts, one after the other. Parts
 repeat: the distinct ones of a slice are found by a 64-bit hash, encoded together
 by the library, and their ids are gathered back for every occurrence. Parts of
 earlier slices are remembered, as many as ``REMEMBERED`` says; one worker's tasks share
-a tokenizer and what it remembers. Parts with other white space are encoded alone.
+a tokenizer and what it remembers, until tasks of another kind follow. Parts with other white space are encoded alone.
 Special-token strings in a text are ordinary text. Null texts are empty.
 """
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import CODES, CODES_LOWER, SOLID, ranges, span_hashes, text_slices
+from .textbytes import CODES, CODES_LOWER, SOLID, kept, ranges, span_hashes, text_slices
 
 TOKEN_SLICE = 2 << 20
 REMEMBERED = 400_000  # parts, and four times as many ids: about 13 MB
@@ -228,15 +227,10 @@ class PartTokenizer:
         return ids[ranges(first, count)], count
 
 
-@functools.lru_cache(maxsize=2)
-def _loaded(path: str, changed: int, size: int) -> PartTokenizer:
-    return PartTokenizer(path)
-
-
 def part_tokenizer(path: str) -> PartTokenizer:
-    """The worker's tokenizer of a vocabulary file, loaded once for all its tasks."""
+    """The worker's tokenizer of a vocabulary file, loaded once for its tasks (``tidy`` with ``keep``) until others follow."""
     file = os.stat(path)
-    return _loaded(path, file.st_mtime_ns, file.st_size)
+    return kept((path, file.st_mtime_ns, file.st_size), lambda: PartTokenizer(path))
 
 
 def encode_column(tok: PartTokenizer, column: pa.Array, end_id: int | None):
