@@ -167,13 +167,14 @@ def find_similar(store: DataFrame, probe: DataFrame, k: int | None = 5, min_simi
     return out if k is None else out.orderBy(F.desc("similarity"), "fingerprint").limit(k)
 
 
-def collapse(store: DataFrame) -> DataFrame:
-    """First sighting per fingerprint, with the best score seen."""
+def collapse(store: DataFrame, counted: str | None = None) -> DataFrame:
+    """First sighting per fingerprint, with the best score seen; ``counted`` names a column for the number of sightings."""
     rest = [c for c in store.columns if c not in ("fingerprint", "ml_score")]
     g = store.groupBy("fingerprint").agg(
-        F.min_by(F.struct(*rest), "created_at").alias("__r"), F.max("ml_score").alias("ml_score")
+        F.min_by(F.struct(*rest), "created_at").alias("__r"), F.max("ml_score").alias("ml_score"), F.count(F.lit(1)).alias("__n")
     )
-    return g.select(*[F.col("__r")[c].alias(c) if c in rest else F.col(c) for c in store.columns])
+    n = [F.col("__n").alias(counted)] if counted else []
+    return g.select(*[F.col("__r")[c].alias(c) if c in rest else F.col(c) for c in store.columns], *n)
 
 
 def save(fp: DataFrame, path: str) -> None:

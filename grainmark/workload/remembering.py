@@ -107,10 +107,10 @@ STORE = """SELECT o_orderstatus AS source, sha256(CAST(o_orderkey AS VARCHAR)) A
  o_totalprice / 400000 AS redundancy, o_totalprice / 500000 AS class_balance, o_custkey > 500 AS has_temporal, CAST(o_custkey % 20 AS INTEGER) AS n_columns, o_orderkey FROM orders"""
 
 
-def _store(spark, sf):
+def _store(spark, sf, printed="o_orderkey"):
     return table(spark, sf, "orders").selectExpr(
         "o_orderstatus AS source",
-        "sha2(CAST(o_orderkey AS STRING), 256) AS fingerprint",
+        f"sha2(CAST({printed} AS STRING), 256) AS fingerprint",
         "o_orderdate AS created_at",
         "sha2(o_orderpriority, 256) AS correlation_hash",
         "sha2(o_orderstatus, 256) AS schema_hash",
@@ -163,10 +163,8 @@ def _(spark, sf):
     SELECT fingerprint, min(created_at) AS created_at, max(ml_score) AS ml_score, count(*) AS n FROM s GROUP BY 1""",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.sha2(F.col("o_custkey").cast("string"), 256).alias("fingerprint"))
-    s = _store(spark, sf).drop("fingerprint").join(o, "o_orderkey")
-    n = s.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    return P.collapse(s).join(n, "fingerprint").select("fingerprint", "created_at", "ml_score", "n")
+    s = _store(spark, sf, "o_custkey").select("fingerprint", "created_at", "ml_score")
+    return P.collapse(s, "n")
 
 
 REC = "SELECT fingerprint, task || '_' || source AS strategy, CAST(o_orderkey AS VARCHAR) AS parameters, ml_score, o_orderkey FROM s"
