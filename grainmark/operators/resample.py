@@ -42,7 +42,8 @@ def smote(df: DataFrame, target: str, key: str, columns: Sequence[str] | None =
     """Every class grown to the size of the largest by points between neighbours."""
     df = nan_to_null(df)
     names = _features(df, target, key, columns)
-    rows = df.na.drop("any", subset=[*names, target])
+    # Written once: the sizes, the neighbours and both ends of every new row are read off it.
+    rows = scratch.materialise(df.na.drop("any", subset=[*names, target]).select(key, *names, target))
     sizes = {r[0]: r["n"] for r in rows.groupBy(col(target)).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     most = max(sizes.values())
     parts = [rows.select(*[number(c).alias(c) for c in names], col(target), F.lit(False).alias("synthetic"))]
