@@ -10,10 +10,11 @@ that probability is the plain similarity; the similarity by weights 1 + ln(count
 is an extra column of the links.
 
 Texts with the same words are one text from the start. Equal bands of registers
-make buckets; in a bucket every text is compared with one leader, drawn by hash
-per bucket, so a text meets different leaders in its different buckets. Pairs
+make buckets; in a bucket every text is compared with one leader, the text that
+shares its buckets with the most others. Copies of one text mostly share the leader
+that is nearest to all of them, so a text meets few leaders in its many buckets. Pairs
 whose registers agree often enough are verified on the whole texts. A further sweep
-draws new leaders for buckets that still hold several components. So large groups
+looks for new leaders in buckets that still hold several components. So large groups
 become one component with a number of pairs linear in the number of texts.
 
 What the sweeps leave is settled by shingles: the texts of buckets of three or more that
@@ -347,7 +348,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: float, max
     )
     # Members of buckets with two texts or more.
     in_bucket = signed.select("u", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("bucket")
+    shared = in_bucket.groupBy("bucket").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
     shared = materialise(shared)  # a join with a written table can split a hot bucket
     members = materialise(in_bucket.join(shared, "bucket"))
     # Each candidate's text, read once per distinct text.
@@ -360,10 +361,12 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: float, max
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
     links, labels, tested = spark.createDataFrame([], _LINK), None, None
 
-    def met(now: DataFrame, sweep: int) -> DataFrame:
-        """Pairs a, b of each member with its bucket's leader of this sweep, if their components differ."""
-        order = F.xxhash64("bucket", "u", F.lit(sweep))
-        lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("u").alias("u"), F.col("l").alias("l"))).alias("lead"))
+    def met(now: DataFrame) -> DataFrame:
+        """Pairs a, b of each member with its bucket's leader, if their components differ."""
+        met_by = materialise(now.groupBy("u").agg(F.sum("n").alias("d")))
+        now = materialise(now.join(met_by, "u"))
+        order = [(-F.col("d")).alias("d"), F.xxhash64("u").alias("o"), "u", "l"]
+        lead = now.groupBy("bucket").agg(F.min(F.struct(*order)).alias("lead"))
         pairs = now.join(materialise(lead), "bucket").where(F.col("l") != F.col("lead.l"))
         return pairs.select(F.least("u", "lead.u").alias("a"), F.greatest("u", "lead.u").alias("b")).distinct()
 
@@ -374,8 +377,8 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: float, max
 
     def still_mixed(now: DataFrame, least: int = 2) -> DataFrame:
         """The members of buckets of at least so many texts that hold several components."""
-        mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where(f"lo != hi and n >= {least}").select("bucket")
-        return now.join(mixed, "bucket")
+        mixed = now.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where(f"lo != hi and n >= {least}")
+        return now.drop("n").join(mixed.select("bucket", "n"), "bucket")
 
     def settle(pairs: DataFrame) -> bool:
         """Verify ``pairs`` (a, b) that their registers call likely and take in the links; whether there are any."""
@@ -387,8 +390,8 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: float, max
         labels = joined(labels, new.select("a", "b"))
         return True
 
-    for sweep in range(max_sweeps):
-        pairs = met(labelled() if labels is None else still_mixed(labelled()), sweep)
+    for _ in range(max_sweeps):
+        pairs = met(labelled() if labels is None else still_mixed(labelled()))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)

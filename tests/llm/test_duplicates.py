@@ -71,6 +71,28 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert set(got["class_id"]) == {0} and set(got["class_size"]) == {600} and got["kept"].sum() == 1
 
 
+def test_copies_of_one_text_meet_few_leaders(spark, monkeypatch):
+    r = random.Random(10)
+    base = prose(78, 200).split()
+    texts = {0: " ".join(base)}
+    for i in range(1, 400):
+        copy = list(base)
+        for j in r.sample(range(200), 3):  # near the base, not near each other
+            copy[j] = f"own{i}x{j}"
+        texts[i] = " ".join(copy)
+    seen = []
+    estimate = minhash._estimate
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return estimate(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_estimate", counted)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == classes(texts)
+    assert sum(seen) < 5 * len(texts)  # leaders drawn by hash in each bucket: 34,288 pairs
+
+
 def test_copies_whose_passage_repeats_are_linked(spark):
     texts = {}
     for g in range(6):
