@@ -53,7 +53,7 @@ def _extent(w: np.ndarray, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarra
             i = x[part, None] + step * out[part, None] + k
             j = i + (y - x)[part, None]
             inside = (i >= 0) if step < 0 else (j < n)
-            same = inside & (w[np.maximum(i, 0)] == w[np.minimum(j, n - 1)])
+            same = inside & (w[np.clip(i, 0, n - 1)] == w[np.clip(j, 0, n - 1)])  # near an end both may lie outside
             whole = same.all(axis=1)
             out[part] += np.where(whole, width, same.argmin(axis=1))
             going.append(part[whole])

@@ -65,6 +65,14 @@ def test_runs_equal_brute_force():
         assert sorted(got[k]) == all_runs(d), d
 
 
+def test_runs_that_reach_the_end_of_a_slice():
+    # A long match near the last word is compared in blocks that reach past it.
+    for d in ([0, 2] * 12 + ([2, 0] * 12 + [2]) * 2, ([1, 1, 2] * 9 + [1]) * 3, [*range(12)] * 8, [*range(13)] * 40):
+        w = mix(np.array([x + 1 for x in d] + [10_000], np.uint64))
+        got = [(b, e - b, q) for b, e, q in periodic.runs_of(w, np.array([len(d)])).T.tolist()]
+        assert sorted(got) == all_runs(d), d
+
+
 def digest_of_runs(doc_id, text):
     w = WORD.findall(text or "")
     n = len(w)
